@@ -39,7 +39,6 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RULE_SCHEMA = "action string, host string, path string"
 
 
 def host_of(url: Column) -> Column:
@@ -113,9 +112,15 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     return joined.select(*keep, "host", "path", F.col("__rule").alias("rule"), F.coalesce("__action", F.lit(default)).alias("verdict"))
 
 
+def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """A literal table of (action, host, path)."""
+    rows = F.array(*[F.struct(F.lit(a).alias("action"), F.lit(h).alias("host"), F.lit(p).alias("path")) for a, h, p in rules])
+    return spark.range(1).select(F.inline(rows))
+
+
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter(pages, spark.createDataFrame(RULES, RULE_SCHEMA)).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter(pages, rules_table(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op1_sql() -> str:
