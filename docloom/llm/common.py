@@ -48,3 +48,10 @@ def partitions(spark: SparkSession) -> int:
 def words(text):
     """Column: the words [^\\x20\\x09-\\x0D]+ of a text, null for a null text."""
     return F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most so many rows, as rows of this subpackage hold whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

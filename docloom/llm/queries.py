@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docloom.llm import chat, secrets, url_filters
+from docloom.llm import chat, langid, secrets, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op7_secret_scans": secrets.op7_secret_scans,
     "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_language_id": langid.op9_language_id,
 }
 ORACLES = {"op1_url_filters": url_filters.op1_sql(), "op8_chat_formatting": chat.OP8_SQL}
