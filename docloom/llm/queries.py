@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docloom.llm import chat, langid, quality, secrets, url_filters
+from docloom.llm import chat, langid, pieces, quality, secrets, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op7_secret_scans": secrets.op7_secret_scans,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_language_id": langid.op9_language_id,
