@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from docloom.llm import chat, langid, pieces, quality, secrets, url_filters
+from docloom.llm import chat, langid, mixing, pieces, quality, secrets, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op6_mixing": mixing.op6_mixing,
     "op7_secret_scans": secrets.op7_secret_scans,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_language_id": langid.op9_language_id,
 }
-ORACLES = {"op1_url_filters": url_filters.op1_sql(), "op8_chat_formatting": chat.OP8_SQL}
+ORACLES = {"op1_url_filters": url_filters.op1_sql(), "op6_mixing": mixing.op6_sql(), "op8_chat_formatting": chat.OP8_SQL}
