@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import chat, langid, mixing, pieces, quality, secrets, url_filters
+from docloom.llm import chat, jaccard_join, langid, mixing, pieces, quality, secrets, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_secret_scans": secrets.op7_secret_scans,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_language_id": langid.op9_language_id,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 ORACLES = {"op1_url_filters": url_filters.op1_sql(), "op6_mixing": mixing.op6_sql(), "op8_chat_formatting": chat.OP8_SQL}
