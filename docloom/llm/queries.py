@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docloom.llm import chat, jaccard_join, langid, mixing, pieces, quality, secrets, suffix_dedup, url_filters
+from docloom.llm import chat, embedding_dedup, jaccard_join, langid, mixing, pieces, quality, secrets, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_secret_scans": secrets.op7_secret_scans,
