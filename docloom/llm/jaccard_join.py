@@ -11,8 +11,9 @@ be empty tell nothing: bands have some to spare, and only sets with more empty o
 Signatures are packed by bucket (about seven bytes each) before they are shuffled. Sets that share a
 signature are candidates; candidates are compared exactly, by their texts. The result needs links only up
 to connectivity, so a signature that very many sets share gives each set two partners first (the group's
-first and the one before); whatever is still in different components afterwards is then compared in full.
-No pair is dropped: a candidate pair that is never compared lies in one component already.
+first and the one before). Sets that such groups tie together and that are still in different components
+are then compared block by block, a matrix product for each two blocks. No pair is dropped: a candidate pair
+that is never compared lies in one component already.
 
 Scale: texts are read once for signatures and shuffled once, for candidates alone to be packed. Exact copies
 are one class, keyed by a 128-bit hash of the set; classes are joined, never listed as pairs. Intermediate
@@ -315,6 +316,69 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, similarity: Similari
     return met.mapInArrow(run, "a binary, b binary, shared long, total long, linked boolean")
 
 
+BLOCK = 256
+
+
+def _block_links(table: pa.Table, width: int, similarity: Similarity) -> pa.Table:
+    """Of two blocks of sets (side 0 and 1; side 0 alone: with itself): one link for every two components that are linked."""
+    unpack = zstandard.ZstdDecompressor()
+    side = np.array(table.column("side").to_pylist())
+    cids, comps = table.column("cid").to_pylist(), table.column("comp").to_pylist()
+    sets = []
+    for z in table.column("z").to_pylist():
+        data = np.frombuffer(unpack.decompress(z), np.uint8)
+        sets.append(sets_in(data, np.array([0, len(data)]), width)[0])
+    size = np.array([len(s) for s in sets], np.int64)
+    of = np.repeat(np.arange(len(sets)), size)
+    tokens, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count[place] > 1
+    of, place = of[often], (np.cumsum(count > 1) - 1)[place[often]]
+    one = np.flatnonzero(side == 0)
+    two = np.flatnonzero(side == 1) if (side == 1).any() else one
+    shared = np.zeros((len(one), len(two)), np.float32)
+    order = np.argsort(place, kind="stable")
+    of, place = of[order], place[order]
+    for a in range(0, int(place.max(initial=-1)) + 1, 4096):  # tokens in slices, so memory is bounded
+        lo, hi = np.searchsorted(place, (a, a + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[of[lo:hi], place[lo:hi] - a] = 1
+        shared += part[one] @ part[two].T
+    both = shared.astype(np.int64)
+    linked = similarity.q * both >= similarity.p * (size[one][:, None] + size[two][None, :] - both)
+    number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+    comp = np.array([number[c] for c in comps])
+    x, y = np.nonzero(linked & (comp[one][:, None] != comp[two][None, :]))
+    keep = np.unique(np.stack([comp[one][x], comp[two][y]], axis=1), axis=0, return_index=True)[1] if len(x) else np.zeros(0, np.int64)
+    return pa.table({"a": pa.array([cids[one[x[i]]] for i in keep], pa.binary()), "b": pa.array([cids[two[y[i]]] for i in keep], pa.binary())})
+
+
+def _across(rest: DataFrame, component: DataFrame, texts: DataFrame, width: int, similarity: Similarity) -> DataFrame:
+    """Links between components of the sets of large groups, a and b, found by comparing blocks of sets.
+
+    Sets that large groups tie together are a family. Families that lie in one component are done. The others'
+    sets are dealt into blocks: parts of one large component each, or small components together. All pairs of
+    blocks are compared but those inside one large component.
+    """
+    least = rest.groupBy("key").agg(F.min("cid").alias("b"))
+    ties = rest.select("key", F.col("cid").alias("a")).join(least, "key").where("a <> b").select("a", "b").distinct()
+    families = connected_components(ties).select(F.col("node").alias("cid"), F.col("component").alias("family"))
+    placed = families.join(component.withColumnRenamed("component", "comp"), F.col("cid") == F.col("node"), "left").select("family", "cid", F.coalesce("comp", "cid").alias("comp"))
+    sizes = placed.groupBy("family", "comp").agg(F.count("*").alias("size"))
+    small = F.sum(F.when(F.col("size") < BLOCK // 2, F.col("size")).otherwise(0))
+    apart = sizes.groupBy("family").agg(F.count("*").alias("parts"), small.alias("small")).where("parts > 1")
+    known = sizes.join(apart, "family")
+    pure = F.col("size") >= BLOCK // 2
+    slots = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
+    block = F.when(pure, F.concat(F.hex("comp"), F.lit(":"), F.pmod(F.xxhash64("cid"), slots(F.col("size"))).cast("string"))).otherwise(F.pmod(F.xxhash64("comp"), slots(F.col("small"))).cast("string"))
+    dealt = materialize(placed.join(known, ["family", "comp"]).select("family", "cid", "comp", block.alias("block"), F.when(pure, F.col("comp")).alias("pure")), "blocks")
+    blocks_of = dealt.select("family", "block", "pure").distinct()
+    x, y = (blocks_of.select("family", F.col("block").alias(f"block_{s}"), F.col("pure").alias(f"pure_{s}")) for s in "xy")
+    meet = x.join(y, "family").where("block_x <= block_y and coalesce(pure_x <> pure_y, true)").select("family", "block_x", "block_y")
+    sides = meet.select("*", F.explode(F.when(F.col("block_x") == F.col("block_y"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
+    rows = sides.withColumn("block", F.when(F.col("side") == 0, F.col("block_x")).otherwise(F.col("block_y"))).join(dealt.drop("pure"), ["family", "block"]).join(texts, "cid")
+    return materialize(rows.select("family", "block_x", "block_y", "side", "cid", "comp", "z").groupBy("family", "block_x", "block_y").applyInArrow(lambda t: _block_links(t, width, similarity), "a binary, b binary"), "across")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: Similarity = Similarity(80, 100), deleting: bool | None = None) -> DataFrame:
     """key, n_shingles and component_id of every row of docs."""
     spark = docs.sparkSession
@@ -345,17 +409,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     found = links.where("linked").select("a", "b")
     component = connected_components(found)
 
-    # Sets of large groups that are still apart: all their pairs across components.
-    placed = rest.join(component, rest["cid"] == component["node"], "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("__c"))
-    apart = placed.groupBy("key").agg(F.min("__c").alias("__lo"), F.max("__c").alias("__hi")).where("__lo < __hi").select("key")
-    open_rows = materialize(placed.join(apart, "key", "left_semi"), "open")
-    if not open_rows.isEmpty():
-        x, y = (open_rows.select("key", F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("__c").alias(f"c{c}")) for c in "xy")
-        across = x.join(y, "key").where((F.col("cx") < F.col("cy")) & reach(F.col("nx"), F.col("ny")))
-        more = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        extra = materialize(_verify(more, texts, width, similarity).where("linked").select("a", "b"), "links")
-        if not extra.isEmpty():
-            component = connected_components(found.unionByName(extra))
+    more = _across(rest, component, texts, width, similarity)
+    if not more.isEmpty():
+        component = connected_components(found.unionByName(more))
 
     # The smallest key of each component.
     labelled = classes.join(component, classes["cid"] == component["node"], "left").select("cid", "__rep", F.coalesce("component", "cid").alias("__c"))
