@@ -128,7 +128,10 @@ def mix_weights(docs: DataFrame, margins: list[str], alpha: float | None = None,
 def mix(docs: DataFrame, margins: list[str], key: str = "doc_id", text: str = "text", seed: str = ":mix", **options) -> DataFrame:
     """docs with expected, probability and kept for every document."""
     keep = [c for c in docs.columns if c not in ("expected", "probability", "kept")]
-    cells = mix_weights(docs, margins, text=text, **options).select(*[F.col(m).alias(f"__cell_{m}") for m in margins], F.col("expected").alias("__e"))
+    weights = mix_weights(docs, margins, text=text, **options)
+    if weights.count() <= MAX_CELLS:  # a few megabytes
+        weights = F.broadcast(weights)
+    cells = weights.select(*[F.col(m).alias(f"__cell_{m}") for m in margins], F.col("expected").alias("__e"))
     on = [F.col(m).eqNullSafe(F.col(f"__cell_{m}")) for m in margins]
     rows = docs.select(*keep).join(cells, on, "left").withColumn("__e", F.when(F.coalesce(F.length(text), F.lit(0)) > 0, F.coalesce("__e", F.lit(0.0))).otherwise(0.0))
     p = F.least(F.col("__e"), F.lit(1.0))
