@@ -1,6 +1,9 @@
-"""Name -> (query, DuckDB SQL) for the library's own operators."""
+"""Name -> query, and name -> DuckDB SQL, for the library's own operators."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from docloom.plans import alert_queries, evaluation_queries, misc_queries, retrieval_queries, segment_queries
+
+_MODULES = (retrieval_queries, segment_queries, misc_queries, evaluation_queries, alert_queries)
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
