@@ -12,7 +12,8 @@ of equal anchors need to be compared. An anchor's run is the stretch of consecut
    common-prefix lengths give, for every offset, the classes of equal windows. The earliest of a class
    stays, the others are removed.
 3. Grams that are very frequent in one task's data are hot. Their runs go another exact way: each window is
-   a row with its 128-bit hash, and the earliest of a hash is found by an aggregation (map-side first).
+   a row with its 128-bit hash, and the earliest of a hash is found by an aggregation (map-side first; only
+   the earliest among a task's equal windows becomes a row at all).
    So no gram, however frequent, gathers in one task.
 
 Equal runs inside one task's data are settled there, before the shuffle. Texts are shuffled twice (for
@@ -45,6 +46,8 @@ from docloom.llm.textblocks import INVERSE, M1, M2, M3, U, blocks, mix, powers,
 LENGTH, GRAM = 100, 32
 #: Anchors that a task holds before it packs them; different runs of one gram among these that make it hot.
 FLUSH, HOT = 1 << 20, 16
+#: Hot windows that a task holds before it settles the equal ones among them.
+WINDOWS_HELD = 1 << 21
 NO_KEY = (1 << 63) - 1
 FIELDS = [("gram", "<u4"), ("run", "<u8"), ("key", "<i8"), ("start", "<u4"), ("off", "u1"), ("count", "u1"), ("flag", "u1")]
 PLAIN, SETTLED, SPREAD, MARK = 0, 1, 2, 3
@@ -176,13 +179,15 @@ def _classes(table: pa.Table) -> pa.Table:
     return pa.table({f.split()[0]: pa.array(c) for f, c in zip(SORTED_OUT.split(", "), columns)})
 
 
-FETCHED = "gram long, blob binary, w1 long, w2 long, key long, start long"
+FETCHED = "gram long, blob binary, w1 long, w2 long, key long, start long, stop long"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """From texts and their runs: run bytes packed by bucket (gram: the bucket), and a row for each hot window."""
+    """From texts and their runs: run bytes packed by bucket (gram: the bucket), a row for the earliest of equal hot
+    windows among this task's, and the others as spans (stop)."""
     held: dict[int, list[tuple]] = {}
-    size = 0
+    hot: list[tuple[np.ndarray, ...]] = []
+    size = windows = 0
     names = [f.split()[0] for f in FETCHED.split(", ")]
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -194,14 +199,36 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iter
             blobs.append(pack.compress(np.int64(len(rows)).tobytes() + meta.tobytes() + b"".join(r[5] for r in rows)))
         if blobs:
             k = len(blobs)
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(blobs, pa.binary()), *[pa.nulls(k, pa.int64())] * 4], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(blobs, pa.binary()), *[pa.nulls(k, pa.int64())] * 5], names=names)
         held.clear()
         size = 0
 
+    def settle() -> Iterator[pa.RecordBatch]:
+        nonlocal windows
+        if not hot:
+            return
+        w1, w2, key, start = (np.concatenate(x) for x in zip(*hot))
+        hot.clear()
+        windows = 0
+        order = np.lexsort((start, key, w2, w1))
+        w1, w2, key, start = w1[order], w2[order], key[order], start[order]
+        new = np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        later = (key != key[first]) | (start != start[first])
+        w1, w2 = w1[new].view(np.int64), w2[new].view(np.int64)
+        for a in range(0, len(w1), 1 << 16):
+            s = slice(a, a + (1 << 16))
+            m = len(w1[s])
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(w1[s]), pa.array(w2[s]), pa.array(key[new][s]), pa.array(start[new][s]), pa.nulls(m, pa.int64())], names=names)
+        spans = _merged(key[later], start[later], length)
+        m = len(spans[0])
+        if m:
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), *map(pa.array, spans)], names=names)
+
     for batch in batches:
         for key, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3))):
             text = text or b""
-            hot = []
+            asked = []
             for r in runs:
                 end = r["start"] + r["count"] - 1 + length
                 if end > len(text):  # of another row with this key
@@ -211,19 +238,28 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iter
                     held.setdefault((r["gram"] >> 32) % buckets, []).append((r["gram"], key, r["start"], r["off"], r["count"], part))
                     size += len(part)
                 else:
-                    hot.append(np.arange(r["start"], r["start"] + r["count"]))
-            if hot:
-                begin = np.concatenate(hot)
-                data = np.frombuffer(text, np.uint8)
-                w1, w2 = _window_hashes(data, begin, length)
-                k = len(begin)
-                for a in range(0, k, 1 << 16):
-                    s = slice(a, a + (1 << 16))
-                    m = len(begin[s])
-                    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(w1[s].view(np.int64)), pa.array(w2[s].view(np.int64)), pa.array([key] * m, pa.int64()), pa.array(begin[s].astype(np.int64))], names=names)
+                    asked.append(np.arange(r["start"], r["start"] + r["count"], dtype=np.int64))
+            if asked:
+                begin = np.concatenate(asked)
+                hot.append((*_window_hashes(np.frombuffer(text, np.uint8), begin, length), np.full(len(begin), key, np.int64), begin))
+                windows += len(begin)
+                if windows >= WINDOWS_HELD:
+                    yield from settle()
         if size >= 16 << 20:
             yield from flush()
     yield from flush()
+    yield from settle()
+
+
+def _merged(key: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, starts and stops of the stretches that windows of this length cover."""
+    order = np.lexsort((begin, key))
+    key, begin = key[order], begin[order]
+    if not len(key):
+        return key, begin, begin
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (begin[1:] > begin[:-1] + length)]))
+    last = np.append(first[1:], len(key)) - 1
+    return key[first], begin[first], begin[last] + length
 
 
 def _window_hashes(data: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -285,13 +321,8 @@ def _compare(table: pa.Table, length: int, gram: int) -> pa.Table:
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = (keys[own] != keys[own[first]]) | (begin != begin[first])
         spans.append((keys[own[later]], begin[later]))
-    key, begin = (np.concatenate(x) for x in zip(*spans)) if spans else (np.zeros(0, np.int64),) * 2
-    order = np.lexsort((begin, key))
-    key, begin = key[order], begin[order]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (begin[1:] > begin[:-1] + length)]) if len(key) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(key)) - 1
-    return pa.table({"key": key[first], "start": begin[first], "stop": begin[last] + length} if len(key) else {c: pa.array([], pa.int64()) for c in ("key", "start", "stop")})
+    key, begin = (np.concatenate(x) for x in zip(*spans)) if spans else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return pa.table(dict(zip(("key", "start", "stop"), map(pa.array, _merged(key, begin, length)))))
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -310,10 +341,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     blobs = fetched.where("blob is not null").select(F.col("gram").alias("bucket"), "blob")
     compared = blobs.groupBy("bucket").applyInArrow(lambda t: _compare(t, length, gram), SPANS_OUT)
 
-    windows = fetched.where("blob is null").select("w1", "w2", "key", "start")
+    settled = fetched.where("stop is not null").select("key", "start", "stop")
+    windows = fetched.where("w1 is not null").select("w1", "w2", "key", "start")
     earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("key", "start")).alias("__first"))
     later = windows.join(earliest, ["w1", "w2"]).where(F.struct("key", "start") != F.col("__first")).select("key", "start", (F.col("start") + length).alias("stop"))
-    return whole.unionByName(compared).unionByName(later)
+    return whole.unionByName(compared).unionByName(settled).unionByName(later)
 
 
 def merge_spans(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
