@@ -119,7 +119,10 @@ def mix_weights(docs: DataFrame, margins: list[str], alpha: float | None = None,
     cells = materialize(docs.groupBy(*margins).agg(F.sum(tokens_of(F.col(text))).alias("__tokens")).where("__tokens > 0"), "cells")
     wanted = targets or {m: tempered(cells, m, 1.0 if alpha is None else alpha) for m in margins}
     n = cells.count()
-    raked = _rake_on_driver(cells, wanted, rounds) if 0 < n <= max_cells else _rake(cells, wanted, rounds)
+    if not n:
+        raked = cells.withColumn("__w", F.lit(0.0))
+    else:
+        raked = _rake_on_driver(cells, wanted, rounds) if n <= max_cells else _rake(cells, wanted, rounds)
     total = cells.agg((F.sum("__tokens") * float(budget)).alias("__all"))
     expected = F.col("__w") * F.col("__all") / F.col("__tokens")
     return raked.crossJoin(F.broadcast(total)).select(*margins, F.col("__tokens").alias("tokens"), F.col("__w").alias("share"), expected.alias("expected"))
