@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Where intermediate tables go when the session names no checkpoint folder (local tests only).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,14 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back.
 
-    The copy cuts the lineage and survives lost executors, as every executor sees the folder.
+    The copy cuts the lineage and survives lost executors, as every executor sees the folder. The shuffle
+    files of the write are of no more use then and go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df, marked for broadcasting if it has at most so many rows; it must be cheap to count, and narrow."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete what materialize() wrote, once no plan reads it any more."""
     spark = df.sparkSession
@@ -50,8 +62,9 @@ def words(text):
     return F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of at most so many rows, as rows of this subpackage hold whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Arrow batches of at most so many rows and bytes (one row at least), as rows of this subpackage hold whole texts."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))

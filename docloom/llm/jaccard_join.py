@@ -5,8 +5,13 @@ similarity, their symmetric difference is at most H, a bound that the band knows
 is hashed into the band's segments; a segment that must match exactly takes one unit of the difference to
 break, a segment with its one-deletion neighbourhood takes two. With more than H units some segment of such
 a pair must match. A cost model allots segments to the two kinds per band. Each set indexes the
-segments of its own band and of the bands of smaller sets it can still be similar to. Segments that happen to
-be empty tell nothing: bands have some to spare, and only sets with more empty ones index them.
+segments of its own band and of the bands of smaller sets it can still be similar to.
+
+Weak segments, which are empty or have nothing but frequent shingles (of a passage that many documents
+share), would make candidates of documents that share little. Bands have some segments to spare, so a similar
+pair matches in more segments than that; a set with no more weak segments than are spare does not index
+them, and only sets with more of them do. Which shingles are frequent is estimated from a bounded sample into
+a bitmap of fixed size. It is the same for all sets, so it decides what is indexed and never what is found.
 
 Signatures are packed by bucket (about seven bytes each) before they are shuffled. Sets that share a
 signature are candidates; candidates are compared exactly, by their texts. The result needs links only up
@@ -39,12 +44,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import drop_table, materialize, read, small_batches
+from docloom.llm.common import drop_table, if_small, materialize, read, small_batches
 from docloom.llm.components import connected_components
 from docloom.llm.textblocks import LOWER, M1, M2, M3, U, blocks, mix, sets_of, shingles, sums, word_hashes
 
 #: Rows that a signature task holds before it packs them; sets of one signature that are paired in full.
 FLUSH, FULL = 1 << 21, 12
+#: Frequent shingles: documents of the sample, cells of the bitmap, and the least count and share of the sample that make a cell frequent.
+SAMPLE, CELLS, LEAST_COUNT, LEAST_SHARE = 20_000, 1 << 22, 10, 0.0005
 
 
 @dataclass(frozen=True)
@@ -65,7 +72,7 @@ class Similarity:
 
 @dataclass(frozen=True)
 class Band:
-    """Sizes lo .. hi; segments, of which the last ``deleting`` have one-deletion neighbourhoods, and empty ones to spare."""
+    """Sizes lo .. hi; segments, of which the last ``deleting`` have one-deletion neighbourhoods, and weak ones to spare."""
 
     lo: int
     hi: int
@@ -106,13 +113,41 @@ def make_bands(similarity: Similarity, largest: int = 1 << 31, deleting: bool |
             dels = (apart + 2) // 2 if deleting else 0
             exact = 0 if deleting else apart + 1
         m = exact + dels
-        spare = 0 if dels or m == 1 else int(np.ceil(2 * m * np.exp(-lo / m))) + 1
+        spare = 0 if dels or m < 3 else int(np.ceil(m / 10)) + 1
         out.append(Band(lo, hi, m + spare, dels, spare))
         lo = hi + 1
     return out
 
 
-def signatures(values: np.ndarray, bounds: np.ndarray, bands: list[Band], similarity: Similarity) -> tuple[np.ndarray, np.ndarray]:
+def cell(values: np.ndarray) -> np.ndarray:
+    """The cell of the bitmap of frequent shingles."""
+    return (values >> U(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def frequent_cells(own: DataFrame, width: int, sample: int = SAMPLE) -> np.ndarray:
+    """A bitmap (bool) of cells that many of about ``sample`` documents fall into; own: __text and __key."""
+    total = own.count()
+    share = 1.0 if total <= sample else sample / total
+    picked = own.where(F.pmod(F.xxhash64(F.col("__key").cast("string"), F.lit("sample")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)).select("__text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n = np.zeros(CELLS, np.uint32), 0
+        for batch in batches:
+            for _, data, offsets in blocks(batch.column(0)):
+                np.add.at(counts, cell(sets_in(data, offsets, width)[0]), 1)
+                n += len(offsets) - 1
+        if n:
+            packed = zstandard.ZstdCompressor(level=1).compress(np.minimum(counts, 65535).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([packed], pa.binary())], names=["n", "z"])
+
+    counts, n = np.zeros(CELLS, np.int64), 0
+    for r in picked.repartition(8).mapInArrow(count, "n long, z binary").collect():
+        counts += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.z)), np.uint16)
+        n += r.n
+    return counts >= max(LEAST_COUNT, LEAST_SHARE * n)
+
+
+def signatures(values: np.ndarray, bounds: np.ndarray, bands: list[Band], similarity: Similarity, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Keys and set numbers of all signatures of a block's sets."""
     n = np.diff(bounds)
     lows, width = np.array([b.lo for b in bands]), np.array([b.segments for b in bands])
@@ -121,6 +156,7 @@ def signatures(values: np.ndarray, bounds: np.ndarray, bands: list[Band], simila
     least = np.searchsorted(lows, similarity.least_partner(n), side="right") - 1
     token = mix(values ^ M2)
     place = mix(values ^ M3)
+    rare = np.ones(len(values), bool) if frequent is None else ~frequent[cell(values)]
     keys, of = [], []
     for back in range(int((own - least)[n > 0].max(initial=0)) + 1):
         sets = np.flatnonzero((n > 0) & (own - back >= least))
@@ -136,10 +172,10 @@ def signatures(values: np.ndarray, bounds: np.ndarray, bands: list[Band], simila
         slot = at[local] + segment
         sums_of = np.zeros(at[-1], np.uint64)
         np.add.at(sums_of, slot, token[index])
-        count = np.bincount(slot, minlength=at[-1])
+        strong = np.bincount(slot[rare[index]], minlength=at[-1]) > 0
         owner = np.repeat(np.arange(len(sets)), m)
-        empty = sums(count == 0, at)
-        keep = (count > 0) | (dels[band] > 0)[owner] | (empty > spare[band])[owner]
+        weak = sums(~strong, at)
+        keep = strong | (dels[band] > 0)[owner] | (weak > spare[band])[owner]
         salt = mix((band[owner].astype(np.uint64) << U(32)) + (np.arange(at[-1]) - at[owner]).astype(np.uint64) + M1)
         keys.append(mix(sums_of[keep] ^ salt[keep]))
         of.append(sets[owner[keep]])
@@ -168,7 +204,7 @@ def class_ids(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
 SIGNED = "n long, cid binary, node long, bucket long, tag long, blob binary"
 
 
-def _sign(batches: Iterator[pa.RecordBatch], width: int, similarity: Similarity, bands: list[Band], buckets: int, key: str) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], width: int, similarity: Similarity, bands: list[Band], buckets: int, key: str, frequent) -> Iterator[pa.RecordBatch]:
     tag = TaskContext.get().partitionId()
     schema_of_key = None
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -183,6 +219,8 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, similarity: Similarity,
         keys, nodes = (np.concatenate(x) for x in zip(*held))
         held.clear()
         rows = 0
+        if not len(keys):
+            return
         bucket = (keys >> U(32)) % U(buckets)
         order = np.argsort(bucket << U(32) | keys & U(0xFFFFFFFF))
         bucket, low, nodes = bucket[order], (keys[order] & U(0xFFFFFFFF)).astype(np.uint32), nodes[order].astype(np.uint32)
@@ -212,7 +250,7 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, similarity: Similarity,
                     nodes[i] = seen[c]
             first = np.flatnonzero(new)
             picked = np.concatenate([np.zeros(0, np.int64), *(np.arange(bounds[i], bounds[i + 1]) for i in first)])
-            keys, of = signatures(values[picked], np.concatenate([[0], np.cumsum(n[first])]), bands, similarity)
+            keys, of = signatures(values[picked], np.concatenate([[0], np.cumsum(n[first])]), bands, similarity, frequent.value)
             held.append((keys, nodes[first][of]))
             rows += len(keys)
             k = len(n)
@@ -284,31 +322,48 @@ def _packed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select("cid", text).mapInArrow(run, "cid binary, z binary")
 
 
+def shared_counts(values: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the intersections and unions of pairs of sets (numbers a and b); the sets of a pair meet in one sort."""
+    size = np.diff(bounds)
+    shared = np.zeros(len(a), np.int64)
+    at = 0
+    while at < len(a):  # slices of bounded size
+        to = at + max(1, int(np.searchsorted(np.cumsum(size[a[at:]] + size[b[at:]]), 1 << 20)))
+        rows = np.concatenate([a[at:to], b[at:to]])
+        n = size[rows]
+        pair = np.repeat(np.tile(np.arange(to - at), 2), n)
+        index = np.repeat(bounds[:-1][rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        # Equal values of one pair become neighbours; the pair number is mixed into the value.
+        key = values[index] ^ mix(pair.astype(np.uint64) + M1)
+        order = np.argsort(key)
+        same = (key[order][1:] == key[order][:-1]) & (pair[order][1:] == pair[order][:-1])
+        shared[at:to] = np.bincount(pair[order][1:][same], minlength=to - at)
+        at = to
+    return shared, size[a] + size[b] - shared
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, similarity: Similarity) -> DataFrame:
     """a, b, shared, total and linked of the candidate pairs (a, b: class ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        last: tuple[bytes | None, np.ndarray | None] = (None, None)
-
-        def shingled(z: bytes) -> np.ndarray:
-            data = np.frombuffer(unpack.decompress(z), np.uint8)
-            return sets_in(data, np.array([0, len(data)]), width)[0]
-
         for batch in batches:
-            a, b, za, zb = (batch.column(i).to_pylist() for i in range(4))
-            shared, total = [], []
-            for x, zx, zy in zip(a, za, zb):
-                if last[0] != x:
-                    last = (x, shingled(zx))
-                own, other = last[1], shingled(zy)
-                both = np.concatenate([own, other])
-                both.sort()
-                s = int((both[1:] == both[:-1]).sum())
-                shared.append(s)
-                total.append(len(own) + len(other) - s)
-            linked = [similarity.q * s >= similarity.p * t for s, t in zip(shared, total)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(total, pa.int64()), pa.array(linked)], names=["a", "b", "shared", "total", "linked"])
+            a, za, zb = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            texts, of_a, of_b, at = [], np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), {}
+            for i, x in enumerate(a):  # neighbours often share a
+                if x not in at:
+                    at[x] = len(texts)
+                    texts.append(unpack.decompress(za[i]))
+                of_a[i], of_b[i] = at[x], len(texts)
+                texts.append(unpack.decompress(zb[i]))
+            values, bounds = [], [np.zeros(1, np.int64)]
+            for _, data, offsets in blocks(pa.array(texts, pa.large_binary())):
+                v, o = sets_in(data, offsets, width)
+                bounds.append(o[1:] + bounds[-1][-1])
+                values.append(v)
+            shared, total = shared_counts(np.concatenate(values) if values else np.zeros(0, np.uint64), np.concatenate(bounds), of_a, of_b)
+            linked = similarity.q * shared >= similarity.p * total
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(total), pa.array(linked)], names=["a", "b", "shared", "total", "linked"])
 
     left = texts.select(F.col("cid").alias("a"), F.col("z").alias("za"))
     right = texts.select(F.col("cid").alias("b"), F.col("z").alias("zb"))
@@ -386,13 +441,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     bands = make_bands(similarity, deleting=deleting)
     own = docs.select(F.col(text).cast("string").alias("__text"), F.col(key).alias("__key"))
     buckets = max(64, 4 * own.rdd.getNumPartitions())
+    frequent = spark.sparkContext.broadcast(frequent_cells(own, width))
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField("__key", kind), *T._parse_datatype_string(SIGNED).fields])
-    signed = materialize(own.mapInArrow(lambda it: _sign(it, width, similarity, bands, buckets, "__key"), schema), "signatures")
-    rows = signed.where("bucket is null").select("__key", "n", "cid", "node")
+    signed = materialize(own.mapInArrow(lambda it: _sign(it, width, similarity, bands, buckets, "__key", frequent), schema), "signatures")
+    rows = materialize(signed.where("bucket is null").select("__key", "n", "cid", "node"), "sets")
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("__key").alias("__rep"), F.first("n").alias("n"))
 
     met = materialize(signed.where("bucket is not null").select("bucket", "tag", "blob").groupBy("bucket").applyInArrow(_meet, MET), "met")
+    drop_table(signed)
     nodes = rows.where("node is not null").select("node", "cid", "n").distinct()
     reach = lambda n, m: F.least(n, m) * similarity.q >= F.greatest(n, m) * similarity.p
     left = nodes.select(F.col("node").alias("a"), F.col("cid").alias("ca"), F.col("n").alias("na"))
@@ -400,16 +457,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     paired = met.where("key is null").select("a", "b").distinct().join(left, "a").join(right, "b").where((F.col("ca") != F.col("cb")) & reach(F.col("na"), F.col("nb")))
     pairs = materialize(paired.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "pairs")
     rest = materialize(met.where("key is not null").select("key", F.col("a").alias("node")).join(nodes, "node").select("key", "cid", "n").distinct(), "rest")
+    drop_table(met)
 
     wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).unionByName(rest.select("cid")).distinct()
-    chosen = classes.join(wanted, "cid", "left_semi").select("cid", F.col("__rep").alias("__key"))
-    packed = own.join(chosen, "__key").select("cid", "__text")
+    chosen = materialize(classes.join(wanted, "cid", "left_semi").select("cid", F.col("__rep").alias("__key")), "chosen")
+    packed = own.join(if_small(chosen), "__key").select("cid", "__text")
     texts = materialize(_packed(packed, "__key", "__text"), "texts")
     links = materialize(_verify(pairs, texts, width, similarity), "links")
     found = links.where("linked").select("a", "b")
     component = connected_components(found)
 
     more = _across(rest, component, texts, width, similarity)
+    drop_table(texts)
     if not more.isEmpty():
         component = connected_components(found.unionByName(more))
 

@@ -118,15 +118,19 @@ def identify(docs: DataFrame, model, text: str = "text", carry: list[str] | None
     added = ["lang_pred", "lang_score", "bits_per_byte"]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in added]
     shared = spark.sparkContext.broadcast(model)
+    # A carried text crosses to Python once.
+    once = text in carry and isinstance(docs.schema[text].dataType, T.StringType)
+    columns = carry if once else [*carry, "__text"]
+    at = columns.index(text if once else "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [predict_block(shared.value, data, offsets) for _, data, offsets in blocks(batch.column(0))]
+            parts = [predict_block(shared.value, data, offsets) for _, data, offsets in blocks(batch.column(at))]
             if parts:
                 lang, score, bits = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], names=[*carry, *added])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], names=[*carry, *added])
 
-    inner = docs.select(F.col(text).cast("string").alias("__text"), *carry)
+    inner = docs.select(*carry) if once else docs.select(*carry, F.col(text).cast("string").alias("__text"))
     fields = [T.StructField(c, docs.schema[c].dataType) for c in carry] + [T.StructField(c, T.StringType() if c == "lang_pred" else T.DoubleType()) for c in added]
     return inner.mapInArrow(run, T.StructType(fields))
 

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import read
+from docloom.llm.common import partitions, read
 
 KINDS = ["assign", "access", "hex", "markov"]
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,7 +30,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 MIN_LENGTH, THRESHOLD, SMOOTHING = 20, 10.0, 0.1
 #: Bounds of the training sample: strings made at random, and documents whose words are identifiers.
-N_RANDOM, N_DOCUMENTS = 20_000, 2_000
+N_RANDOM, N_DOCUMENTS = 20_000, 400
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -53,7 +53,7 @@ def identifier_strings(docs: DataFrame, key: str = "doc_id", text: str = "text",
     total = docs.count()
     share = 1.0 if total <= n else n / total
     picked = docs.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1))
-    word = picked.select(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w"))
+    word = picked.select(text).repartition(partitions(docs.sparkSession)).select(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w"))
     low = F.transform("w", F.lower)
     after = F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0)))
     join = lambda mark: F.zip_with("w", after, lambda a, b: F.lower(F.concat(a, F.lit(mark), F.coalesce(b, F.lit("")))))

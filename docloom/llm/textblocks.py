@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 U = np.uint64
 
@@ -120,7 +120,7 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.nda
     if not len(hashes):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     value, full = np.zeros(len(hashes), np.uint64), bounds[1:][text] - np.arange(len(hashes))
-    for k in range(width):
+    for k in range(min(width, len(hashes))):
         part = np.zeros(len(hashes), np.uint64)
         part[: len(hashes) - k] = hashes[k:]
         value = np.where(full > k, value * BASE + part + M1, value)
