@@ -114,3 +114,17 @@ def load_index(spark, path: str) -> tuple[LexicalIndex, str, int]:
     if index.lengths.count() != rows[0]["count"]:
         raise IndexCorrupt("the number of documents differs from the metadata")
     return index, rows[0].signature, rows[0]["count"]
+
+
+def fresh_index(chunks: DataFrame, path: str, key: str, text: str, content_hash: str, **options) -> LexicalIndex:
+    """The saved index if its signature is that of chunks; otherwise a new one, which is saved."""
+    signed = signature(chunks, key, content_hash)
+    now = signed.first()
+    try:
+        index, mark, n = load_index(chunks.sparkSession, path)
+        if (mark, n) == (now.signature, now["count"]):
+            return index
+    except (IndexMissing, IndexCorrupt):
+        pass
+    save_index(build_index(chunks, key, text, **options), path, signed)
+    return load_index(chunks.sparkSession, path)[0]

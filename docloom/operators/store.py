@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -104,6 +106,36 @@ def swap_table(df: DataFrame, path: str) -> None:
     fs.delete(to(old), True)
 
 
+class Busy(RuntimeError):
+    """Another rebuild is running."""
+
+
+_lock = threading.Lock()
+
+
+@contextmanager
+def one_at_a_time():
+    """A second indexing run in this driver fails at once and does not wait."""
+    if not _lock.acquire(blocking=False):
+        raise Busy("an indexing run is in progress")
+    try:
+        yield
+    finally:
+        _lock.release()
+
+
+def check_request(question: str, model: str, models: tuple[str, ...], temperature: float = 0.0, top_k: int = 5) -> None:
+    """The rules of an answer request; the first broken one is raised."""
+    if not question.strip():
+        raise ValueError("question must not be blank")
+    if model not in models:
+        raise ValueError(f"unknown model {model!r}")
+    if not 0 <= temperature <= 2:
+        raise ValueError("temperature must be in 0 .. 2")
+    if not 1 <= top_k <= 20:
+        raise ValueError("top_k must be in 1 .. 20")
+
+
 @dataclass(frozen=True)
 class IndexResult:
     documents: int
@@ -156,7 +188,11 @@ class ChunkStore:
         fs.delete(to(self.manifest_path), True)
 
     def index(self, files: DataFrame, build, force: bool = False, on_progress=None) -> IndexResult:
-        """Bring the store up to date with files (identity, name, hash, ...).
+        with one_at_a_time():
+            return self._index(files, build, force, on_progress)
+
+    def _index(self, files: DataFrame, build, force: bool, on_progress) -> IndexResult:
+        """Bring the store up to date with files (identity, name, hash, ...), one run at a time.
 
         build(files) gives the chunks with vectors of changed files only; unchanged ones are never parsed. Files
         of equal names are an error. The store is rebuilt if its counts do not agree with its manifest.
