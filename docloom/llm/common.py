@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +71,22 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) ->
         now = spark.conf.get(key).rstrip("b")
         if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A mapInArrow function that gives memory back when its partition ends."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return tidied

@@ -44,12 +44,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import drop_table, if_small, materialize, read, small_batches
+from docloom.llm.common import drop_table, if_small, materialize, read, small_batches, tidy
 from docloom.llm.components import connected_components
 from docloom.llm.textblocks import LOWER, M1, M2, M3, U, blocks, mix, sets_of, shingles, sums, word_hashes
 
 #: Rows that a signature task holds before it packs them; sets of one signature that are paired in full.
-FLUSH, FULL = 1 << 21, 12
+FLUSH, FULL = 1 << 20, 12
 #: Frequent shingles: documents of the sample, cells of the bitmap, and the least count and share of the sample that make a cell frequent.
 SAMPLE, CELLS, LEAST_COUNT, LEAST_SHARE = 20_000, 1 << 22, 10, 0.0005
 
@@ -141,7 +141,7 @@ def frequent_cells(own: DataFrame, width: int, sample: int = SAMPLE) -> np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([packed], pa.binary())], names=["n", "z"])
 
     counts, n = np.zeros(CELLS, np.int64), 0
-    for r in picked.repartition(8).mapInArrow(count, "n long, z binary").collect():
+    for r in picked.repartition(8).mapInArrow(tidy(count), "n long, z binary").collect():
         counts += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.z)), np.uint16)
         n += r.n
     return counts >= max(LEAST_COUNT, LEAST_SHARE * n)
@@ -238,7 +238,7 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, similarity: Similarity,
             values, bounds = sets_in(data, offsets, width)
             n = np.diff(bounds)
             ids = class_ids(values, bounds)
-            if len(seen) > 1 << 18:  # copies further apart meet as classes later
+            if len(seen) > 1 << 16:  # copies further apart meet as classes later
                 seen.clear()
             nodes, new = np.zeros(len(n), np.int64), np.zeros(len(n), bool)
             for i, c in enumerate(ids):
@@ -342,69 +342,111 @@ def shared_counts(values: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.n
     return shared, size[a] + size[b] - shared
 
 
+def _text_slices(batch: pa.RecordBatch, unpack: zstandard.ZstdDecompressor, most: int = 4 << 20) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray]]:
+    """First row, rows, texts, and the numbers of the two texts of each row, of slices of about ``most`` bytes of text."""
+    a, za, zb = (batch.column(i).to_pylist() for i in (0, 2, 3))
+    first, size, texts, of_a, of_b, known = 0, 0, [], [], [], {}
+    for i, x in enumerate(a):
+        if x not in known:  # neighbours often share a
+            known[x] = len(texts)
+            texts.append(unpack.decompress(za[i]))
+            size += len(texts[-1])
+        of_a.append(known[x])
+        of_b.append(len(texts))
+        texts.append(unpack.decompress(zb[i]))
+        size += len(texts[-1])
+        if size >= most:
+            yield first, len(of_a), texts, np.array(of_a), np.array(of_b)
+            first, size, texts, of_a, of_b, known = i + 1, 0, [], [], [], {}
+    if of_a:
+        yield first, len(of_a), texts, np.array(of_a), np.array(of_b)
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, similarity: Similarity) -> DataFrame:
     """a, b, shared, total and linked of the candidate pairs (a, b: class ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            a, za, zb = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            texts, of_a, of_b, at = [], np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), {}
-            for i, x in enumerate(a):  # neighbours often share a
-                if x not in at:
-                    at[x] = len(texts)
-                    texts.append(unpack.decompress(za[i]))
-                of_a[i], of_b[i] = at[x], len(texts)
-                texts.append(unpack.decompress(zb[i]))
-            values, bounds = [], [np.zeros(1, np.int64)]
-            for _, data, offsets in blocks(pa.array(texts, pa.large_binary())):
-                v, o = sets_in(data, offsets, width)
-                bounds.append(o[1:] + bounds[-1][-1])
-                values.append(v)
-            shared, total = shared_counts(np.concatenate(values) if values else np.zeros(0, np.uint64), np.concatenate(bounds), of_a, of_b)
-            linked = similarity.q * shared >= similarity.p * total
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(total), pa.array(linked)], names=["a", "b", "shared", "total", "linked"])
+            for part in _text_slices(batch, unpack):
+                at, rows, texts, of_a, of_b = part
+                values, bounds = [], [np.zeros(1, np.int64)]
+                for _, data, offsets in blocks(pa.array(texts, pa.large_binary())):
+                    v, o = sets_in(data, offsets, width)
+                    bounds.append(o[1:] + bounds[-1][-1])
+                    values.append(v)
+                shared, total = shared_counts(np.concatenate(values), np.concatenate(bounds), of_a, of_b)
+                linked = similarity.q * shared >= similarity.p * total
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), batch.column(1).slice(at, rows), pa.array(shared), pa.array(total), pa.array(linked)], names=["a", "b", "shared", "total", "linked"])
 
     left = texts.select(F.col("cid").alias("a"), F.col("z").alias("za"))
     right = texts.select(F.col("cid").alias("b"), F.col("z").alias("zb"))
     met = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "za", "zb")
-    return met.mapInArrow(run, "a binary, b binary, shared long, total long, linked boolean")
+    return met.mapInArrow(tidy(run), "a binary, b binary, shared long, total long, linked boolean")
 
 
 BLOCK = 256
 
 
+def _shared_matrix(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets numbered one and two. Memory follows the shingles of these sets, and slices of 4,096 columns."""
+    used = np.unique(np.concatenate([one, two]))
+    slot = np.zeros(len(sets), np.int64)
+    slot[used] = np.arange(len(used))
+    of = np.repeat(np.arange(len(used)), [len(sets[i]) for i in used])
+    values = np.concatenate([sets[i] for i in used])
+    order = np.argsort(values, kind="stable")
+    of, values = of[order], values[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
+    again = np.append(~new[1:], False) | ~new if len(values) else new  # in two sets or more
+    place = np.cumsum(new[again])  # numbers of the shingles that count
+    of = of[again]
+    shared = np.zeros((len(one), len(two)), np.int64)
+    for lo in range(1, int(place[-1]) + 1 if len(place) else 1, 4096):
+        a, b = np.searchsorted(place, (lo, lo + 4096))
+        part = np.zeros((len(used), 4096), np.float32)
+        part[of[a:b], place[a:b] - lo] = 1
+        shared += (part[slot[one]] @ part[slot[two]].T).astype(np.int64)
+    return shared
+
+
+def _linked_pairs(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray | None, similarity: Similarity, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of linked pairs, between one and two or (two None) within one. Halves are taken until a part has few shingles."""
+    size = np.array([len(s) for s in sets], np.int64)
+    if size[one].sum() + (0 if two is None else size[two].sum()) > most and (len(one) > 1 or two is not None and len(two) > 1):
+        if two is None:
+            x, y = one[: len(one) // 2], one[len(one) // 2 :]
+            for p, q in ((x, None), (y, None), (x, y)):
+                yield from _linked_pairs(sets, p, q, similarity, most)
+        else:
+            longer, other = (one, two) if len(one) >= len(two) else (two, one)
+            for p in (longer[: len(longer) // 2], longer[len(longer) // 2 :]):
+                yield from _linked_pairs(sets, p, other, similarity, most)
+        return
+    two = one if two is None else two
+    shared = _shared_matrix(sets, one, two)
+    x, y = np.nonzero(similarity.q * shared >= similarity.p * (size[one][:, None] + size[two][None, :] - shared))
+    yield one[x], two[y]
+
+
 def _block_links(table: pa.Table, width: int, similarity: Similarity) -> pa.Table:
     """Of two blocks of sets (side 0 and 1; side 0 alone: with itself): one link for every two components that are linked."""
     unpack = zstandard.ZstdDecompressor()
     side = np.array(table.column("side").to_pylist())
     cids, comps = table.column("cid").to_pylist(), table.column("comp").to_pylist()
     sets = []
-    for z in table.column("z").to_pylist():
-        data = np.frombuffer(unpack.decompress(z), np.uint8)
+    for z in table.column("z"):
+        data = np.frombuffer(unpack.decompress(z.as_py()), np.uint8)
         sets.append(sets_in(data, np.array([0, len(data)]), width)[0])
-    size = np.array([len(s) for s in sets], np.int64)
-    of = np.repeat(np.arange(len(sets)), size)
-    tokens, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    often = count[place] > 1
-    of, place = of[often], (np.cumsum(count > 1) - 1)[place[often]]
-    one = np.flatnonzero(side == 0)
-    two = np.flatnonzero(side == 1) if (side == 1).any() else one
-    shared = np.zeros((len(one), len(two)), np.float32)
-    order = np.argsort(place, kind="stable")
-    of, place = of[order], place[order]
-    for a in range(0, int(place.max(initial=-1)) + 1, 4096):  # tokens in slices, so memory is bounded
-        lo, hi = np.searchsorted(place, (a, a + 4096))
-        part = np.zeros((len(sets), 4096), np.float32)
-        part[of[lo:hi], place[lo:hi] - a] = 1
-        shared += part[one] @ part[two].T
-    both = shared.astype(np.int64)
-    linked = similarity.q * both >= similarity.p * (size[one][:, None] + size[two][None, :] - both)
     number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
     comp = np.array([number[c] for c in comps])
-    x, y = np.nonzero(linked & (comp[one][:, None] != comp[two][None, :]))
-    keep = np.unique(np.stack([comp[one][x], comp[two][y]], axis=1), axis=0, return_index=True)[1] if len(x) else np.zeros(0, np.int64)
-    return pa.table({"a": pa.array([cids[one[x[i]]] for i in keep], pa.binary()), "b": pa.array([cids[two[y[i]]] for i in keep], pa.binary())})
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    links: dict[tuple[int, int], tuple[int, int]] = {}
+    for x, y in _linked_pairs(sets, one, two if len(two) else None, similarity):
+        apart = np.flatnonzero(comp[x] != comp[y])
+        for i, j in zip(x[apart].tolist(), y[apart].tolist()):
+            links.setdefault((min(comp[i], comp[j]), max(comp[i], comp[j])), (i, j))
+    return pa.table({"a": pa.array([cids[i] for i, _ in links.values()], pa.binary()), "b": pa.array([cids[j] for _, j in links.values()], pa.binary())})
 
 
 def _across(rest: DataFrame, component: DataFrame, texts: DataFrame, width: int, similarity: Similarity) -> DataFrame:
@@ -444,7 +486,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     frequent = spark.sparkContext.broadcast(frequent_cells(own, width))
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField("__key", kind), *T._parse_datatype_string(SIGNED).fields])
-    signed = materialize(own.mapInArrow(lambda it: _sign(it, width, similarity, bands, buckets, "__key", frequent), schema), "signatures")
+    signed = materialize(own.mapInArrow(tidy(lambda it: _sign(it, width, similarity, bands, buckets, "__key", frequent)), schema), "signatures")
     rows = materialize(signed.where("bucket is null").select("__key", "n", "cid", "node"), "sets")
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("__key").alias("__rep"), F.first("n").alias("n"))
 

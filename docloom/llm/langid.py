@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import read, small_batches
+from docloom.llm.common import read, small_batches, tidy
 from docloom.llm.ngrams import BackoffTable, HashArrays, Level, count_ngrams, lower_order, merged
 from docloom.llm.textblocks import U, blocks, sums
 
@@ -132,7 +132,7 @@ def identify(docs: DataFrame, model, text: str = "text", carry: list[str] | None
 
     inner = docs.select(*carry) if once else docs.select(*carry, F.col(text).cast("string").alias("__text"))
     fields = [T.StructField(c, docs.schema[c].dataType) for c in carry] + [T.StructField(c, T.StringType() if c == "lang_pred" else T.DoubleType()) for c in added]
-    return inner.mapInArrow(run, T.StructType(fields))
+    return inner.mapInArrow(tidy(run), T.StructType(fields))
 
 
 def fold(key: Column) -> Column:

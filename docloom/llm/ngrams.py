@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import tidy
 from docloom.llm.textblocks import M1, U, blocks, mix, text_of
 
 COUNTS = "group string, code long, n long"
@@ -88,7 +89,7 @@ def _count(batches: Iterator[pa.RecordBatch], order: int, classes: np.ndarray |
 
 def count_ngrams(docs: DataFrame, group: str, text: str, order: int, classes: np.ndarray | None = None) -> DataFrame:
     """group, code, n: how often each order-gram stands in the texts of a group. A null group is ''."""
-    counted = docs.select(F.col(group).cast("string"), F.col(text).cast("string")).mapInArrow(lambda it: _count(it, order, classes), COUNTS)
+    counted = docs.select(F.col(group).cast("string"), F.col(text).cast("string")).mapInArrow(tidy(lambda it: _count(it, order, classes)), COUNTS)
     return counted.groupBy("group", "code").agg(F.sum("n").alias("n"))
 
 

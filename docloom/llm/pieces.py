@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import read, small_batches
+from docloom.llm.common import read, small_batches, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -181,7 +181,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, len(part)) for c in batch.columns[1:]), _lists(found)], names=[*carry, ids])
 
     fields = [T.StructField(c, docs.schema[c].dataType) for c in carry] + [T.StructField(ids, T.ArrayType(T.IntegerType()))]
-    return docs.select(F.col(text).cast("string").alias("__text"), *carry).mapInArrow(run, T.StructType(fields))
+    return docs.select(F.col(text).cast("string").alias("__text"), *carry).mapInArrow(tidy(run), T.StructType(fields))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "decoded", carry: list[str] | None = None) -> DataFrame:
@@ -197,7 +197,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: s
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.string())], names=[*carry, text])
 
     fields = [T.StructField(c, encoded.schema[c].dataType) for c in carry] + [T.StructField(text, T.StringType())]
-    return encoded.select(F.col(ids).alias("__ids"), *carry).mapInArrow(run, T.StructType(fields))
+    return encoded.select(F.col(ids).alias("__ids"), *carry).mapInArrow(tidy(run), T.StructType(fields))
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -222,7 +222,7 @@ def digests(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", carry:
 
     kinds = [T.LongType(), T.StringType(), T.BooleanType()]
     fields = [T.StructField(c, docs.schema[c].dataType) for c in carry] + [T.StructField(c, k) for c, k in zip(added, kinds)]
-    return docs.select(F.col(text).cast("string").alias("__text"), *carry).mapInArrow(run, T.StructType(fields))
+    return docs.select(F.col(text).cast("string").alias("__text"), *carry).mapInArrow(tidy(run), T.StructType(fields))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:

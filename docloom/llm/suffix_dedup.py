@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import materialize, read, small_batches
+from docloom.llm.common import materialize, read, small_batches, tidy
 from docloom.llm.suffix_sort import sort_group
 from docloom.llm.textblocks import INVERSE, M1, M2, M3, U, blocks, mix, powers, prefix_hash, span_hash, text_of
 
@@ -331,13 +331,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     small_batches(spark)
     own = docs.select(F.col(text).cast("string").cast("binary").alias("__text"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("__key"))
     buckets = max(64, 4 * own.rdd.getNumPartitions())
-    packed = own.mapInArrow(lambda it: _gather(it, buckets, length, gram, hot), "bucket long, blob binary")
+    packed = own.mapInArrow(tidy(lambda it: _gather(it, buckets, length, gram, hot)), "bucket long, blob binary")
     runs = materialize(packed.groupBy("bucket").applyInArrow(_classes, SORTED_OUT), "runs")
     whole = runs.where(F.col("kind") == REMOVED).select("key", "start", (F.col("start") + F.col("count") - 1 + length).alias("stop"))
 
     asked = runs.where(F.col("kind") != REMOVED).groupBy("key").agg(F.collect_list(F.struct("start", "off", "count", "kind", "gram")).alias("runs"))
     joined = own.join(asked, own["__key"] == asked["key"]).select("key", "__text", "runs")
-    fetched = materialize(joined.mapInArrow(lambda it: _fetch(it, length, buckets), FETCHED), "fetched")
+    fetched = materialize(joined.mapInArrow(tidy(lambda it: _fetch(it, length, buckets)), FETCHED), "fetched")
     blobs = fetched.where("blob is not null").select(F.col("gram").alias("bucket"), "blob")
     compared = blobs.groupBy("bucket").applyInArrow(lambda t: _compare(t, length, gram), SPANS_OUT)
 
@@ -382,7 +382,7 @@ def _with_spans(docs: DataFrame, key: str, text: str, make: Callable, out: T.Str
             made = [make(t or b"", merge_spans(s, len(t or b""))) for t, s in zip(texts, spans)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in zip(*made))], names=out.names) if made else batch.slice(0, 0)
 
-    return joined.mapInArrow(run, out)
+    return joined.mapInArrow(tidy(run), out)
 
 
 def dedup_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:

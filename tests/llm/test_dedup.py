@@ -224,3 +224,18 @@ def test_estimates_are_unbiased_and_bounded():
     guess, bound = embedding_dedup.estimate(signs, factor, unit(b) @ turn.T)
     true = (unit(a) * unit(b)).sum(axis=1)
     assert abs((guess - true).mean()) < 0.01 and (np.abs(guess - true) < bound).all()
+
+
+def test_linked_pairs_are_complete_in_parts():
+    rng = np.random.default_rng(1)
+    base = [rng.choice(5000, int(n), replace=False) for n in rng.integers(1, 60, 6)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) < 0.95], rng.choice(5000, 2)])).astype(np.uint64) for b in base for _ in range(7)]
+    s = jaccard_join.Similarity(80, 100)
+    similar = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+    n = len(sets)
+    one, two = np.arange(n // 2), np.arange(n // 2, n)
+    for most in (1, 100, 1 << 20):
+        got = {(min(i, j), max(i, j)) for x, y in jaccard_join._linked_pairs(sets, np.arange(n), None, s, most) for i, j in zip(x.tolist(), y.tolist()) if i != j}
+        assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if similar(i, j)}
+        got = {(i, j) for x, y in jaccard_join._linked_pairs(sets, one, two, s, most) for i, j in zip(x.tolist(), y.tolist())}
+        assert got == {(i, j) for i in one.tolist() for j in two.tolist() if similar(i, j)}
