@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import drop_table, if_small, materialize, read, small_batches, tidy
+from docloom.llm.common import drop_table, give_back, if_small, materialize, read, small_batches, tidy
 from docloom.llm.components import connected_components
 from docloom.llm.textblocks import LOWER, M1, M2, M3, U, blocks, mix, sets_of, shingles, sums, word_hashes
 
@@ -140,11 +140,14 @@ def frequent_cells(own: DataFrame, width: int, sample: int = SAMPLE) -> np.ndarr
             packed = zstandard.ZstdCompressor(level=1).compress(np.minimum(counts, 65535).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([packed], pa.binary())], names=["n", "z"])
 
-    counts, n = np.zeros(CELLS, np.int64), 0
+    counts, n = np.zeros(CELLS, np.uint32), 0
     for r in picked.repartition(8).mapInArrow(tidy(count), "n long, z binary").collect():
         counts += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.z)), np.uint16)
         n += r.n
-    return counts >= max(LEAST_COUNT, LEAST_SHARE * n)
+    found = counts >= max(LEAST_COUNT, LEAST_SHARE * n)
+    del counts
+    give_back()
+    return found
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray, bands: list[Band], similarity: Similarity, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import read, small_batches, tidy
+from docloom.llm.common import give_back, read, small_batches, tidy
 from docloom.llm.ngrams import BackoffTable, HashArrays, Level, count_ngrams, lower_order, merged
 from docloom.llm.textblocks import U, blocks, sums
 
@@ -85,7 +85,10 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     groups = np.array(table.column("group").to_pylist())
     codes, n = table.column("code").to_numpy().astype(np.uint64), table.column("n").to_numpy()
     counts = {g: (codes[groups == g], n[groups == g]) for g in sorted(set(groups.tolist()))}
-    return build_table(counts, order) if counts else None
+    del table, groups, codes, n
+    model = build_table(counts, order) if counts else None
+    give_back()
+    return model
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
