@@ -55,9 +55,11 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, k: int, query_key: str
         raise ValueError("k must be positive")
     key = index.key
     asked = queries.select(query_key, F.explode(index_tokens(F.col(query_text), stop_words, stemmed)).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
-    weighted = asked.join(index.terms, "term")
+    # Only the asked terms' postings are needed; the semi-join goes below the postings' aggregation.
+    hits = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
+    weighted = asked.join(hits.groupBy("term").agg(F.count("*").alias("df")), "term")
     k1, b = settings.bm25_k1, settings.bm25_b
-    rows = index.postings.join(weighted, "term").join(index.lengths, key).crossJoin(F.broadcast(index.stats))  # stats is one row
+    rows = hits.join(weighted, "term").join(index.lengths, key).crossJoin(F.broadcast(index.stats))  # stats is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scores = rows.groupBy(query_key, key).agg(F.sum(part).alias("score")).where("score > 0")
