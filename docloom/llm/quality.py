@@ -5,8 +5,9 @@ case, digits, marks), ORDER symbols long. Spark counts the n-grams of all docume
 language has at most CLASSES ** ORDER n-grams whatever the size of the corpus (16.8 million; a few ten
 thousand in practice), which bounds the sorted hash arrays that are broadcast. Word n-grams would need
 shuffles of several times the input. Each language has a lower and an upper band of log perplexity:
-quartiles of its documents that pass the base rules, widened by ``width`` times their distance.
-Documents outside are rejected: far above is noise, far below is repetition.
+quartiles of its documents that pass the base rules, widened by BELOW and ABOVE times their distance.
+Documents outside are rejected: far above is noise, far below is repetition. The widths are chosen on labelled
+documents (the README has the shares that they reject).
 
 Scale: two passes over the texts (count, score), no shuffle of texts; a counting task hands on one row per
 distinct n-gram. Scores are written once to the shared folder, as bands need all of them.
@@ -33,7 +34,7 @@ from docloom.llm.textblocks import BASE, INVERSE, M1, U, blocks, mix, powers, pr
 
 ORDER, CLASSES = 4, 64
 WINDOW = 8
-WIDTH = 8.0
+BELOW, ABOVE = 2.0, 2.5
 ADDED = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "log_ppl": "double"}
 
 
@@ -198,21 +199,21 @@ def score(docs: DataFrame, model, lang: str = "lang", text: str = "text", carry:
     return inner.mapInArrow(tidy(run), T.StructType(fields + [T.StructField(c, kinds[k]) for c, k in ADDED.items()]))
 
 
-def bands(scored: DataFrame, lang: str = "lang", width: float = WIDTH) -> DataFrame:
+def bands(scored: DataFrame, lang: str = "lang", below: float = BELOW, above: float = ABOVE) -> DataFrame:
     """lang, lower and upper: the log perplexities a language's documents may have."""
     q = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.75)), 10_000)
     found = scored.where("not base_failed and log_ppl is not null").groupBy(lang).agg(q.alias("__q"))
     near, far = F.get("__q", F.lit(0)), F.get("__q", F.lit(1))
-    spread = F.greatest(far - near, 0.01 * far) * width
-    return found.select(F.col(lang).alias("__band"), (near - spread).alias("lower"), (far + spread).alias("upper"))
+    spread = F.greatest(far - near, 0.01 * far)
+    return found.select(F.col(lang).alias("__band"), (near - spread * below).alias("lower"), (far + spread * above).alias("upper"))
 
 
-def quality_rules(docs: DataFrame, lang: str = "lang", text: str = "text", carry: list[str] | None = None, width: float = WIDTH) -> DataFrame:
+def quality_rules(docs: DataFrame, lang: str = "lang", text: str = "text", carry: list[str] | None = None, below: float = BELOW, above: float = ABOVE) -> DataFrame:
     """The columns carry, with counts, base_failed, log_ppl, the language's lower and upper band, and kept."""
     own = docs.select(text, lang, *[c for c in (docs.columns if carry is None else carry) if c not in (text, lang)])
     wanted = [c for c in (docs.columns if carry is None else carry) if c not in (*ADDED, "lower", "upper", "kept")]
     scored = materialize(score(own, train(docs, lang, text), lang, text, list(dict.fromkeys([*wanted, lang]))), "quality")
-    limits = bands(scored, lang, width)
+    limits = bands(scored, lang, below, above)
     joined = scored.join(limits, F.col(lang).eqNullSafe(F.col("__band")), "left")
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(True))
     return joined.select(*wanted, *ADDED, "lower", "upper", (~F.col("base_failed") & inside).alias("kept"))

@@ -51,6 +51,20 @@ def test_quality_cases(spark):
     assert quality.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_quality_bands_reject_planted_junk(spark, sf):
+    """Scrambled letters in some words (above the band) and a few words over and over in any order (below) go; clean text stays."""
+    big = sf.replace("sf0.001", "sf0.01")
+    clean = [r.text for r in spark.read.parquet(f"{big}/documents.parquet").join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("lang = 'en' and quality = 1 and length(text) between 600 and 6000").collect()]
+    rng = random.Random(0)
+    noise = [" ".join("".join(rng.sample(w, len(w))) if rng.random() < 0.3 else w for w in t.split(" ")) for t in clean[:10]]
+    dull = [" ".join(rng.choices(["the", "and", "of", "to"], k=200)) for _ in range(5)]
+    rows = [(i, t, "en") for i, t in enumerate(clean + noise + dull)]
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("not base_failed").collect()}
+    n = len(clean)
+    assert not any(kept[i] for i in range(n, len(rows)) if i in kept) and sum(i >= n for i in kept) >= 12
+    assert sum(kept[i] for i in kept if i < n) >= 0.93 * sum(i < n for i in kept)
+
+
 def slow_kneser_ney(texts, order, classes):
     """Interpolated modified Kneser-Ney with plain dictionaries; returns p(gram) for the last symbol of a gram."""
     top = Counter(t[i : i + order] for t in texts for i in range(len(t) - order + 1))
