@@ -7,10 +7,10 @@ known error bound. A candidate pair whose estimate plus the bound is below the t
 others are recomputed exactly, in double precision, from the stored vectors. No link is ever taken from an
 estimate.
 
-Candidates share all bits of some table, a random choice of code bits. The number of bits grows with the
-logarithm of the number of vectors, so chance collisions stay in proportion to it, and the number of
-tables is chosen so that a pair exactly at the threshold is missed by all of them with probability ``miss``
-at most (closer pairs: far less).
+Candidates share all bits of some table: the sides of random hyperplanes that are drawn afresh for each table,
+so tables are independent. The number of bits grows with the logarithm of the number of vectors, so chance
+collisions stay in proportion to it, and the number of tables is chosen so that a pair exactly at the threshold
+is missed by all of them with probability ``miss`` at most (closer pairs: far less).
 
 Large groups. Equal vectors are one class. A table entry of more than GROUP classes pairs each only with the
 group's first. A class within half of the linking angle of such a leader joins its ball (the least leader's);
@@ -18,7 +18,8 @@ two members of a ball are linked by the triangle inequality, so a ball counts it
 them. Only pairs of such groups that lie in different balls are then listed.
 
 Scale: keys and class ids are packed by bucket before the shuffle; vectors are joined to candidate pairs.
-Intermediate tables are in the shared folder; the rotation is the only broadcast (dimension x bits).
+Intermediate tables are in the shared folder; every task makes the rotation and the hyperplanes anew
+(dimension x bits, the latter for each table).
 
 Defined results: a vector that is null, zero, or has null or non-finite components links with nothing; so do
 vectors of different lengths. Rows with equal keys count as different vectors of one id. A null key takes
@@ -94,7 +95,7 @@ def _vectors(column: pa.Array, dtype: str) -> list[bytes | None]:
 
 def _tables(batches: Iterator[pa.RecordBatch], bits: int, tables: int, buckets: int, dtype: str) -> Iterator[pa.RecordBatch]:
     """Table entries of the classes (cid, x), packed by bucket."""
-    turns: dict[int, np.ndarray] = {}
+    planes: dict[int, np.ndarray] = {}
     pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         cids, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -105,11 +106,10 @@ def _tables(batches: Iterator[pa.RecordBatch], bits: int, tables: int, buckets:
         for size, members in by_dim.items():
             x = np.stack([np.frombuffer(raw[i], dtype) for i in members]).astype(float)
             dim = x.shape[1]
-            turn = turns.setdefault(dim, rotation(dim, code_bits(dim)))
-            signs = encode(x, turn)[0]
-            choice = np.random.default_rng([SEED, dim, bits])
+            if dim not in planes:
+                planes[dim] = np.random.default_rng([SEED, dim, bits]).standard_normal((tables, dim, bits))
             for t in range(tables):
-                word = signs[:, choice.choice(turn.shape[0], bits, replace=False)] @ (1 << np.arange(bits, dtype=np.int64))
+                word = (x @ planes[dim][t] > 0) @ (1 << np.arange(bits, dtype=np.int64))
                 keys.append(mix(word.astype(np.uint64) ^ mix(np.array([t * 1_000_003 + dim], np.uint64) + M1)))
                 of.append(np.array(members))
         if not keys:

@@ -7,7 +7,9 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from docloom.llm import embedding_dedup, jaccard_join, suffix_dedup
 from docloom.llm.components import connected_components
@@ -214,6 +216,29 @@ def test_vector_query(spark, sf):
     assert got == brute_vectors(rows, 0.9)
 
 
+def test_tables_miss_no_more_than_promised():
+    """Pairs exactly at the threshold: 4,000 of them, with the tables for 100,000 vectors, and 1e-4 promised."""
+    rng = np.random.default_rng(8)
+    a, b = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 4000, 64)))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    bits, tables = embedding_dedup.tables_for(100_000, 0.9)
+    met = np.zeros(4000, bool)
+    for at in range(0, 4000, 500):
+        rows = np.concatenate([a[at : at + 500], b[at : at + 500]])
+        batch = pa.RecordBatch.from_arrays([pa.array([i.to_bytes(16, "big") for i in range(1000)], pa.binary()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["cid", "x"])
+        (raw,) = (zstandard.ZstdDecompressor().decompress(z.as_py()) for part in embedding_dedup._tables(iter([batch]), bits, tables, 1, "<f8") for z in part.column(1))
+        n = len(raw) // 20
+        key, node = np.frombuffer(raw, "<u4", n), np.frombuffer(raw, np.uint8, 16 * n, 4 * n).reshape(n, 16)[:, 14:].astype(int) @ [256, 1]
+        left = {(k, i) for k, i in zip(key.tolist(), node.tolist()) if i < 500}
+        for k, i in zip(key.tolist(), node.tolist()):
+            if i >= 500 and (k, i - 500) in left:
+                met[at + i - 500] = True
+    missed = int((~met).sum())
+    print(f"missed {missed} of 4000")
+    assert missed <= 4
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(5)
     turn = embedding_dedup.rotation(64, 256)
