@@ -21,10 +21,12 @@ step 2, and for the removal). Intermediate tables are in the shared folder. Runs
 told apart by hashes of 100 bits or more; step 2 compares the bytes.
 
 Defined results: texts are UTF-8 bytes, a null text is empty; matches never cross texts; strings are judged
-on the input. "Earlier" is by (key, start): rows that share a key are not removed against each
-other at equal starts, and what is removed from one of them is removed from all, within their length. A null
-key counts as the largest. Texts shorter than LENGTH stay whole. Extra columns are ignored: the results
-have the key and the digest columns; ``remaining_text`` returns texts instead.
+on the input. A document is a key with a text (told apart by a 64-bit hash), so unlike texts under one key, or
+under no key, are different documents; rows that repeat both are one document and get equal results.
+"Earlier" is by (key, hash of the text, start), and a null key counts as the largest. Keys may be of any type
+that can be sorted; those that are no whole numbers are numbered in their order first. Texts shorter
+than LENGTH stay whole. Extra columns are ignored: the results have the key and the digest columns;
+``remaining_text`` returns texts instead.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ FLUSH, HOT = 1 << 20, 16
 #: Hot windows that a task holds before it settles the equal ones among them.
 WINDOWS_HELD = 1 << 21
 NO_KEY = (1 << 63) - 1
-FIELDS = [("gram", "<u4"), ("run", "<u8"), ("key", "<i8"), ("start", "<u4"), ("off", "u1"), ("count", "u1"), ("flag", "u1")]
+FIELDS = [("gram", "<u4"), ("run", "<u8"), ("key", "<i8"), ("doc", "<i8"), ("start", "<u4"), ("off", "u1"), ("count", "u1"), ("flag", "u1")]
 PLAIN, SETTLED, SPREAD, MARK = 0, 1, 2, 3
 REMOVED, COMPARE, WINDOWS = 0, 1, 2
 
@@ -107,30 +109,30 @@ def _gather(batches: Iterator[pa.RecordBatch], buckets: int, length: int, gram:
         nonlocal rows
         if not held:
             return
-        grams, run, key, start, off, count = (np.concatenate(x) for x in zip(*held))
+        grams, run, key, doc, start, off, count = (np.concatenate(x) for x in zip(*held))
         held.clear()
         rows = 0
-        order = np.lexsort((start, key, run, grams))
-        grams, run, key, start, off, count = (x[order] for x in (grams, run, key, start, off, count))
+        order = np.lexsort((start, doc, key, run, grams))
+        grams, run, key, doc, start, off, count = (x[order] for x in (grams, run, key, doc, start, off, count))
         new_gram = np.concatenate([[True], grams[1:] != grams[:-1]])
         new_run = new_gram | np.concatenate([[True], run[1:] != run[:-1]])
         flag = np.where(new_run, PLAIN, SETTLED)
-        # Equal (key, start) can only be repeated rows; they do not settle each other.
-        tie = np.concatenate([[False], (key[1:] == key[:-1]) & (start[1:] == start[:-1])])
+        # Equal (key, doc, start) can only be repeated rows; they do not settle each other.
+        tie = np.concatenate([[False], (key[1:] == key[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])])
         flag[tie & ~new_run] = PLAIN
         group = np.cumsum(new_gram) - 1
         frequent = np.bincount(group, new_run) > hot
         flag[(flag == PLAIN) & frequent[group]] = SPREAD
-        where = np.where(flag == PLAIN, grams, mix(grams ^ run ^ mix(key.astype(np.uint64) + start.astype(np.uint64) * M1)))
+        where = np.where(flag == PLAIN, grams, mix(grams ^ run ^ mix((key ^ doc).astype(np.uint64) + start.astype(np.uint64) * M1)))
         marks = grams[new_gram][frequent]
         if len(marks):
             none = np.zeros(len(marks), np.int64)
-            grams, run, key, start, off, count = (np.concatenate([x, y]) for x, y in ((grams, marks), (run, none.astype(np.uint64)), (key, none), (start, none), (off, none), (count, none)))
+            grams, run, key, doc, start, off, count = (np.concatenate([x, y]) for x, y in ((grams, marks), (run, none.astype(np.uint64)), (key, none), (doc, none), (start, none), (off, none), (count, none)))
             flag, where = np.concatenate([flag, none + MARK]), np.concatenate([where, marks])
         bucket = ((where >> U(32)) % U(buckets)).astype(np.int64)
         order = np.lexsort((grams & U(0xFFFFFFFF), bucket))
         bucket = bucket[order]
-        columns = [x[order] for x in (grams & U(0xFFFFFFFF), run, key, start, off, count, flag)]
+        columns = [x[order] for x in (grams & U(0xFFFFFFFF), run, key, doc, start, off, count, flag)]
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
         for i in range(0, len(cuts) - 1, 256):
             spans = list(zip(cuts[i : i + 256], cuts[i + 1 : i + 257]))
@@ -138,48 +140,48 @@ def _gather(batches: Iterator[pa.RecordBatch], buckets: int, length: int, gram:
             yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     for batch in batches:
-        keys = batch.column(1).to_numpy()
+        keys, docs = batch.column(1).to_numpy(), batch.column(2).to_numpy()
         for row, data, offsets in blocks(batch.column(0), 1 << 19):
             found = anchors(data, offsets, length, gram)
             if len(found[0]):
-                held.append((found[0], found[1], keys[row:][found[2]], *found[3:]))
+                held.append((found[0], found[1], keys[row:][found[2]], docs[row:][found[2]], *found[3:]))
                 rows += len(found[0])
         if rows >= FLUSH:
             yield from flush()
     yield from flush()
 
 
-SORTED_OUT = "key long, start long, off int, count int, kind int, gram long"
+SORTED_OUT = "key long, doc long, start long, off int, count int, kind int, gram long"
 
 
 def _classes(table: pa.Table) -> pa.Table:
     """Of one bucket: runs to remove, runs to compare, and runs of hot grams."""
     bucket = table.column("bucket")[0].as_py()
-    gram, run, key, start, off, count, flag = (np.concatenate(x) for x in zip(*(_unpack(b) for b in table.column("blob").to_pylist())))
+    gram, run, key, doc, start, off, count, flag = (np.concatenate(x) for x in zip(*(_unpack(b) for b in table.column("blob").to_pylist())))
     kind = np.full(len(gram), -1)
     kind[flag == SETTLED] = REMOVED
     kind[flag == SPREAD] = WINDOWS
     marked = np.unique(gram[flag == MARK])
     at = np.flatnonzero(flag == PLAIN)
-    at = at[np.lexsort((start[at], key[at], run[at], gram[at]))]
+    at = at[np.lexsort((start[at], doc[at], key[at], run[at], gram[at]))]
     if len(at):
         g, r = gram[at], run[at]
         new_gram = np.concatenate([[True], g[1:] != g[:-1]])
         new_run = new_gram | np.concatenate([[True], r[1:] != r[:-1]])
         group, class_of = np.cumsum(new_gram) - 1, np.cumsum(new_run) - 1
         first = np.flatnonzero(new_run)[class_of]
-        tie = (key[at] == key[at][first]) & (start[at] == start[at][first])
+        tie = (key[at] == key[at][first]) & (doc[at] == doc[at][first]) & (start[at] == start[at][first])
         kind[at[~tie]] = REMOVED
         several = np.bincount(group, new_run) > 1
         is_hot = np.isin(g, marked)
         kind[at[tie & several[group] & ~is_hot]] = COMPARE
         kind[at[tie & is_hot]] = WINDOWS
     out = np.flatnonzero(kind >= 0)
-    columns = [key[out], start[out].astype(np.int64), off[out].astype(np.int32), count[out].astype(np.int32), kind[out].astype(np.int32), (bucket << 32) | gram[out].astype(np.int64)]
+    columns = [key[out], doc[out], start[out].astype(np.int64), off[out].astype(np.int32), count[out].astype(np.int32), kind[out].astype(np.int32), (bucket << 32) | gram[out].astype(np.int64)]
     return pa.table({f.split()[0]: pa.array(c) for f, c in zip(SORTED_OUT.split(", "), columns)})
 
 
-FETCHED = "gram long, blob binary, w1 long, w2 long, key long, start long, stop long"
+FETCHED = "gram long, blob binary, w1 long, w2 long, key long, doc long, start long, stop long"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -195,11 +197,11 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iter
         pack = zstandard.ZstdCompressor(level=3)
         blobs = []
         for rows in held.values():
-            meta = np.array([r[:5] for r in rows], "<i8")
-            blobs.append(pack.compress(np.int64(len(rows)).tobytes() + meta.tobytes() + b"".join(r[5] for r in rows)))
+            meta = np.array([r[:6] for r in rows], "<i8")
+            blobs.append(pack.compress(np.int64(len(rows)).tobytes() + meta.tobytes() + b"".join(r[6] for r in rows)))
         if blobs:
             k = len(blobs)
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(blobs, pa.binary()), *[pa.nulls(k, pa.int64())] * 5], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(blobs, pa.binary()), *[pa.nulls(k, pa.int64())] * 6], names=names)
         held.clear()
         size = 0
 
@@ -207,41 +209,39 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iter
         nonlocal windows
         if not hot:
             return
-        w1, w2, key, start = (np.concatenate(x) for x in zip(*hot))
+        w1, w2, key, doc, start = (np.concatenate(x) for x in zip(*hot))
         hot.clear()
         windows = 0
-        order = np.lexsort((start, key, w2, w1))
-        w1, w2, key, start = w1[order], w2[order], key[order], start[order]
+        order = np.lexsort((start, doc, key, w2, w1))
+        w1, w2, key, doc, start = (x[order] for x in (w1, w2, key, doc, start))
         new = np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = (key != key[first]) | (start != start[first])
+        later = (key != key[first]) | (doc != doc[first]) | (start != start[first])
         w1, w2 = w1[new].view(np.int64), w2[new].view(np.int64)
         for a in range(0, len(w1), 1 << 16):
             s = slice(a, a + (1 << 16))
             m = len(w1[s])
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(w1[s]), pa.array(w2[s]), pa.array(key[new][s]), pa.array(start[new][s]), pa.nulls(m, pa.int64())], names=names)
-        spans = _merged(key[later], start[later], length)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(w1[s]), pa.array(w2[s]), pa.array(key[new][s]), pa.array(doc[new][s]), pa.array(start[new][s]), pa.nulls(m, pa.int64())], names=names)
+        spans = _merged(key[later], doc[later], start[later], length)
         m = len(spans[0])
         if m:
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), *map(pa.array, spans)], names=names)
 
     for batch in batches:
-        for key, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for key, doc, text, runs in zip(*(batch.column(i).to_pylist() for i in range(4))):
             text = text or b""
             asked = []
             for r in runs:
                 end = r["start"] + r["count"] - 1 + length
-                if end > len(text):  # of another row with this key
-                    continue
                 if r["kind"] == COMPARE:
                     part = text[r["start"] : end]
-                    held.setdefault((r["gram"] >> 32) % buckets, []).append((r["gram"], key, r["start"], r["off"], r["count"], part))
+                    held.setdefault((r["gram"] >> 32) % buckets, []).append((r["gram"], key, doc, r["start"], r["off"], r["count"], part))
                     size += len(part)
                 else:
                     asked.append(np.arange(r["start"], r["start"] + r["count"], dtype=np.int64))
             if asked:
                 begin = np.concatenate(asked)
-                hot.append((*_window_hashes(np.frombuffer(text, np.uint8), begin, length), np.full(len(begin), key, np.int64), begin))
+                hot.append((*_window_hashes(np.frombuffer(text, np.uint8), begin, length), np.full(len(begin), key, np.int64), np.full(len(begin), doc, np.int64), begin))
                 windows += len(begin)
                 if windows >= WINDOWS_HELD:
                     yield from settle()
@@ -251,15 +251,15 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iter
     yield from settle()
 
 
-def _merged(key: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, starts and stops of the stretches that windows of this length cover."""
-    order = np.lexsort((begin, key))
-    key, begin = key[order], begin[order]
+def _merged(key: np.ndarray, doc: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Keys, documents, starts and stops of the stretches that windows of this length cover."""
+    order = np.lexsort((begin, doc, key))
+    key, doc, begin = key[order], doc[order], begin[order]
     if not len(key):
-        return key, begin, begin
-    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (begin[1:] > begin[:-1] + length)]))
+        return key, doc, begin, begin
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (begin[1:] > begin[:-1] + length)]))
     last = np.append(first[1:], len(key)) - 1
-    return key[first], begin[first], begin[last] + length
+    return key[first], doc[first], begin[first], begin[last] + length
 
 
 def _window_hashes(data: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,7 +273,7 @@ def _window_hashes(data: np.ndarray, begin: np.ndarray, length: int) -> tuple[np
     return mix((one[end] - one[begin]) * inverse[begin] + (two[end] - two[begin]) * inverse[begin] * M1), mix((other[end] - other[begin]) * back[begin])
 
 
-SPANS_OUT = "key long, start long, stop long"
+SPANS_OUT = "key long, doc long, start long, stop long"
 
 
 def _compare(table: pa.Table, length: int, gram: int) -> pa.Table:
@@ -282,16 +282,16 @@ def _compare(table: pa.Table, length: int, gram: int) -> pa.Table:
     for blob in table.column("blob").to_pylist():
         raw = zstandard.ZstdDecompressor().decompress(blob)
         n = int(np.frombuffer(raw, "<i8", 1)[0])
-        m = np.frombuffer(raw, "<i8", 5 * n, 8).reshape(n, 5)
-        at = 8 + 40 * n
-        for size in m[:, 4] - 1 + length:
+        m = np.frombuffer(raw, "<i8", 6 * n, 8).reshape(n, 6)
+        at = 8 + 48 * n
+        for size in m[:, 5] - 1 + length:
             parts.append(raw[at : at + int(size)])
             at += int(size)
         meta.append(m)
     rows = np.concatenate(meta)
     order = np.argsort(rows[:, 0], kind="stable")
     cuts = np.flatnonzero(np.concatenate([[True], np.diff(rows[order, 0]) != 0, [True]]))
-    offs = rows[:, 3].tolist()
+    offs = rows[:, 4].tolist()
     after = [p[o:] for p, o in zip(parts, offs)]
     before = [p[:o][::-1] for p, o in zip(parts, offs)]
     n = len(rows)
@@ -304,7 +304,7 @@ def _compare(table: pa.Table, length: int, gram: int) -> pa.Table:
             found = sort_group(strings, group, depth)
             numbers[at : at + len(found)], prefixes[at : at + len(found)] = zip(*found)
         at += len(group)
-    keys, starts, off, count = rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 4]
+    keys, docs, starts, off, count = (rows[:, i] for i in range(1, 6))
     class_right, class_left = np.zeros(n, np.int64), np.zeros(n, np.int64)
     spans: list[tuple[np.ndarray, np.ndarray]] = []
     for j in range(length - gram + 1):  # windows whose anchor is at offset j
@@ -315,39 +315,57 @@ def _compare(table: pa.Table, length: int, gram: int) -> pa.Table:
         class_left[left[0]] = np.cumsum(left[1] < j)
         own = np.flatnonzero(has)
         begin = starts[own] + off[own] - j
-        own_order = np.lexsort((begin, keys[own], class_left[own], class_right[own]))
+        own_order = np.lexsort((begin, docs[own], keys[own], class_left[own], class_right[own]))
         own, begin = own[own_order], begin[own_order]
         new = np.concatenate([[True], (class_right[own][1:] != class_right[own][:-1]) | (class_left[own][1:] != class_left[own][:-1])])
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = (keys[own] != keys[own[first]]) | (begin != begin[first])
-        spans.append((keys[own[later]], begin[later]))
-    key, begin = (np.concatenate(x) for x in zip(*spans)) if spans else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return pa.table(dict(zip(("key", "start", "stop"), map(pa.array, _merged(key, begin, length)))))
-
-
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """key, start and stop (bytes; may overlap) of what also starts earlier, over all texts."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    own = docs.select(F.col(text).cast("string").cast("binary").alias("__text"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("__key"))
+        later = (keys[own] != keys[own[first]]) | (docs[own] != docs[own[first]]) | (begin != begin[first])
+        spans.append((keys[own[later]], docs[own[later]], begin[later]))
+    key, doc, begin = (np.concatenate(x) for x in zip(*spans)) if spans else (np.zeros(0, np.int64),) * 3
+    return pa.table(dict(zip(("key", "doc", "start", "stop"), map(pa.array, _merged(key, doc, begin, length)))))
+
+
+def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """__own (the key), __text (bytes), and the document: __key (a whole number in the keys' order) and __doc."""
+    body = F.col(text).cast("string").cast("binary")
+    rows = docs.select(F.col(key).alias("__own"), body.alias("__text"), F.xxhash64(F.coalesce(body, F.lit(b""))).alias("__doc"))
+    if isinstance(docs.schema[key].dataType, T.IntegralType):
+        return rows.withColumn("__key", F.coalesce(F.col("__own").cast("long"), F.lit(NO_KEY)))
+    # Sorted ranges of the distinct keys: numbers that grow with the key, made once and written down.
+    ordered = rows.select("__own").where("__own is not null").distinct().sort("__own")
+    numbers = materialize(ordered.select(F.col("__own").alias("__name"), F.monotonically_increasing_id().alias("__number")), "keys")
+    return rows.join(numbers, F.col("__own") == F.col("__name"), "left").select("__own", "__text", "__doc", F.coalesce("__number", F.lit(NO_KEY)).alias("__key"))
+
+
+def _spans(own: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """key, doc, start and stop (bytes; may overlap) of what also starts earlier, over all texts."""
     buckets = max(64, 4 * own.rdd.getNumPartitions())
-    packed = own.mapInArrow(tidy(lambda it: _gather(it, buckets, length, gram, hot)), "bucket long, blob binary")
+    packed = own.select("__text", "__key", "__doc").mapInArrow(tidy(lambda it: _gather(it, buckets, length, gram, hot)), "bucket long, blob binary")
     runs = materialize(packed.groupBy("bucket").applyInArrow(_classes, SORTED_OUT), "runs")
-    whole = runs.where(F.col("kind") == REMOVED).select("key", "start", (F.col("start") + F.col("count") - 1 + length).alias("stop"))
+    whole = runs.where(F.col("kind") == REMOVED).select("key", "doc", "start", (F.col("start") + F.col("count") - 1 + length).alias("stop"))
 
-    asked = runs.where(F.col("kind") != REMOVED).groupBy("key").agg(F.collect_list(F.struct("start", "off", "count", "kind", "gram")).alias("runs"))
-    joined = own.join(asked, own["__key"] == asked["key"]).select("key", "__text", "runs")
+    asked = runs.where(F.col("kind") != REMOVED).groupBy("key", "doc").agg(F.collect_list(F.struct("start", "off", "count", "kind", "gram")).alias("runs"))
+    joined = own.join(asked, (own["__key"] == asked["key"]) & (own["__doc"] == asked["doc"])).select("key", "doc", "__text", "runs")
     fetched = materialize(joined.mapInArrow(tidy(lambda it: _fetch(it, length, buckets)), FETCHED), "fetched")
     blobs = fetched.where("blob is not null").select(F.col("gram").alias("bucket"), "blob")
     compared = blobs.groupBy("bucket").applyInArrow(lambda t: _compare(t, length, gram), SPANS_OUT)
 
-    settled = fetched.where("stop is not null").select("key", "start", "stop")
-    windows = fetched.where("w1 is not null").select("w1", "w2", "key", "start")
-    earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("key", "start")).alias("__first"))
-    later = windows.join(earliest, ["w1", "w2"]).where(F.struct("key", "start") != F.col("__first")).select("key", "start", (F.col("start") + length).alias("stop"))
+    settled = fetched.where("stop is not null").select("key", "doc", "start", "stop")
+    windows = fetched.where("w1 is not null").select("w1", "w2", "key", "doc", "start")
+    earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("key", "doc", "start")).alias("__first"))
+    later = windows.join(earliest, ["w1", "w2"]).where(F.struct("key", "doc", "start") != F.col("__first")).select("key", "doc", "start", (F.col("start") + length).alias("stop"))
     return whole.unionByName(compared).unionByName(settled).unionByName(later)
 
 
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """key, text hash (doc), start and stop (bytes; may overlap) of what also starts earlier, over all texts."""
+    small_batches(docs.sparkSession)
+    own = _identified(docs, key, text)
+    names = own.select("__own", F.col("__key").alias("key")).distinct()
+    found = _spans(own, length, gram, hot).join(names, "key").select("__own", "doc", "start", "stop")
+    return found.withColumnRenamed("__own", key) if key != "doc" else found.select(F.col("__own").alias(key), "start", "stop")
+
+
 def merge_spans(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
     """Maximal runs that the spans cover, within size bytes."""
     out: list[tuple[int, int]] = []
@@ -371,10 +389,10 @@ def _cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, key: str, text: str, make: Callable, out: T.StructType, length: int, hot: int) -> DataFrame:
-    found = repeated_spans(docs, key, text, length, hot=hot)
-    lists = found.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
-    own = docs.select(F.col(key).alias("__own"), F.col(text).cast("string").cast("binary").alias("__text"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("__key"))
-    joined = own.join(lists, own["__key"] == lists["key"], "left").select("__own", "__text", "__spans")
+    small_batches(docs.sparkSession)
+    own = _identified(docs, key, text)
+    lists = _spans(own, length, GRAM, hot).groupBy("key", "doc").agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
+    joined = own.join(lists, (own["__key"] == lists["key"]) & (own["__doc"] == lists["doc"]), "left").select("__own", "__text", "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
