@@ -4,13 +4,15 @@ A document is the set of its distinct word shingles. Sets fall into size bands.
 similarity, their symmetric difference is at most H, a bound that the band knows. The universe of shingles
 is hashed into the band's segments; a segment that must match exactly takes one unit of the difference to
 break, a segment with its one-deletion neighbourhood takes two. With more than H units some segment of such
-a pair must match. A cost model allots segments to the two kinds per band. Each set indexes the
+a pair must match. A cost model allots segments to the two kinds per band: on a bounded sample of the documents
+it counts, for several allotments, the index rows of a band and the distinct pairs that meet there, scales
+them to all documents (rows with their number, pairs with its square) and takes the cheapest. Each set indexes the
 segments of its own band and of the bands of smaller sets it can still be similar to.
 
 Weak segments, which are empty or have nothing but frequent shingles (of a passage that many documents
 share), would make candidates of documents that share little. Bands have some segments to spare, so a similar
-pair matches in more segments than that; a set with no more weak segments than are spare does not index
-them, and only sets with more of them do. Which shingles are frequent is estimated from a bounded sample into
+pair matches in more segments than that; a set with no more weak exact segments than are spare does not index
+them, and only sets with more of them do (segments with neighbourhoods are always indexed). Which shingles are frequent is estimated from a bounded sample into
 a bitmap of fixed size. It is the same for all sets, so it decides what is indexed and never what is found.
 
 Signatures are packed by bucket (about seven bytes each) before they are shuffled. Sets that share a
@@ -26,9 +28,10 @@ tables are in the shared folder. Shingles are told apart by 64-bit hashes.
 
 Defined results: A-Z are lower-cased; a set has all shingles of ``width`` words, or the whole sequence if
 there are fewer words. A null text, or one without words, has an empty set and links with nothing. The
-component is the smallest key it reaches, itself included. Rows whose key is null are returned with
-their class's component. Repeated rows and keys stay repeated. Extra columns are ignored by ``links`` and
-``components``, which return keys only.
+component is the smallest key it reaches, itself included. Documents are told apart by their sets, never by
+their keys: rows with a null key take part like others and are never the smallest (a component of such rows
+alone is null), and unlike texts under one key are compared, linked and returned one by one. Repeated rows
+stay repeated. Extra columns are ignored: the result has the key and the result columns.
 """
 
 from __future__ import annotations
@@ -52,6 +55,10 @@ from docloom.llm.textblocks import LOWER, M1, M2, M3, U, blocks, mix, sets_of, s
 FLUSH, FULL = 1 << 20, 12
 #: Frequent shingles: documents of the sample, cells of the bitmap, and the least count and share of the sample that make a cell frequent.
 SAMPLE, CELLS, LEAST_COUNT, LEAST_SHARE = 20_000, 1 << 22, 10, 0.0005
+#: The cost model: documents of its sample, shares of one-deletion segments it compares, and measured costs (in
+#: microseconds) of an index row and of a shingle of a text that is fetched and verified.
+COST_SAMPLE, SHARES = 4_000, (0.0, 0.25, 0.5, 1.0)
+ROW_COST, VERIFY_COST = 1.4, 0.8
 
 
 @dataclass(frozen=True)
@@ -81,54 +88,95 @@ class Band:
     spare: int
 
 
-def allot(lo: int, hi: int, apart: int, sets: float = 1e6, share: float = 1e-3) -> tuple[int, int]:
-    """Numbers of exact and of deleting segments with the least cost.
+def make_bands(similarity: Similarity, largest: int = 1 << 31, deleting: float | list[float] | None = None) -> list[Band]:
+    """Bands over which the smallest and the largest size can still be similar.
 
-    Cost: rows indexed, and false partners met, for ``sets`` sets of which two share a given shingle with
-    probability ``share``. One-deletion segments are larger and so rarer by chance, but index a row per shingle.
+    deleting: the share of one-deletion segments, from none (0) to as many as serve (1), of all bands or of each.
     """
-    best = None
-    for deleting in {0, (apart + 1) // 2, (apart + 2) // 2, 1 if apart else 0}:
-        exact = max(apart + 1 - 2 * deleting, 0)
-        m = exact + deleting
-        if not m:
-            continue
-        size = max((lo + hi) / 2 / m, 1.0)
-        rows = exact + deleting * (1 + size)
-        chance = exact * share**size + deleting * (1 + size) * share ** max(size - 1, 0.5)
-        cost = rows + sets * chance
-        if best is None or cost < best[0]:
-            best = (cost, exact, deleting)
-    return best[1:]
-
-
-def make_bands(similarity: Similarity, largest: int = 1 << 31, deleting: bool | None = None) -> list[Band]:
-    """Bands over which the smallest and the largest size can still be similar. deleting: forces the kind of segments."""
     out, lo = [], 1
     while lo <= largest:
         hi = max(lo, lo * similarity.q // similarity.p)
         apart = similarity.most_apart(hi, hi * similarity.q // similarity.p)
-        exact, dels = allot(lo, hi, apart)
-        if deleting is not None:
-            dels = (apart + 2) // 2 if deleting else 0
-            exact = 0 if deleting else apart + 1
-        m = exact + dels
-        spare = 0 if dels or m < 3 else int(np.ceil(m / 10)) + 1
-        out.append(Band(lo, hi, m + spare, dels, spare))
+        share = deleting[len(out)] if isinstance(deleting, list) else float(deleting or 0)
+        dels = round(share * ((apart + 2) // 2)) if apart else 0
+        exact = max(apart + 1 - 2 * dels, 0)
+        spare = 0 if exact < 3 else int(np.ceil(exact / 10)) + 1
+        out.append(Band(lo, hi, exact + spare + dels, dels, spare))
         lo = hi + 1
     return out
 
 
+def band_costs(values: np.ndarray, bounds: np.ndarray, bands: list[Band], similarity: Similarity, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Per band: index rows of these sets, and shingles of the distinct pairs that meet in it and have to be verified."""
+    keys, of, band = signatures(values, bounds, bands, similarity, frequent, with_band=True)
+    rows = np.bincount(band, minlength=len(bands))
+    order = np.lexsort((of, keys))
+    keys, of, band = keys[order], of[order], band[order]
+    if not len(keys):
+        return rows, np.zeros(len(bands))
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.append(start, len(keys)))
+    first, group = np.repeat(start, size), np.repeat(size, size)
+    place = np.arange(len(keys)) - first
+    left, right = [], []
+    for back in range(1, FULL):  # large groups are paired with two others first
+        at = np.flatnonzero((place >= back) & ((group <= FULL) | (back == 1)))
+        left.append(at - back)
+        right.append(at)
+    large = np.flatnonzero((place > 1) & (group > FULL))
+    left, right = np.concatenate([*left, first[large]]), np.concatenate([*right, large])
+    n = np.diff(bounds)
+    a, b = n[of[left]], n[of[right]]
+    near = (np.minimum(a, b) * similarity.q >= np.maximum(a, b) * similarity.p) & (of[left] != of[right])
+    met = np.unique(np.stack([band[right], np.minimum(of[left], of[right]), np.maximum(of[left], of[right])], axis=1)[near], axis=0)
+    return rows, np.bincount(met[:, 0], n[met[:, 1]] + n[met[:, 2]], len(bands))
+
+
+def allot(own: DataFrame, width: int, similarity: Similarity, frequent, total: int, sample: int = COST_SAMPLE) -> tuple[list[Band], list[dict]]:
+    """The bands with the cheapest allotment of each, and what was measured (band, share, rows and shingles to verify, cost).
+
+    own: __text. One task looks at about ``sample`` documents and gives a row per band and allotment.
+    """
+    share = 1.0 if total <= sample else sample / total
+    plain = make_bands(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, seen = [], set()
+        for batch in batches:
+            for _, data, offsets in blocks(batch.column(0)):
+                values, bounds = sets_in(data, offsets, width)
+                for i, c in enumerate(class_ids(values, bounds)):
+                    if bounds[i] < bounds[i + 1] and c not in seen:
+                        seen.add(c)
+                        sets.append(values[bounds[i] : bounds[i + 1]])
+        if not sets:
+            return
+        values, bounds = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        for part in SHARES:
+            rows, verified = band_costs(values, bounds, make_bands(similarity, deleting=part), similarity, frequent.value)
+            at = np.flatnonzero(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), part)), pa.array(rows[at] / share), pa.array(verified[at] / share**2)], names=["band", "part", "rows", "verified"])
+
+    picked = own.select("__text").where(F.rand(11) < share) if share < 1 else own.select("__text")
+    found = [r.asDict() for r in picked.repartition(1).mapInArrow(tidy(run), "band long, part double, rows double, verified double").collect()]
+    best = [0.0] * len(plain)
+    least = [float("inf")] * len(plain)
+    for r in sorted(found, key=lambda r: r["part"]):
+        r["cost"] = ROW_COST * r["rows"] + VERIFY_COST * r["verified"]
+        if r["cost"] < least[r["band"]]:
+            least[r["band"]], best[r["band"]] = r["cost"], r["part"]
+    return make_bands(similarity, deleting=best), found
+
+
 def cell(values: np.ndarray) -> np.ndarray:
     """The cell of the bitmap of frequent shingles."""
     return (values >> U(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
-def frequent_cells(own: DataFrame, width: int, sample: int = SAMPLE) -> np.ndarray:
-    """A bitmap (bool) of cells that many of about ``sample`` documents fall into; own: __text and __key."""
-    total = own.count()
+def frequent_cells(own: DataFrame, width: int, total: int, sample: int = SAMPLE) -> np.ndarray:
+    """A bitmap (bool) of cells that many of about ``sample`` documents fall into; own: __text."""
     share = 1.0 if total <= sample else sample / total
-    picked = own.where(F.pmod(F.xxhash64(F.col("__key").cast("string"), F.lit("sample")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)).select("__text")
+    picked = own.select("__text").where(F.rand(7) < share) if share < 1 else own.select("__text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros(CELLS, np.uint32), 0
@@ -150,8 +198,8 @@ def frequent_cells(own: DataFrame, width: int, sample: int = SAMPLE) -> np.ndarr
     return found
 
 
-def signatures(values: np.ndarray, bounds: np.ndarray, bands: list[Band], similarity: Similarity, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and set numbers of all signatures of a block's sets."""
+def signatures(values: np.ndarray, bounds: np.ndarray, bands: list[Band], similarity: Similarity, frequent: np.ndarray | None = None, with_band: bool = False) -> tuple[np.ndarray, ...]:
+    """Keys and set numbers (and bands) of all signatures of a block's sets."""
     n = np.diff(bounds)
     lows, width = np.array([b.lo for b in bands]), np.array([b.segments for b in bands])
     dels, spare = np.array([b.deleting for b in bands]), np.array([b.spare for b in bands])
@@ -160,7 +208,7 @@ def signatures(values: np.ndarray, bounds: np.ndarray, bands: list[Band], simila
     token = mix(values ^ M2)
     place = mix(values ^ M3)
     rare = np.ones(len(values), bool) if frequent is None else ~frequent[cell(values)]
-    keys, of = [], []
+    keys, of, bands_of = [], [], []
     for back in range(int((own - least)[n > 0].max(initial=0)) + 1):
         sets = np.flatnonzero((n > 0) & (own - back >= least))
         if not len(sets):
@@ -177,18 +225,20 @@ def signatures(values: np.ndarray, bounds: np.ndarray, bands: list[Band], simila
         np.add.at(sums_of, slot, token[index])
         strong = np.bincount(slot[rare[index]], minlength=at[-1]) > 0
         owner = np.repeat(np.arange(len(sets)), m)
-        weak = sums(~strong, at)
-        keep = strong | (dels[band] > 0)[owner] | (weak > spare[band])[owner]
+        deletes = np.arange(at[-1]) - at[owner] >= (m - dels[band])[owner]
+        weak = sums(~strong & ~deletes, at)
+        keep = strong | deletes | (weak > spare[band])[owner]
         salt = mix((band[owner].astype(np.uint64) << U(32)) + (np.arange(at[-1]) - at[owner]).astype(np.uint64) + M1)
         keys.append(mix(sums_of[keep] ^ salt[keep]))
         of.append(sets[owner[keep]])
-        deleting = np.flatnonzero(segment >= (m - dels[band])[local]) if dels.any() else np.zeros(0, np.int64)
+        bands_of.append(band[owner[keep]])
+        deleting = np.flatnonzero(deletes[slot]) if dels.any() else np.zeros(0, np.int64)
         if len(deleting):
             keys.append(mix((sums_of[slot[deleting]] - token[index[deleting]]) ^ salt[slot[deleting]]))
             of.append(sets[local[deleting]])
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(of)
+            bands_of.append(band[local[deleting]])
+    found = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((keys, np.uint64), (of, np.int64), (bands_of, np.int64)))
+    return tuple(found) if with_band else tuple(found)[:2]
 
 
 def sets_in(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,12 +254,13 @@ def class_ids(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in joined]
 
 
-SIGNED = "n long, cid binary, node long, bucket long, tag long, blob binary"
+SIGNED = "doc long, n long, cid binary, node long, bucket long, tag long, blob binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch], width: int, similarity: Similarity, bands: list[Band], buckets: int, key: str, frequent) -> Iterator[pa.RecordBatch]:
     tag = TaskContext.get().partitionId()
     schema_of_key = None
+    names = [key, *(f.split()[0] for f in SIGNED.split(", "))]
     held: list[tuple[np.ndarray, np.ndarray]] = []
     seen: dict[bytes, int] = {}
     rows = made = 0
@@ -232,8 +283,8 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, similarity: Similarity,
             spans = list(zip(cuts[i : i + 256], cuts[i + 1 : i + 257]))
             blobs = [pack.compress(np.diff(low[a:b], prepend=np.uint32(0)).tobytes() + nodes[a:b].tobytes()) for a, b in spans]
             k = len(blobs)
-            columns = [pa.nulls(k, schema_of_key), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), pa.array([tag] * k, pa.int64()), pa.array(blobs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "n", "cid", "node", "bucket", "tag", "blob"])
+            columns = [pa.nulls(k, schema_of_key), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), pa.array([tag] * k, pa.int64()), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     for batch in batches:
         schema_of_key = batch.schema.field(1).type
@@ -258,8 +309,8 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, similarity: Similarity,
             rows += len(keys)
             k = len(n)
             none = n == 0
-            columns = [batch.column(1).slice(row, k), pa.array(n), pa.array([None if e else c for c, e in zip(ids, none)], pa.binary()), pa.array((tag << 32) | nodes, mask=none), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "n", "cid", "node", "bucket", "tag", "blob"])
+            columns = [batch.column(1).slice(row, k), batch.column(2).slice(row, k), pa.array(n), pa.array([None if e else c for c, e in zip(ids, none)], pa.binary()), pa.array((tag << 32) | nodes, mask=none), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
             if rows >= FLUSH:
                 yield from flush()
     yield from flush()
@@ -313,16 +364,35 @@ def _meet(table: pa.Table) -> pa.Table:
     )
 
 
-def _packed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, cid and the compressed text of the rows of docs (key, text, cid)."""
+def _packed(docs: DataFrame, text: str) -> DataFrame:
+    """cid and the compressed text of the rows of docs (cid, text); a task gives each class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack, seen = zstandard.ZstdCompressor(level=1), set()
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress(t) for t in texts], pa.binary())], names=["cid", "z"])
+            if len(seen) > 1 << 20:
+                seen.clear()
+            new = [i for i, c in enumerate(batch.column(0).to_pylist()) if not (c in seen or seen.add(c))]
+            rows = batch.take(pa.array(new, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([pack.compress(t) for t in rows.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["cid", "z"])
 
-    return docs.select("cid", text).mapInArrow(run, "cid binary, z binary")
+    return docs.select("cid", text).mapInArrow(tidy(run), "cid binary, z binary")
+
+
+def _class_texts(own: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cid and the compressed text of one row of each wanted class.
+
+    A row is found by its key and the hash of its text, as keys may repeat or be null.
+    """
+    chosen = rows.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct(F.col("__key").alias("k"), F.col("doc").alias("d"))).alias("__r"))
+    chosen = materialize(chosen.select("cid", F.col("__r.k").alias("__k"), F.col("__r.d").alias("__d")), "chosen")
+    picked = own.join(if_small(chosen), F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__doc") == F.col("__d"))).select("cid", "__text")
+    texts = materialize(_packed(picked, "__text"), "texts")
+    if texts.count() == chosen.count():
+        return texts
+    once = materialize(texts.groupBy("cid").agg(F.first("z").alias("z")), "texts")  # rows that repeat stood in several tasks
+    drop_table(texts)
+    return once
 
 
 def shared_counts(values: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -479,18 +549,20 @@ def _across(rest: DataFrame, component: DataFrame, texts: DataFrame, width: int,
     return materialize(rows.select("family", "block_x", "block_y", "side", "cid", "comp", "z").groupBy("family", "block_x", "block_y").applyInArrow(lambda t: _block_links(t, width, similarity), "a binary, b binary"), "across")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: Similarity = Similarity(80, 100), deleting: bool | None = None) -> DataFrame:
-    """key, n_shingles and component_id of every row of docs."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: Similarity = Similarity(80, 100), deleting: float | None = None) -> DataFrame:
+    """key, n_shingles and component_id of every row of docs. deleting: the share of one-deletion segments, in place of the cost model's."""
     spark = docs.sparkSession
     small_batches(spark)
-    bands = make_bands(similarity, deleting=deleting)
-    own = docs.select(F.col(text).cast("string").alias("__text"), F.col(key).alias("__key"))
+    body = F.col(text).cast("string")
+    own = docs.select(body.alias("__text"), F.col(key).alias("__key"), F.xxhash64(body).alias("__doc"))
     buckets = max(64, 4 * own.rdd.getNumPartitions())
-    frequent = spark.sparkContext.broadcast(frequent_cells(own, width))
+    total = own.count()
+    frequent = spark.sparkContext.broadcast(frequent_cells(own, width, total))
+    bands = allot(own, width, similarity, frequent, total)[0] if deleting is None else make_bands(similarity, deleting=deleting)
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField("__key", kind), *T._parse_datatype_string(SIGNED).fields])
     signed = materialize(own.mapInArrow(tidy(lambda it: _sign(it, width, similarity, bands, buckets, "__key", frequent)), schema), "signatures")
-    rows = materialize(signed.where("bucket is null").select("__key", "n", "cid", "node"), "sets")
+    rows = materialize(signed.where("bucket is null").select("__key", "doc", "n", "cid", "node"), "sets")
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("__key").alias("__rep"), F.first("n").alias("n"))
 
     met = materialize(signed.where("bucket is not null").select("bucket", "tag", "blob").groupBy("bucket").applyInArrow(_meet, MET), "met")
@@ -505,9 +577,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     drop_table(met)
 
     wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).unionByName(rest.select("cid")).distinct()
-    chosen = materialize(classes.join(wanted, "cid", "left_semi").select("cid", F.col("__rep").alias("__key")), "chosen")
-    packed = own.join(if_small(chosen), "__key").select("cid", "__text")
-    texts = materialize(_packed(packed, "__key", "__text"), "texts")
+    texts = _class_texts(own, rows, wanted)
     links = materialize(_verify(pairs, texts, width, similarity), "links")
     found = links.where("linked").select("a", "b")
     component = connected_components(found)

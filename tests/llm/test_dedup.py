@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 import zstandard
 
 from docloom.llm import embedding_dedup, jaccard_join, suffix_dedup
@@ -54,25 +55,18 @@ def test_suffix_sort():
 
 
 def brute_removed(rows, length):
-    """Per key: covered bytes by windows that start earlier by (key, start)."""
-    first = {}
-    keys = sorted({k for k, _ in rows}, key=lambda k: (k is None, k or 0))
-    texts = defaultdict(set)
-    for k, t in rows:
-        texts[k].add((t or "").encode())
-    covered = defaultdict(set)
-    for n, k in enumerate(keys):
-        windows = sorted((i, t[i : i + length]) for t in texts[k] for i in range(len(t) - length + 1))
-        for i, w in windows:
-            if first.setdefault(w, (n, i)) < (n, i):
-                covered[k].update(range(i, i + length))
-    out = {}
-    for k, t in rows:
-        data = (t or "").encode()
-        gone = {i for i in covered[k] if i < len(data)}
+    """Per document (key and text): what windows cover that start earlier by (key, hash of the text, start)."""
+    tag = lambda t: np.uint64(xxhash.xxh64((t or "").encode(), seed=42).intdigest()).astype(np.int64)
+    docs = sorted({(k, t or "") for k, t in rows}, key=lambda d: (d[0] is None, d[0] or 0 if not isinstance(d[0], str) else d[0], tag(d[1])))
+    first, out = {}, {}
+    for n, (k, t) in enumerate(docs):
+        data, gone = t.encode(), set()
+        for i in range(len(data) - length + 1):
+            if first.setdefault(data[i : i + length], (n, i)) < (n, i):
+                gone.update(range(i, i + length))
         kept = bytes(b for i, b in enumerate(data) if i not in gone)
         out[k, t] = (len(data), len(gone), sum(i in gone and i - 1 not in gone for i in range(len(data))), hashlib.sha256(kept).hexdigest())
-    return out
+    return {(k, t): out[k, t or ""] for k, t in rows}
 
 
 @pytest.mark.parametrize("hot", [16, 0])
@@ -100,6 +94,25 @@ def test_suffix_cases(spark, hot):
     assert texts[102] == "short" and texts[100] == ""
 
 
+@pytest.mark.parametrize("hot", [16, 0])
+def test_suffix_identity(spark, hot):
+    """Unlike texts under one key, or under none, keep what repeats nowhere else."""
+    rng = random.Random(3)
+    a, b = ("".join(rng.choices("abcdefgh", k=200)) for _ in range(2))
+    for rows in ([(1, a), (2, a), (2, b)], [(1, a), (None, a), (None, b)]):
+        got = {(r.doc_id, r.n_removed, r.kept_sha256) for r in suffix_dedup.dedup_digests(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()}
+        empty, whole = hashlib.sha256(b"").hexdigest(), lambda t: hashlib.sha256(t.encode()).hexdigest()
+        assert got == {(1, 0, whole(a)), (rows[1][0], 200, empty), (rows[2][0], 0, whole(b))}
+    parts = ["".join(rng.choices("abcd", k=rng.randint(60, 160))) for _ in range(12)]
+    for name in (lambda i: i, lambda i: f"id-{i}", lambda i: None if i < 3 else i):
+        rows = [(name(rng.randint(0, 9)), "".join(rng.choices(parts, k=rng.randint(1, 4)))) for _ in range(60)]
+        rows += rng.choices(rows, k=10)
+        kind = "string" if isinstance(name(5), str) else "long"
+        got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_digests(spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3), hot=hot).collect()]
+        want = brute_removed(rows, 100)
+        assert sorted(got, key=str) == sorted([(k, *want[k, t]) for k, t in rows], key=str)
+
+
 def shingle_set(text, width):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({k: k + 32 for k in range(65, 91)}))
     if not words:
@@ -142,7 +155,7 @@ def corpus(seed, n, size=(1, 80)):
     return rows
 
 
-@pytest.mark.parametrize("seed, width, p, deleting", [(0, 4, 85, None), (1, 5, 80, None), (2, 3, 70, True), (3, 4, 85, False)])
+@pytest.mark.parametrize("seed, width, p, deleting", [(0, 4, 85, None), (1, 5, 80, None), (2, 3, 70, True), (3, 4, 85, False), (4, 4, 80, 0.5)])
 def test_jaccard_brute(spark, monkeypatch, seed, width, p, deleting):
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     rows = corpus(seed, 250)
@@ -164,11 +177,56 @@ def test_jaccard_cases(spark):
     assert jaccard_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_jaccard_identity(spark):
+    """Unlike texts under one key, and near copies without a key, brute-forced by row."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(60)]
+    base = [rng.choices(words, k=60) for _ in range(5)]
+    for name in (lambda i: i % 7, lambda i: None if i % 3 else i, lambda i: f"id{i % 5}"):
+        rows = []
+        for i in range(60):
+            text = list(rng.choice(base))
+            for _ in range(rng.randint(0, 2)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((name(i), " ".join(text), i))
+        rows += [(*r[:2], 60 + n) for n, r in enumerate(rng.choices(rows, k=8))]
+        linked = brute_jaccard([(i, t) for _, t, i in rows], 4, 85, 100)
+        least = defaultdict(list)
+        for k, _, i in rows:
+            if k is not None:
+                least[linked[i][1]].append(k)
+        kind = "string" if isinstance(name(1), str) else "long"
+        got = jaccard_join.near_duplicates(spark.createDataFrame(rows, f"doc_id {kind}, text string, row int").repartition(3), width=4, similarity=jaccard_join.Similarity(85, 100)).collect()
+        want = [(k, linked[i][0], min(least[linked[i][1]], default=None)) for k, _, i in rows]
+        assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == sorted(want, key=str)
+    text = " ".join(f"a{i}" for i in range(100))
+    rows = [(2, text), (None, text.replace("a99", "b")), (5, "x y z " + text[:50]), (5, text.replace("a0 ", "c ")), (7, text[:200])]
+    got = [(r.doc_id, r.component_id) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(2, 2), (None, 2), (5, 5), (5, 2), (7, 7)], key=str)
+
+
+def test_cost_model_allots_both_kinds(spark):
+    """Where many sets share all but a few shingles of a segment, deletion neighbourhoods are cheaper; elsewhere exact segments are."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    crowd = [" ".join(rng.choices(words, k=rng.randint(4, 30))) for _ in range(1500)]
+    plain = [" ".join(f"u{rng.randint(0, 10**9)}" for _ in range(rng.randint(100, 300))) for _ in range(300)]
+    own = spark.createDataFrame([(t,) for t in crowd + plain], "__text string").repartition(3)
+    s = jaccard_join.Similarity(80, 100)
+    bands, found = jaccard_join.allot(own, 1, s, spark.sparkContext.broadcast(None), 1800, sample=2000)
+    used = {r["band"] for r in found}
+    assert any(bands[b].deleting for b in used) and any(not bands[b].deleting for b in used)
+    assert all(b.segments - b.spare + b.deleting >= s.most_apart(b.hi, b.hi * 100 // 80) + 1 for b in bands)
+    for b in used:  # the cheapest measured one is taken
+        costs = {r["part"]: r["cost"] for r in found if r["band"] == b}
+        assert bands[b] == jaccard_join.make_bands(s, deleting=min(costs, key=lambda p: (costs[p], p)))[b]
+
+
 def test_pigeonhole_signatures():
     """Every pair of sets that is similar enough shares a key, for both kinds of segments."""
     rng = np.random.default_rng(0)
     s = jaccard_join.Similarity(80, 100)
-    for deleting in (None, True, False):
+    for deleting in (None, True, False, 0.25, 0.5):
         bands = jaccard_join.make_bands(s, 5000, deleting)
         for n in (1, 2, 3, 5, 8, 13, 21, 40, 77, 150, 400):
             for _ in range(20):
