@@ -36,10 +36,10 @@ class Settings:
     pdf_parser: str = "layout"
 
     def __post_init__(self) -> None:
-        if self.chunk_overlap >= self.chunk_size:
-            raise ValueError(f"chunk_overlap ({self.chunk_overlap}) must be smaller than chunk_size ({self.chunk_size})")
         if self.retrieval_mode not in ("dense", "hybrid"):
             raise ValueError(f"unknown retrieval mode {self.retrieval_mode!r}")
+        if not 0 <= self.chunk_overlap < self.chunk_size:
+            raise ValueError(f"passages of {self.chunk_size} tokens cannot share {self.chunk_overlap}")
 
 
 def load(spark: SparkSession | None = None, **overrides) -> Settings:

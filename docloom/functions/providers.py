@@ -94,32 +94,60 @@ def generate(prompt: Column, model: Column, generator: Generator) -> Column:
     return run(prompt, model)
 
 
-def is_transient(error: Exception) -> bool:
-    status = getattr(error, "status_code", None)
-    named = {c.__name__ for c in type(error).__mro__} & {"APIConnectionError", "APITimeoutError"}
-    return isinstance(error, OSError) or bool(named) or (isinstance(status, int) and (status == 429 or status >= 500))
-
-
-def is_daily_quota(error: Exception) -> bool:
-    if getattr(error, "status_code", None) != 429:
-        return False
-    told = f"{error} {getattr(error, 'body', '')} {getattr(getattr(error, 'response', None), 'text', '')}".casefold()
-    return bool(re.search(r"tokens per day|tokens_per_day|daily token|daily_tokens|\btpd\b", told))
-
-
-def retry_delay(retry_after: str | None, attempt: int, most: float = 60.0, now: datetime | None = None) -> float:
-    """Seconds of a Retry-After header (number or HTTP date), else two to the attempt, within 0 .. most."""
-    wait = float(2**attempt)
-    if retry_after is not None:
-        try:
-            wait = float(retry_after)
-        except ValueError:
-            try:
-                at = parsedate_to_datetime(retry_after)
-                wait = ((at if at.tzinfo else at.replace(tzinfo=UTC)) - (now or datetime.now(UTC))).total_seconds()
-            except (TypeError, ValueError):
-                pass
-    return min(max(wait, 0.0), most)
+# What a provider says when the tokens of a day are used up, and its names of connection errors.
+DAILY_QUOTA = r"tokens per day|tokens_per_day|daily token|daily_tokens|\btpd\b"
+CONNECTION_ERRORS = ("APIConnectionError", "APITimeoutError")
+BUSY, LONGEST_WAIT = 429, 60.0
+
+
+def failure_class(status: Column, told: Column, connection: Column) -> Column:
+    """'quota' (stop for today), 'transient' (try again) or 'final' of logged failures."""
+    busy = F.coalesce(status == BUSY, F.lit(False))
+    again = busy | F.coalesce(status >= 500, F.lit(False)) | F.coalesce(connection, F.lit(False))
+    return F.when(busy & F.lower(F.coalesce(told, F.lit(""))).rlike(DAILY_QUOTA), "quota").when(again, "transient").otherwise("final")
+
+
+@dataclass(frozen=True)
+class Failure:
+    """An exception of a provider's client as a row: status, what it told, whether the connection broke, and when to come back."""
+
+    status: int | None
+    told: str
+    connection: bool
+    retry_after: str | None
+
+    @classmethod
+    def of(cls, error: Exception) -> Failure:
+        reply = getattr(error, "response", None)
+        said = [error, getattr(error, "body", None), getattr(reply, "text", None)]
+        headers = getattr(reply, "headers", None) or getattr(error, "headers", None) or {}
+        broken = isinstance(error, OSError) or any(c.__name__ in CONNECTION_ERRORS for c in type(error).__mro__)
+        status = getattr(error, "status_code", None)
+        return cls(status if isinstance(status, int) else None, "\n".join(str(x) for x in said if x), broken, headers.get("Retry-After"))
+
+    @property
+    def kind(self) -> str:
+        """As failure_class."""
+        if self.status == BUSY:
+            return "quota" if re.search(DAILY_QUOTA, self.told.lower()) else "transient"
+        return "transient" if self.connection or (self.status or 0) >= 500 else "final"
+
+
+def _asked_wait(value: str, now: datetime) -> float | None:
+    """Seconds that a Retry-After value asks for: a number, or what is left until an HTTP date; None for anything else."""
+    if re.fullmatch(r"\s*[+-]?\d+(\.\d*)?\s*", value):
+        return float(value)
+    try:
+        until = parsedate_to_datetime(value)
+    except ValueError:
+        return None
+    return until.replace(tzinfo=until.tzinfo or UTC).timestamp() - now.timestamp()
+
+
+def retry_delay(retry_after: str | None, attempt: int, most: float = LONGEST_WAIT, now: datetime | None = None) -> float:
+    """Seconds before the next attempt: what the provider asks for, else two to the attempt; never negative, at most ``most``."""
+    asked = None if retry_after is None else _asked_wait(retry_after, now or datetime.now(UTC))
+    return float(np.clip(2.0**attempt if asked is None else asked, 0.0, most))
 
 
 @dataclass
@@ -137,7 +165,7 @@ class Attempts:
             try:
                 return request()
             except Exception as e:
-                if is_daily_quota(e) or not is_transient(e) or self.used >= self.most:
+                failure = Failure.of(e)
+                if failure.kind != "transient" or self.used >= self.most:
                     raise
-                headers = getattr(getattr(e, "response", None), "headers", None) or getattr(e, "headers", None) or {}
-                self.sleep(retry_delay(headers.get("Retry-After"), self.used - 1))
+                self.sleep(retry_delay(failure.retry_after, self.used - 1))

@@ -92,16 +92,22 @@ def missing_models(supported: DataFrame, installed: DataFrame, name: str = "name
 
 
 def swap_table(df: DataFrame, path: str) -> None:
-    """Replace the table at path in one rename: readers see the old rows or the new ones."""
+    """Replace the table at path: written aside first, then renamed into place; the old one comes back if that fails.
+
+    Between the two renames a reader that starts anew finds no table and has to try again.
+    """
     spark = df.sparkSession
     jvm = spark._jvm
     staged, old = f"{path}-{uuid.uuid4().hex}", f"{path}-old-{uuid.uuid4().hex}"
     df.write.parquet(staged)
     to = jvm.org.apache.hadoop.fs.Path
     fs = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(to(path)):
-        fs.rename(to(path), to(old))
+    had = fs.exists(to(path))
+    if had and not fs.rename(to(path), to(old)):
+        raise OSError(f"{path} could not be set aside")
     if not fs.rename(to(staged), to(path)):
+        if had:
+            fs.rename(to(old), to(path))
         raise OSError(f"{staged} could not be renamed to {path}")
     fs.delete(to(old), True)
 

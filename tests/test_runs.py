@@ -7,7 +7,7 @@ from docloom.functions.providers import HashEmbedder, embed, extractive_generato
 from docloom.operators import lexical
 from docloom.operators import store as S
 from docloom.plans import evaluate as E
-from docloom.streaming.rate import UsageFile
+from docloom.streaming.rate import add_usage
 
 
 @pytest.fixture(scope="module")
@@ -80,10 +80,9 @@ def test_lock_and_requests():
             S.check_request(*bad)
 
 
-def test_usage_file(tmp_path):
-    day = ["2025-01-01"]
-    usage = UsageFile(str(tmp_path / "u.json"), lambda: day[0])
-    usage.record(5)
-    assert usage.record(7) == {"date": "2025-01-01", "requests": 2, "tokens": 12}
-    day[0] = "2025-01-02"
-    assert usage.read()["requests"] == 0
+def test_usage_table(spark, tmp_path):
+    path = str(tmp_path / "usage")
+    event = lambda day, n: spark.createDataFrame([("m", f"2025-01-0{day} 10:00:00", n)], "model string, ts string, tokens long").withColumn("ts", F.col("ts").cast("timestamp"))
+    add_usage(event(1, 5), path, "model", "ts", "tokens")
+    assert [tuple(r) for r in add_usage(event(1, 7), path, "model", "ts", "tokens").collect()] == [("m", "2025-01-01", 2, 12)]
+    assert {tuple(r) for r in add_usage(event(2, 1), path, "model", "ts", "tokens").collect()} == {("m", "2025-01-01", 2, 12), ("m", "2025-01-02", 1, 1)}

@@ -211,7 +211,7 @@ def test_judge(spark):
         J.cache_key({"question_id": " "})
 
 
-def test_retries():
+def test_retries(spark):
     class Busy(Exception):
         status_code = 429
 
@@ -227,6 +227,10 @@ def test_retries():
     assert P.Attempts(5, waits.append).call(request) == "ok" and waits == [1.0, 2.0]
     with pytest.raises(Busy):
         P.Attempts(5, waits.append).call(lambda: (_ for _ in ()).throw(Busy("tokens per day")))
+    kinds = [(429, "slow down", False, "transient"), (429, "Tokens per day used", False, "quota"), (503, "tpd", False, "transient"), (400, "", False, "final"), (None, None, True, "transient"), (None, None, False, "final")]
+    rows = spark.createDataFrame(kinds, "status int, told string, connection boolean, kind string")
+    assert rows.where(P.failure_class(F.col("status"), F.col("told"), F.col("connection")) != F.col("kind")).count() == 0
+    assert all(P.Failure(s, t or "", c, None).kind == k for s, t, c, k in kinds)
     assert P.retry_delay("7", 0) == 7 and P.retry_delay("900", 0) == 60 and P.retry_delay("x", 3) == 8
     assert P.retry_delay("Wed, 01 Jan 2025 00:00:30 GMT", 0, now=datetime(2025, 1, 1, tzinfo=UTC)) == 30
 
