@@ -47,7 +47,7 @@ from docloom.llm.textblocks import INVERSE, M1, M2, M3, U, blocks, mix, powers,
 
 LENGTH, GRAM = 100, 32
 #: Anchors that a task holds before it packs them; different runs of one gram among these that make it hot.
-FLUSH, HOT = 1 << 20, 16
+FLUSH, HOT = 1 << 19, 16
 #: Hot windows that a task holds before it settles the equal ones among them.
 WINDOWS_HELD = 1 << 21
 NO_KEY = (1 << 63) - 1
@@ -126,9 +126,8 @@ def _gather(batches: Iterator[pa.RecordBatch], buckets: int, length: int, gram:
         where = np.where(flag == PLAIN, grams, mix(grams ^ run ^ mix((key ^ doc).astype(np.uint64) + start.astype(np.uint64) * M1)))
         marks = grams[new_gram][frequent]
         if len(marks):
-            none = np.zeros(len(marks), np.int64)
-            grams, run, key, doc, start, off, count = (np.concatenate([x, y]) for x, y in ((grams, marks), (run, none.astype(np.uint64)), (key, none), (doc, none), (start, none), (off, none), (count, none)))
-            flag, where = np.concatenate([flag, none + MARK]), np.concatenate([where, marks])
+            grams, run, key, doc, start, off, count = (np.concatenate([x, marks if x is grams else np.zeros(len(marks), x.dtype)]) for x in (grams, run, key, doc, start, off, count))
+            flag, where = np.concatenate([flag, np.full(len(marks), MARK)]), np.concatenate([where, marks])
         bucket = ((where >> U(32)) % U(buckets)).astype(np.int64)
         order = np.lexsort((grams & U(0xFFFFFFFF), bucket))
         bucket = bucket[order]
@@ -144,7 +143,7 @@ def _gather(batches: Iterator[pa.RecordBatch], buckets: int, length: int, gram:
         for row, data, offsets in blocks(batch.column(0), 1 << 19):
             found = anchors(data, offsets, length, gram)
             if len(found[0]):
-                held.append((found[0], found[1], keys[row:][found[2]], docs[row:][found[2]], *found[3:]))
+                held.append((found[0], found[1], keys[row:][found[2]], docs[row:][found[2]], found[3].astype(np.uint32), found[4].astype(np.uint8), found[5].astype(np.uint8)))
                 rows += len(found[0])
         if rows >= FLUSH:
             yield from flush()
