@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 
 import pytest
 from conftest import same_rows
@@ -81,18 +82,44 @@ def test_secret_cases(spark, model):
     clean = {r.doc_id: r.text for r in secrets.redact(docs, model).collect()}
     assert clean[8] == "key [SECRET]." and clean[1] is None and clean[9] == texts[9] and found not in clean[3]
     assert secrets.find_secrets(docs.limit(0), model).count() == 0
-    assert secrets.train(docs.limit(0).select("text", F.lit(1).alias("random"))) == [0.0] * 16384
+    assert secrets.train(docs.limit(0).select("text", F.lit(1).alias("random"))).threshold == float("inf")
 
 
-def test_markov_separates(spark, sf, model):
-    held_out = secrets.random_strings(spark, 30_000).where("length(text) > 20").selectExpr("text", "random").tail(300)
-    words = [("_".join(r.text.split()[:6]).lower().encode("ascii", "ignore").decode()[:60], 0) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    rows = spark.createDataFrame([tuple(r) for r in held_out] + words, "text string, random int")
-    scored = rows.select("random", (secrets.log_ratio(F.col("text"), model) > secrets.THRESHOLD).alias("hit")).collect()
-    share = lambda label: sum(r.hit for r in scored if r.random == label) / max(1, sum(r.random == label for r in scored))
-    assert share(1) > 0.95 and share(0) < 0.02
+ORDINARY = [
+    "2026-11-27-2026-11-28-0001", "123e4567-e89b-12d3-a456-426614174000", "https/static/2024/05/06/index-2024-05-06", "ACCOUNT_1234567890_2024_REPORT_Q3", "=" * 60, "-" * 72, "_" * 30,
+    "internationalization_configuration_manager", "AbstractSingletonProxyFactoryBean", "a" * 40, "12345678901234567890", "20260506T123456Z-000001", "src/main/java/org/example/service/UserAccountService", "-=-=-=-=-=-=-=-=-=-=-=-=",
+    "the-quick-brown-fox-jumps-over-2-lazy-dogs", "INV-2024-000123-ACME-0007", "Donaudampfschifffahrtsgesellschaft", "4111-1111-1111-1111-1111", "release-2024-05-06-build-1234",
+]
 
 
+def planted(n):
+    """Random strings that no fixed pattern covers."""
+    rng = random.Random(9)
+    return ["".join(rng.choices(string.ascii_letters + string.digits + rng.choice(["", "+/", "-_"]), k=rng.randint(24, 44))) for _ in range(n)]
+
+
+def test_markov_separates(spark, model):
+    """Ordinary tokens of many kinds stay; random strings that the fixed patterns miss are found; the held-out shares are high."""
+    found = planted(200)
+    docs = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(ORDINARY + found)], "doc_id long, text string")
+    spans = {r.doc_id: [tuple(s) for s in r.secret_spans] for r in secrets.find_secrets(docs, model).collect()}
+    assert [t for i, t in enumerate(ORDINARY) if any(kind == 3 for _, kind, _ in spans[i])] == []
+    hits = sum(spans[len(ORDINARY) + i] == [(4, 3, 4 + len(t))] for i, t in enumerate(found))
+    assert hits >= 190, hits
+    assert model.ordinary_kept >= 0.999 and model.random_found >= 0.9, (model.ordinary_kept, model.random_found)
+
+
+def test_query_finds_planted_strings(spark, sf, tmp_path):
+    """The registered query over documents, some of which got a random string: these spans come back, and few others."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(1)
+    marks = dict(zip(rng.sample([r.doc_id for r in docs.where("length(text) > 100").select("doc_id").collect()], 20), planted(20)))
+    known = spark.createDataFrame(list(marks.items()), "doc_id long, mark string")
+    docs.join(known, "doc_id", "left").withColumn("text", F.coalesce(F.concat_ws(" ", "text", "mark"), "text")).drop("mark").write.parquet(str(tmp_path / "documents.parquet"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()}
+    added = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("markov:")] for r in secrets.op7_secret_scans(spark, str(tmp_path)).collect()}
+    assert sum(f"markov:{len(texts[d]) - len(m)}:{len(texts[d])}" in added[d] for d, m in marks.items()) >= 19
+    assert sum(map(len, added.values())) <= 25
 def brute_chats(rows):
     convs = {}
     for c, n, r, x in rows:
