@@ -262,22 +262,57 @@ def test_mixing_ways_agree_and_meet_targets(spark):
     rng = random.Random(0)
     rows = [(i, rng.choice(["hot"] * 5 + ["a", "b", None]), rng.choice(["en", "de"]), "x" * rng.randint(0, 400)) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
-    targets = {"source": spark.createDataFrame([("hot", 1.0), ("a", 1.0), ("b", 2.0), ("none", 9.0)], "value string, share double").where("value <> 'none'"), "lang": spark.createDataFrame([("en", 0.3), ("de", 0.7)], "value string, share double")}
-    ways = [{(r.source, r.lang): r.share for r in mixing.mix_weights(docs, ["source", "lang"], targets=targets, max_cells=n).collect()} for n in (1000, 0)]
+    targets = {"source": spark.createDataFrame([("a", 3.0), ("hot", 1.0), ("nowhere", 9.0)], "value string, share double"), "lang": spark.createDataFrame([("en", 0.7), ("de", 0.3)], "value string, share double")}
+    ways = [{(r.source, r.lang): r.wanted for r in mixing.mix_weights(docs, ["source", "lang"], targets=targets, budget=0.4, most=10, max_cells=n).collect()} for n in (1000, 0)]
     assert ways[0].keys() == ways[1].keys() and all(ways[0][k] == pytest.approx(ways[1][k]) for k in ways[0])
-    by = defaultdict(float)
+    by, total = defaultdict(float), sum(ways[0].values())
     for (source, lang), w in ways[0].items():
-        by[lang] += w
-        by["source", source] += w
-    assert by["de"] == pytest.approx(0.7, abs=1e-6) and by["source", "b"] == pytest.approx(2 * by["source", "a"], rel=1e-3)
-    mixed = mixing.mix(docs, ["source", "lang"], targets=targets, budget=0.5)
+        by[source] += w / total
+        by[lang] += w / total
+    assert by["en"] == pytest.approx(0.7, abs=1e-4) and by["a"] / by["hot"] == pytest.approx(3, rel=1e-3)
+
+
+@pytest.mark.parametrize("budget, most, source", [(0.3, 1, [("a", 3.0), ("hot", 5.0), ("b", 2.0)]), (2.0, 7, [("a", 4.0), ("hot", 3.0), ("b", 3.0)])])
+def test_mixing_draws_meet_targets(spark, budget, most, source):
+    """With targets that the cap allows, expected shares are the targets, and drawn ones are within sampling error."""
+    rng = random.Random(1)
+    rows = [(i, rng.choice(["hot"] * 5 + ["a", "b"]), rng.choice(["en", "en", "de"]), "x" * rng.randint(100, 400)) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    targets = {"source": spark.createDataFrame(source, "value string, share double"), "lang": spark.createDataFrame([("en", 0.5), ("de", 0.5)], "value string, share double")}
+    mixed = mixing.mix(docs, ["source", "lang"], targets=targets, budget=budget, most=most)
+    assert mixed.agg(F.max("draws")).first()[0] <= most
+    told = mixing.shortfalls(mixed, ["source", "lang"], targets).collect()
+    assert len(told) == 5
+    for r in told:
+        assert r.expected == pytest.approx(r.target, abs=1e-4) and r.drawn == pytest.approx(r.target, abs=0.02), r
     tokens = mixing.tokens_of(F.col("text"))
-    sums = mixed.agg(F.sum(tokens * F.col("probability")).alias("want"), F.sum(F.when(F.col("kept"), tokens)).alias("got")).first()
-    assert sums.got == pytest.approx(sums.want, rel=0.15)
+    sums = mixed.agg(F.sum(tokens).alias("all"), F.sum(tokens * F.col("draws")).alias("drawn")).first()
+    assert sums.drawn == pytest.approx(budget * sums["all"], rel=0.05)
+
+
+def test_mixing_cap_leaves_the_rest_to_other_cells(spark):
+    """A value that the cap keeps from its target is told as short; the other margin still meets its own."""
+    rows = [(i, "rare" if i < 20 else "common", "en" if i % 3 else "de", "x" * 100) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    targets = {"source": spark.createDataFrame([("rare", 0.5), ("common", 0.5)], "value string, share double"), "lang": spark.createDataFrame([("en", 0.5), ("de", 0.5)], "value string, share double")}
+    told = {(r.margin, r.value): r for r in mixing.shortfalls(mixing.mix(docs, ["source", "lang"], targets=targets, budget=0.4), ["source", "lang"], targets).collect()}
+    assert told["source", "rare"].expected < 0.15 and told["lang", "en"].expected == pytest.approx(0.5, abs=0.01)
+
+
+def test_mixing_query_meets_tempered_targets(spark, sf):
+    """op6 on documents: every margin within one part in a hundred of its target before the draw."""
+    big = sf.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{big}/documents.parquet").withColumn("topic", mixing.topic_of(F.col("text")))
+    mixed = mixing.mix(docs, mixing.MARGINS, alpha=mixing.ALPHA, budget=mixing.BUDGET, most=mixing.MOST)
+    cells = docs.groupBy(*mixing.MARGINS).agg(F.sum(mixing.tokens_of(F.col("text"))).alias("__tokens"))
+    targets = {m: mixing.tempered(cells, m, mixing.ALPHA) for m in mixing.MARGINS}
+    for r in mixing.shortfalls(mixed, mixing.MARGINS, targets).collect():
+        print(tuple(r))
+        assert r.expected == pytest.approx(r.target, abs=0.01), r
 
 
 def test_mixing_cases(spark):
     docs = spark.createDataFrame([(1, "a", None, 1), (1, "a", None, 1), (None, None, "", 1), (3, "b", "long " * 40_000, 1)], "doc_id long, source string, text string, kept int")
     rows = mixing.mix(docs, ["source"], alpha=0.5).collect()
-    assert len(rows) == 4 and all(r.probability == 0 and not r.kept for r in rows if not r.text)
+    assert len(rows) == 4 and all(r.draws == 0 and not r.kept for r in rows if not r.text)
     assert mixing.mix(docs.limit(0), ["source"], alpha=0.5).count() == 0
