@@ -1,10 +1,17 @@
-"""SentencePiece encoding and decoding: the best-scoring segmentation into pieces.
+"""SentencePiece encoding and decoding: the model's own segmentation into pieces.
 
 All pieces are in an Aho-Corasick automaton. One pass over a string yields, for every position, the pieces
 that end there (the automaton's output links), and each of them relaxes the best score of that position
-(Viterbi). A character without a piece of its own costs ten below the lowest score, and becomes its UTF-8
-byte pieces. The empty mark of the vocabulary (U+2581) stands for a space; a text that holds
-that character itself gets byte pieces for it, so decoding is exact for every text.
+(Viterbi). In a Unigram model a piece adds its score. In a BPE model the scores are ranks of merges and must not be
+added; there a piece costs nothing if merging it together with the piece before it leaves the two as they are, and
+everything if not. Merging treats a text as it treats each two neighbours of the outcome, so exactly one piece
+fits at every position, and the path through the last one is the library's segmentation. Whether two pieces fit is
+worked out once, by merging the two, and remembered.
+
+A character without a piece of its own becomes its UTF-8 byte pieces (in a Unigram model at a cost of ten below the
+lowest score). The empty mark of the vocabulary (U+2581) stands for a space; a text that holds
+that character itself gets byte pieces for it, so decoding is exact for every text. For texts without that
+character the ids are those of the library.
 
 A string is cut, before the search, between characters that stand side by side in no piece: no piece can
 span such a place, so the parts can be solved one by one and the result is the same. Parts are remembered
@@ -13,8 +20,8 @@ per worker in a table of at most CACHE entries.
 Scale: one pass, no shuffle; the vocabulary (a fixed size) is broadcast and each worker builds its
 automaton once. The model file is read on the driver only and its path is a parameter.
 
-Defined results: a null text has null ids; an empty one an empty list. Equal scores: the longest last
-piece. Texts count whole; repeated rows give repeated rows; extra columns stay, and result columns
+Defined results: a null text has null ids; an empty one an empty list. Equal scores of a Unigram model: the longest
+last piece. Texts count whole; repeated rows give repeated rows; extra columns stay, and result columns
 replace columns of the same name.
 """
 
@@ -37,10 +44,40 @@ from docloom.llm.common import read, small_batches, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 300_000
+CACHE, FITS = 300_000, 1_000_000
 UNKNOWN = 10.0
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Field numbers and values (numbers or bytes) of a serialized protocol-buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        tag = number()
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+        else:
+            size = {1: 8, 5: 4}.get(tag & 7) or number()
+            yield tag >> 3, data[at : at + size]
+            at += size
+
+
+def _is_bpe(model: bytes) -> bool:
+    """Whether the trainer settings (field 2) of a serialized model name model type 2 (field 3)."""
+    return any(n == 2 and any(k == 3 and v == 2 for k, v in _fields(x)) for n, x in _fields(model) if isinstance(x, bytes))
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Pieces (with spaces for the mark) and scores by id; byte_ids by byte value; unk for what has no bytes."""
@@ -49,6 +86,7 @@ class Vocabulary:
     scores: tuple[float, ...]
     plain: tuple[bool, ...]  # neither control, unknown nor byte
     byte_ids: tuple[int, ...]
+    merges: bool = False  # a BPE model: scores are the order of merges
 
     @staticmethod
     def load(path: str = MODEL) -> Vocabulary:
@@ -58,7 +96,7 @@ class Vocabulary:
         bytes_at = {names[i]: i for i in ids if sp.is_byte(i)}
         byte_ids = tuple(bytes_at[f"<0x{b:02X}>"] for b in range(256))
         plain = tuple(not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in ids)
-        return Vocabulary(tuple(p.replace(SPACE, " ") for p in names), tuple(sp.get_score(i) for i in ids), plain, byte_ids)
+        return Vocabulary(tuple(p.replace(SPACE, " ") for p in names), tuple(sp.get_score(i) for i in ids), plain, byte_ids, _is_bpe(sp.serialized_model_proto()))
 
 
 class Encoder(dict):
@@ -77,6 +115,8 @@ class Encoder(dict):
                     self.single.add(piece)
         self.automaton.make_automaton()
         self.pairs = pairs
+        self.number = {p: i for i, p in enumerate(v.pieces) if v.plain[i] and p}
+        self.fit: dict[tuple[int, int], bool] = {}
         self.unknown = min((s for s, p in zip(v.scores, v.plain) if p), default=0.0) - UNKNOWN
         # A cut before each run of spaces and around line ends, if no piece spans such a place.
         stuck = any(b == " " and a != " " for a, b in pairs)
@@ -98,8 +138,30 @@ class Encoder(dict):
             self[part] = found
         return found
 
+    def merge(self, text: str) -> list[int]:
+        """Ids of a short text (-1 for a character without a piece) by merging neighbours, best score and leftmost first."""
+        symbols = list(text)
+        while len(symbols) > 1:
+            found = [(-self.vocabulary.scores[self.number[a + b]], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in self.number]
+            if not found:
+                break
+            i = min(found)[1]
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+        return [self.number.get(x, -1) for x in symbols]
+
+    def fits(self, before: int, piece: int) -> bool:
+        """Whether merging leaves these two neighbours as they are; before is -1 at a start and after an unknown character."""
+        known = self.fit.get((before, piece))
+        if known is None:
+            if len(self.fit) >= FITS:
+                self.fit.clear()
+            own = [piece] if before < 0 else [before, piece]
+            known = self.fit[before, piece] = self.merge("".join(self.vocabulary.pieces[i] for i in own)) == own
+        return known
+
     def search(self, part: str) -> list[int]:
         """Ids of the best segmentation."""
+        merges = self.vocabulary.merges
         n = len(part)
         best, back = [float("-inf")] * (n + 1), [(-1, 1)] * (n + 1)
         best[0] = 0.0
@@ -114,8 +176,8 @@ class Encoder(dict):
 
         for last, (size, score, piece) in self.automaton.iter(part):
             settle(last)
-            reached = best[last + 1 - size] + score
-            if reached > best[last + 1]:
+            reached = best[last + 1 - size] + (0.0 if merges else score)
+            if reached > best[last + 1] and (not merges or self.fits(back[last + 1 - size][0], piece)):
                 best[last + 1], back[last + 1] = reached, (piece, size)
         settle(n)
         ids: list[int] = []
@@ -141,7 +203,7 @@ _encoders: dict[int, Encoder] = {}
 
 def encoder(vocabulary: Vocabulary) -> Encoder:
     """One encoder per worker process."""
-    key = hash((vocabulary.pieces, vocabulary.scores))
+    key = hash(vocabulary)
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(vocabulary)
