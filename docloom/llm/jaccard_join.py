@@ -549,8 +549,8 @@ def _across(rest: DataFrame, component: DataFrame, texts: DataFrame, width: int,
     return materialize(rows.select("family", "block_x", "block_y", "side", "cid", "comp", "z").groupBy("family", "block_x", "block_y").applyInArrow(lambda t: _block_links(t, width, similarity), "a binary, b binary"), "across")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: Similarity = Similarity(80, 100), deleting: float | None = None) -> DataFrame:
-    """key, n_shingles and component_id of every row of docs. deleting: the share of one-deletion segments, in place of the cost model's."""
+def _grouped(docs: DataFrame, key: str, text: str, width: int, similarity: Similarity, deleting: float | None) -> DataFrame:
+    """__key, doc (the text's hash), n, __c (the component, null without words) and __least (its smallest key) of every row."""
     spark = docs.sparkSession
     small_batches(spark)
     body = F.col(text).cast("string")
@@ -590,8 +590,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     # The smallest key of each component.
     labelled = classes.join(component, classes["cid"] == component["node"], "left").select("cid", "__rep", F.coalesce("component", "cid").alias("__c"))
     smallest = labelled.groupBy("__c").agg(F.min("__rep").alias("__least"))
-    final = labelled.join(smallest, "__c").select("cid", "__least")
-    return rows.join(final, "cid", "left").select(F.col("__key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("__least", "__key").alias("component_id"))
+    final = labelled.join(smallest, "__c").select("cid", "__c", "__least")
+    return rows.join(final, "cid", "left").select("__key", "doc", "n", "__c", "__least")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: Similarity = Similarity(80, 100), deleting: float | None = None) -> DataFrame:
+    """key, n_shingles and component_id of every row of docs. deleting: the share of one-deletion segments, in place of the cost model's."""
+    rows = _grouped(docs, key, text, width, similarity, deleting)
+    return rows.select(F.col("__key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("__least", "__key").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: Similarity = Similarity(80, 100)) -> DataFrame:
+    """The rows of docs that stay if of each component one does; rows whose text has no words all stay.
+
+    The one with the smallest key stays (no key is the largest); of unlike texts under one key that with the
+    smaller text hash; of rows that repeat key and text any one.
+    """
+    rows = materialize(_grouped(docs, key, text, width, similarity, None).where("__c is not null").select("__key", "doc", "__c"), "grouped")
+    name = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("k"), F.col("doc").alias("d"))
+    best = rows.groupBy("__c").agg(F.min(name).alias("__b"))
+    marked = rows.join(if_small(materialize(best, "best")), "__c").groupBy("__key", "doc").agg(F.first(name != F.col("__b")).alias("__gone"), F.count("*").alias("__n"))
+    marked = materialize(marked.where("__gone or __n > 1").withColumnRenamed("__key", "__k"), "marked")
+    own = docs.withColumn("__d", F.xxhash64(F.col(text).cast("string")))
+    on = F.col(key).eqNullSafe(F.col("__k")) & (F.col("__d") == F.col("doc"))
+    left = own.join(if_small(marked.select("__k", "doc")), on, "left_anti").select(*docs.columns)
+    again = marked.where("not __gone")
+    if again.isEmpty():
+        return left
+    # Rows that repeat a key and text which stay: one of each. Map-side first, so copies do not meet in full.
+    twice = own.join(if_small(again.select("__k", "doc")), on, "left_semi").groupBy(F.col(key).alias("__k"), "__d").agg(F.first(F.struct(*docs.columns)).alias("__r"))
+    return left.unionByName(twice.select("__r.*"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

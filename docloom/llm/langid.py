@@ -6,10 +6,14 @@ never did. A text's exact code length under a language's frozen tree is the sum
 the language with the shortest code wins, and the score is its share of the likelihoods.
 
 Spark counts the n-grams of the training rows: all rows with a language if there are few, else a sample
-of about ``per_language`` documents of each, picked by a hash of the key (a documented bound for fitting a
+of about ``per_language`` documents of each, picked by a hash of key and text (a documented bound for fitting a
 classifier). The trees of all languages are merged into one table with one column a language, whose size
 is bounded by that sample, and broadcast. Prediction is one pass over the texts without a shuffle.
 
+The share says which language fits best, not that any fits: of a text in a language that was never learned, or
+of noise, one is still the likeliest. ``usual_bits`` gives the bits per byte that labelled rows of each language
+need; a text that needs several times as many is in none of them.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if there
 is no training row. Equal code lengths: the alphabetically first language. Texts count whole. Repeated
 rows give repeated rows; only the columns asked for are returned, so extra columns cannot clash.
@@ -71,17 +75,25 @@ def build_table(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = O
     return names, BackoffTable(levels, floor, len(names))
 
 
-def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", per_language: int = PER_LANGUAGE, order: int = ORDER) -> tuple[list[str], BackoffTable] | None:
-    """The model of docs' labelled rows; None if there are none."""
+def _sample(docs: DataFrame, lang: str, text: str, key: str, per_language: int, seed: str) -> DataFrame | None:
+    """About per_language labelled rows (__l, __x) of each language; None if there are none."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("__l"), F.col(text).alias("__x"), F.col(key).alias("__k"))
     sizes = {r["__l"]: r["count"] for r in rows.groupBy("__l").count().collect()}
     if not sizes:
         return None
-    pick = F.pmod(F.xxhash64(F.col("__k").cast("string"), F.lit("language")), F.lit(1_000_000))
+    pick = F.pmod(F.xxhash64(F.col("__k").cast("string"), "__x", F.lit(seed)), F.lit(1_000_000))
     share: Column = F.lit(False)
     for g, n in sorted(sizes.items()):
         share = share | ((F.col("__l") == g) & (pick < F.lit(int(min(1.0, per_language / n) * 1_000_000))))
-    table = count_ngrams(rows.where(share), "__l", "__x", order).toArrow()
+    return rows.where(share).select("__l", "__x")
+
+
+def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", per_language: int = PER_LANGUAGE, order: int = ORDER) -> tuple[list[str], BackoffTable] | None:
+    """The model of docs' labelled rows; None if there are none."""
+    rows = _sample(docs, lang, text, key, per_language, "language")
+    if rows is None:
+        return None
+    table = count_ngrams(rows, "__l", "__x", order).toArrow()
     groups = np.array(table.column("group").to_pylist())
     codes, n = table.column("code").to_numpy().astype(np.uint64), table.column("n").to_numpy()
     counts = {g: (codes[groups == g], n[groups == g]) for g in sorted(set(groups.tolist()))}
@@ -114,11 +126,20 @@ def predict_block(model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     return lang, np.where(letters, score, 0.0), -top / np.maximum(np.diff(offsets), 1)
 
 
-def identify(docs: DataFrame, model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns carry (default: all) with lang_pred, lang_score and bits_per_byte; they replace columns of these names."""
+def usual_bits(docs: DataFrame, model, lang: str = "lang", text: str = "text", key: str = "doc_id", per_language: int = PER_LANGUAGE // 2) -> dict[str, float]:
+    """The median bits per byte of each language, of about per_language labelled rows that the model puts there."""
+    rows = _sample(docs, lang, text, key, per_language, "bits")
+    if rows is None or model is None:
+        return {}
+    found = identify(rows, model, "__x", ["__l"]).where("lang_pred = __l").groupBy("lang_pred").agg(F.percentile_approx("bits_per_byte", 0.5, 10_000).alias("m"))
+    return {r["lang_pred"]: r["m"] for r in found.collect()}  # languages of the model, which the driver holds
+
+
+def identify(docs: DataFrame, model, text: str = "text", carry: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "lang_score", "bits_per_byte")) -> DataFrame:
+    """The columns carry (default: all) with lang_pred, lang_score and bits_per_byte (or ``names``); they replace columns of these names."""
     spark = docs.sparkSession
     small_batches(spark)
-    added = ["lang_pred", "lang_score", "bits_per_byte"]
+    added = list(names)
     carry = [c for c in (docs.columns if carry is None else carry) if c not in added]
     shared = spark.sparkContext.broadcast(model)
     # A carried text crosses to Python once.
@@ -134,7 +155,7 @@ def identify(docs: DataFrame, model, text: str = "text", carry: list[str] | None
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], names=[*carry, *added])
 
     inner = docs.select(*carry) if once else docs.select(*carry, F.col(text).cast("string").alias("__text"))
-    fields = [T.StructField(c, docs.schema[c].dataType) for c in carry] + [T.StructField(c, T.StringType() if c == "lang_pred" else T.DoubleType()) for c in added]
+    fields = [T.StructField(c, docs.schema[c].dataType) for c in carry] + [T.StructField(c, T.StringType() if c == names[0] else T.DoubleType()) for c in added]
     return inner.mapInArrow(tidy(run), T.StructType(fields))
 
 
