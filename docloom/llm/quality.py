@@ -1,41 +1,47 @@
 """Quality rules: counts over words and lines, and n-gram perplexity.
 
-The language model is a modified Kneser-Ney model per language over classes of UTF-8 bytes (letters in one
-case, digits, marks), ORDER symbols long. Spark counts the n-grams of all documents. With CLASSES symbols a
-language has at most CLASSES ** ORDER n-grams whatever the size of the corpus (16.8 million; a few ten
-thousand in practice), which bounds the sorted hash arrays that are broadcast. Word n-grams would need
-shuffles of several times the input. Each language has a lower and an upper band of log perplexity:
-quartiles of its documents that pass the base rules, widened by BELOW and ABOVE times their distance.
-Documents outside are rejected: far above is noise, far below is repetition. The widths are chosen on labelled
+Two modified Kneser-Ney models are counted by Spark over all documents and kept in sorted hash arrays:
+
+* words: bigrams of words per language, dealt over buckets (``word_model``); they grow with the corpus. Every document is
+  scored by what the other documents know, in bits per word: far above the usual are odd words and words in odd order.
+* spelling: 4-grams of byte classes per language (letters in one case, digits, marks), of which there are at most
+  CLASSES ** ORDER a language (16.8 million; a few ten thousand in practice), so they can be broadcast. They score each distinct word of a
+  chunk once, in bits per character: far above is noise, far below is repetition of a few short words.
+
+Each language has a lower and an upper band for either score: its median, less or plus so many times the distance from the
+median to the upper quartile, over the documents that pass the base rules (the lower quartile is the copies', which know each other).
+Documents outside of a band are rejected. The widths (BANDS) are chosen on labelled
 documents (the README has the shares that they reject).
 
-Scale: two passes over the texts (count, score), no shuffle of texts; a counting task hands on one row per
-distinct n-gram. Scores are written once to the shared folder, as bands need all of them.
+Scale: three passes over the texts (spelling counts, ask, score), no shuffle of texts; what is shuffled are distinct pairs of words and
+two bytes or so a word. Scores are written once to the shared folder, as bands need all of them.
 
 Defined results: a null text has no words, counts 0 and base_failed true; so has an empty one. Documents of
-a null language form a language of their own. Texts count whole. Repeated rows give repeated rows; only
+a null language form a language of their own. Texts count whole. Repeated rows give repeated rows, and know each
+other's words; only
 the columns asked for are returned, so extra columns cannot clash. Word and line equality inside one
-document is decided on 64-bit hashes of their bytes.
+document is decided on 64-bit hashes of their bytes, between documents on 32-bit hashes of words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from docloom.llm.common import give_back, materialize, read, small_batches, tidy
+from docloom.llm.common import give_back, read, small_batches
 from docloom.llm.ngrams import BackoffTable, HashArrays, Level, count_ngrams, merged
 from docloom.llm.textblocks import BASE, INVERSE, M1, U, blocks, mix, powers, prefix_hash, span_hash, sums, word_bounds
+from docloom.llm.word_model import CHUNK, discounts, scored
 
-ORDER, CLASSES = 4, 64
+ORDER, CLASSES, SPACE_CLASS = 4, 64, 26
 WINDOW = 8
-BELOW, ABOVE = 2.0, 2.5
-ADDED = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "log_ppl": "double"}
+#: Widths of the bands below and above the median, in distances from the median to the upper quartile, and the
+#: least such distance as a share of the median (few documents of a language can lie close together).
+BANDS = {"log_ppl": (17.0, 3.0, 0.05), "log_spelling": (6.0, 6.0, 0.01)}
+COUNTS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean"}
+ADDED = [*COUNTS, *BANDS]
 
 
 def byte_classes() -> np.ndarray:
@@ -66,58 +72,6 @@ IS_SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 IS_FIRST = np.array([(b & 0xC0) != 0x80 for b in range(256)])  # of a character
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Discounts for counts of 0, 1, 2 and 3 or more, from the counts of counts."""
-    n = [int((counts == k).sum()) for k in range(1, 5)]
-    if min(n[:3]) == 0:
-        return np.array([0.0, 0.5, 0.75, 1.0])
-    y = n[0] / (n[0] + 2 * n[1])
-    d = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
-    return np.array([0.0, *(min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d))])
-
-
-def kneser_ney(codes: np.ndarray, counts: np.ndarray, order: int, classes: int = CLASSES) -> list[tuple[np.ndarray, ...]]:
-    """Per order from 1: grams, log2 probabilities, contexts and their log2 back-off weights (interpolated form)."""
-    adjusted = [(codes, counts)]
-    for k in range(order, 1, -1):  # below the top: numbers of distinct symbols that come before
-        grams = adjusted[-1][0] & U((1 << (8 * (k - 1))) - 1)
-        adjusted.append(merged(grams, np.ones(len(grams), np.int64)))
-    out: list[tuple[np.ndarray, ...]] = []
-    for k, (grams, n) in enumerate(reversed(adjusted), 1):
-        d = discounts(n)[np.minimum(n, 3)]
-        contexts, total = merged(grams >> U(8), n)
-        at = np.searchsorted(contexts, grams >> U(8))
-        weight = np.bincount(at, d, len(contexts)) / total
-        below = np.full(len(grams), 1 / classes) if k == 1 else np.exp2(out[-1][1][np.searchsorted(out[-1][0], grams & U((1 << (8 * (k - 1))) - 1))])
-        out.append((grams, np.log2((n - d) / total[at] + weight[at] * below), contexts, np.log2(weight)))
-    return out
-
-
-def build_table(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> tuple[list[str], BackoffTable]:
-    """Groups, sorted, and one table whose codes begin with the group's number."""
-    names = sorted(counts)
-    models = [kneser_ney(*merged(*counts[g]), order) for g in names]
-    levels = []
-    for k in range(1, order + 1):
-        grams = np.concatenate([m[k - 1][0] | U(i) << U(8 * k) for i, m in enumerate(models)])
-        contexts = np.concatenate([m[k - 1][2] | U(i) << U(8 * (k - 1)) for i, m in enumerate(models)])
-        logp, weight = (np.concatenate([m[k - 1][j] for m in models]).astype(np.float32)[None, :] for j in (1, 3))
-        levels.append(Level(HashArrays(grams), logp, HashArrays(contexts), weight))
-    return names, BackoffTable(levels, -np.log2(CLASSES), 1)
-
-
-def train(docs: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER) -> tuple[list[str], BackoffTable] | None:
-    """The models of all documents' languages; None without any text of ORDER bytes."""
-    table = count_ngrams(docs, lang, text, order, CLASS).toArrow()
-    groups = np.array(table.column("group").to_pylist(), object)
-    codes, n = table.column("code").to_numpy().astype(np.uint64), table.column("n").to_numpy()
-    counts = {g: (codes[groups == g], n[groups == g]) for g in sorted(set(groups.tolist()))}
-    del table, groups, codes, n
-    model = build_table(counts, order) if counts else None
-    give_back()
-    return model
-
-
 def repeats_in_windows(hashes: np.ndarray, bounds: np.ndarray, width: int = WINDOW) -> np.ndarray:
     """Words of each text in width-word windows that stand in it twice or more."""
     n = len(hashes)
@@ -168,55 +122,105 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return counts
 
 
-def score(docs: DataFrame, model, lang: str = "lang", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns carry (default: all), with the counts, base_failed and log_ppl (bits per symbol; null without text)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in ADDED]
-    shared = spark.sparkContext.broadcast(model)
+def kneser_ney(codes: np.ndarray, counts: np.ndarray, order: int, classes: int = CLASSES) -> list[tuple[np.ndarray, ...]]:
+    """Per order from 1: grams, log2 probabilities, contexts and their log2 back-off weights (interpolated form)."""
+    adjusted = [(codes, counts)]
+    for k in range(order, 1, -1):  # below the top: numbers of distinct symbols that come before
+        grams = adjusted[-1][0] & U((1 << (8 * (k - 1))) - 1)
+        adjusted.append(merged(grams, np.ones(len(grams), np.int64)))
+    out: list[tuple[np.ndarray, ...]] = []
+    for k, (grams, n) in enumerate(reversed(adjusted), 1):
+        d = discounts([int((n == k).sum()) for k in range(1, 5)])[np.minimum(n, 3)]
+        contexts, total = merged(grams >> U(8), n)
+        at = np.searchsorted(contexts, grams >> U(8))
+        weight = np.bincount(at, d, len(contexts)) / total
+        below = np.full(len(grams), 1 / classes) if k == 1 else np.exp2(out[-1][1][np.searchsorted(out[-1][0], grams & U((1 << (8 * (k - 1))) - 1))])
+        out.append((grams, np.log2((n - d) / total[at] + weight[at] * below), contexts, np.log2(weight)))
+    return out
+
+
+def build_table(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> tuple[list[str], BackoffTable]:
+    """Groups, sorted, and one table whose codes begin with the group's number."""
+    names = sorted(counts)
+    models = [kneser_ney(*merged(*counts[g]), order) for g in names]
+    levels = []
+    for k in range(1, order + 1):
+        grams = np.concatenate([m[k - 1][0] | U(i) << U(8 * k) for i, m in enumerate(models)])
+        contexts = np.concatenate([m[k - 1][2] | U(i) << U(8 * (k - 1)) for i, m in enumerate(models)])
+        logp, weight = (np.concatenate([m[k - 1][j] for m in models]).astype(np.float32)[None, :] for j in (1, 3))
+        levels.append(Level(HashArrays(grams), logp, HashArrays(contexts), weight))
+    return names, BackoffTable(levels, -np.log2(CLASSES), 1)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, table = shared.value or ([], None)
+def train_spelling(docs: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER) -> tuple[list[str], BackoffTable] | None:
+    """The models of all documents' languages; None without any text of ORDER bytes."""
+    table = count_ngrams(docs, lang, text, order, CLASS).toArrow()
+    groups = np.array(table.column("group").to_pylist(), object)
+    codes, n = table.column("code").to_numpy().astype(np.uint64), table.column("n").to_numpy()
+    counts = {g: (codes[groups == g], n[groups == g]) for g in sorted(set(groups.tolist()))}
+    del table, groups, codes, n
+    model = build_table(counts, order) if counts else None
+    give_back()
+    return model
+
+
+class Speller:
+    """Bits of words' spellings, between spaces, under their language's model."""
+
+    def __init__(self, shared) -> None:
+        self.shared = shared
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, langs: list[str]) -> np.ndarray:
+        names, table = self.shared.value or ([], None)
+        size = ends - starts
+        if table is None:
+            return np.log2(CLASSES) * (size + 1.0)
+        bounds = np.concatenate([[0], np.cumsum(size + 2)])
+        symbols = np.full(bounds[-1], SPACE_CLASS, np.uint8)
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        symbols[np.repeat(bounds[:-1] + 1, size) + inside] = CLASS[data[np.repeat(starts, size) + inside]]
         number = {g: i for i, g in enumerate(names)}
-        for batch in batches:
-            langs = batch.column(1).fill_null("").to_pylist()
-            parts = []
-            for row, data, offsets in blocks(batch.column(0)):
-                found = base_counts(data, offsets)
-                group = np.array([number.get(g, len(names)) for g in langs[row : row + len(offsets) - 1]], np.int64)
-                size = np.diff(offsets)
-                found["log_ppl"] = -table.score(CLASS[data], offsets, group)[0] / np.maximum(size, 1) if table else np.zeros(len(size))
-                parts.append(found)
-            if parts:
-                made = {c: np.concatenate([p[c] for p in parts]) for c in ADDED}
-                empty = made["n_words"] == 0
-                arrays = [pa.array(v, mask=empty) if c == "log_ppl" else pa.array(v) for c, v in made.items()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[2:], *arrays], names=[*carry, *ADDED])
-
-    inner = docs.select(F.col(text).cast("string").alias("__text"), F.col(lang).cast("string").alias("__lang"), *carry)
-    fields = [T.StructField(c, docs.schema[c].dataType) for c in carry]
-    kinds = {"long": T.LongType(), "boolean": T.BooleanType(), "double": T.DoubleType()}
-    return inner.mapInArrow(tidy(run), T.StructType(fields + [T.StructField(c, kinds[k]) for c, k in ADDED.items()]))
-
-
-def bands(scored: DataFrame, lang: str = "lang", below: float = BELOW, above: float = ABOVE) -> DataFrame:
-    """lang, lower and upper: the log perplexities a language's documents may have."""
-    q = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.75)), 10_000)
-    found = scored.where("not base_failed and log_ppl is not null").groupBy(lang).agg(q.alias("__q"))
-    near, far = F.get("__q", F.lit(0)), F.get("__q", F.lit(1))
-    spread = F.greatest(far - near, 0.01 * far)
-    return found.select(F.col(lang).alias("__band"), (near - spread * below).alias("lower"), (far + spread * above).alias("upper"))
-
-
-def quality_rules(docs: DataFrame, lang: str = "lang", text: str = "text", carry: list[str] | None = None, below: float = BELOW, above: float = ABOVE) -> DataFrame:
-    """The columns carry, with counts, base_failed, log_ppl, the language's lower and upper band, and kept."""
-    own = docs.select(text, lang, *[c for c in (docs.columns if carry is None else carry) if c not in (text, lang)])
-    wanted = [c for c in (docs.columns if carry is None else carry) if c not in (*ADDED, "lower", "upper", "kept")]
-    scored = materialize(score(own, train(docs, lang, text), lang, text, list(dict.fromkeys([*wanted, lang]))), "quality")
-    limits = bands(scored, lang, below, above)
-    joined = scored.join(limits, F.col(lang).eqNullSafe(F.col("__band")), "left")
-    inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(True))
-    return joined.select(*wanted, *ADDED, "lower", "upper", (~F.col("base_failed") & inside).alias("kept"))
+        group = np.array([number.get(g, len(names)) for g in langs], np.int64)
+        space = table.score(symbols[:1], np.array([0, 1]), group[:1])[0][0] if len(group) else 0.0
+        return space - table.score(symbols, bounds, group)[0]
+
+
+def _counted(rows: pa.RecordBatch) -> dict[str, np.ndarray]:
+    parts = [base_counts(data, offsets) for _, data, offsets in blocks(rows.column(0))]
+    return {c: np.concatenate([p[c] for p in parts]) for c in COUNTS}
+
+
+def score(docs: DataFrame, lang: str = "lang", text: str = "text", carry: list[str] | None = None, chunk: int = CHUNK, spelled: bool = True) -> DataFrame:
+    """The columns carry (default: all), with the counts, base_failed, log_ppl (bits per word) and log_spelling (bits per character; both null without words)."""
+    small_batches(docs.sparkSession)
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in ADDED]
+    speller = Speller(docs.sparkSession.sparkContext.broadcast(train_spelling(docs, lang, text))) if spelled else None
+    found = scored(docs, text, lang, carry, COUNTS, _counted, chunk, speller)
+    return found.select(*carry, *COUNTS, "log_ppl", (F.col("spelling") * F.col("n_words") / (F.col("word_chars") + F.col("n_words"))).alias("log_spelling"))
+
+
+def bands(found: DataFrame, lang: str = "lang", widths: dict[str, tuple[float, float, float]] = BANDS) -> DataFrame:
+    """__band (lang) and, for each score, its lower and upper: the values a language's documents may have."""
+    quartiles = [F.percentile_approx(c, F.array(F.lit(0.5), F.lit(0.75)), 10_000).alias(f"__{c}") for c in widths]
+    limits = found.where("not base_failed").groupBy(lang).agg(*quartiles)
+    ends = []
+    for c, (below, above, least) in widths.items():
+        middle, upper = F.get(f"__{c}", F.lit(0)), F.get(f"__{c}", F.lit(1))
+        spread = F.greatest(upper - middle, least * middle)
+        ends += [(middle - spread * below).alias(f"{c}_lower"), (middle + spread * above).alias(f"{c}_upper")]
+    return limits.select(F.col(lang).alias("__band"), *ends)
+
+
+def quality_rules(docs: DataFrame, lang: str = "lang", text: str = "text", carry: list[str] | None = None, widths: dict[str, tuple[float, float, float]] = BANDS, chunk: int = CHUNK) -> DataFrame:
+    """The columns carry, with counts, base_failed, the scores, their language's bands (lower and upper of each), and kept."""
+    ends = [f"{c}_{end}" for c in widths for end in ("lower", "upper")]
+    wanted = [c for c in (docs.columns if carry is None else carry) if c not in (*ADDED, *ends, "kept")]
+    found = score(docs, lang, text, list(dict.fromkeys([*wanted, lang])), chunk)
+    joined = found.join(bands(found, lang, widths), F.col(lang).eqNullSafe(F.col("__band")), "left")
+    inside = F.lit(True)
+    for c in widths:
+        inside = inside & F.coalesce(F.col(c).between(F.col(f"{c}_lower"), F.col(f"{c}_upper")), F.lit(True))
+    return joined.select(*wanted, *ADDED, *ends, (~F.col("base_failed") & inside).alias("kept"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
 
-from docloom.llm import langid, mixing, ngrams, pieces, quality
+from docloom.llm import langid, mixing, ngrams, pieces, quality, word_model
 from docloom.llm.textblocks import blocks
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,44 +66,48 @@ def test_quality_bands_reject_planted_junk(spark, sf):
     assert sum(kept[i] for i in kept if i < n) >= 0.93 * sum(i < n for i in kept)
 
 
-def slow_kneser_ney(texts, order, classes):
-    """Interpolated modified Kneser-Ney with plain dictionaries; returns p(gram) for the last symbol of a gram."""
-    top = Counter(t[i : i + order] for t in texts for i in range(len(t) - order + 1))
-    levels = [top]
-    for _ in range(order - 1):
-        levels.append(Counter(g[1:] for g in levels[-1]))
-    levels = levels[::-1]
-    discount = [quality.discounts(np.array(list(c.values()))) for c in levels]
+def slow_kneser_ney(others, everything, text):
+    """Interpolated modified Kneser-Ney of word bigrams with plain dictionaries: counts of the other documents, discounts and words of all."""
+    count = lambda docs: Counter((a, b) for d in docs for a, b in zip(d, d[1:]))
+    c, full = count(others), count(everything)
+    before = lambda pairs: Counter(b for _, b in pairs)
+    kinds = lambda values: np.array([sum(v == k for v in values) for k in range(1, 5)])
+    words = {w for pair in full for w in pair}
+    k_all, k_own = before(full), before(c)
+    d2, d1 = word_model.discounts(kinds(full.values())), word_model.discounts(kinds([k_all[w] for w in words]))
+    spare = sum(d1[min(k_all[w], 3)] if k_all[w] else d1[3] for w in words) / len(full)
 
-    def p(gram):
-        if not gram:
-            return 1 / classes
-        c, d = levels[len(gram) - 1], discount[len(gram) - 1]
-        after = {g: n for g, n in c.items() if g[:-1] == gram[:-1]}
-        total = sum(after.values())
-        if not total:
-            return p(gram[1:])
-        weight = sum(d[min(n, 3)] for n in after.values()) / total
-        n = after.get(gram, 0)
-        return max(n - d[min(n, 3)], 0) / total + weight * p(gram[1:])
+    def p1(w):
+        return max(k_own[w] - d1[min(k_own[w], 3)], 0) / len(c) + spare / len(words)
 
-    return p
+    def p2(u, v):
+        after = {b: n for (a, b), n in c.items() if a == u}
+        if not after:
+            return p1(v)
+        n, total = after.get(v, 0), sum(after.values())
+        return (max(n - d2[min(n, 3)], 0) + sum(d2[min(x, 3)] for x in after.values()) * p1(v)) / total
 
+    return (math.log2(p1(text[0])) + sum(math.log2(p2(a, b)) for a, b in zip(text, text[1:]))) / len(text)
 
-def test_kneser_ney_matches_definition():
+
+@pytest.mark.parametrize("chunk", [400, 1 << 20])
+def test_kneser_ney_matches_definition(spark, chunk):
     rng = random.Random(0)
-    texts = [bytes(rng.choices(range(5), [5, 3, 2, 1, 1], k=rng.randint(6, 60))) for _ in range(12)]
-    order = 3
-    counts = Counter(t[i : i + order] for t in texts for i in range(len(t) - order + 1))
-    codes = np.array([int.from_bytes(g, "big") for g in counts], np.uint64)
-    _, table = quality.build_table({"x": (codes, np.array(list(counts.values())))}, order)
-    p = slow_kneser_ney(texts, order, quality.CLASSES)
-    for t in [*texts[:3], bytes([4, 4, 0, 6, 1, 2, 0])]:
-        got = table.score(np.frombuffer(t, np.uint8), np.array([0, len(t)]), np.array([0]))[0][0]
-        want = sum(math.log2(p(t[max(0, i - order + 1) : i + 1])) for i in range(len(t)))
-        assert got == pytest.approx(want, rel=1e-5)
-    seen = counts.most_common(1)[0][0][:2]
-    assert sum(p(seen + bytes([s])) for s in range(quality.CLASSES)) == pytest.approx(1)
+    words = [f"w{i}" for i in range(25)]
+    texts = [rng.choices(words, [1 / (i + 1) for i in range(25)], k=rng.randint(2, 60)) for _ in range(40)] + [["only"], ["new", "words", "here"], []]
+    docs = spark.createDataFrame([(i, " ".join(t).replace("w1 ", "W1 "), "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3).cache()
+    got = {r.doc_id: r.log_ppl for r in quality.score(docs, carry=["doc_id"], chunk=chunk, spelled=False).collect()}
+    for i, t in enumerate(texts):
+        if t:
+            assert -got[i] == pytest.approx(slow_kneser_ney([d for k, d in enumerate(texts) if k != i], texts, t), rel=1e-9), i
+        else:
+            assert got[i] is None
+
+
+def test_model_grows_and_tells_languages_apart(spark):
+    rows = [(i, "the cat sat on the mat", "en") for i in range(4)] + [(i, "le chat est sur le lit", "fr") for i in range(4, 8)] + [(8, "the cat sat on the mat", "fr"), (9, "the cat sat on the mat", None)]
+    got = {r.doc_id: r.log_ppl for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string, lang string"), carry=["doc_id"]).collect()}
+    assert got[0] < 5 and got[8] > 2 * got[0] and got[9] > 2 * got[0]
 
 
 def slow_ppm(texts, order):
