@@ -129,7 +129,8 @@ def canonical_model(name: Column) -> Column:
 
 
 def format_number(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.3f", value.cast("double")), F.lit("-")) if value is not None else F.lit("-")
+    """Three decimals; a dash for null."""
+    return F.when(value.isNull(), F.lit("-")).otherwise(F.format_string("%.3f", value.cast("double")))
 
 
 def markdown_cell(text: Column) -> Column:

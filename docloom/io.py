@@ -1,10 +1,33 @@
-"""Reading the driver's tables."""
+"""Reading the driver's tables, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table; the reader prunes columns, so callers select what they need."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; on one machine a temporary folder if it is unset, on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{tempfile.gettempdir()}/docloom-{spark.sparkContext.applicationId}"
+
+
+def put_files(spark: SparkSession, folder: str, files: dict[str, bytes]) -> str:
+    """Write a few small files under folder, through the file system that it is on."""
+    jvm = spark._jvm
+    for name, content in files.items():
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(content))
+        out.close()
+    return folder

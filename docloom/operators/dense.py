@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Queries of a block; a block of 64-wide vectors is 2 MB.
-QUERY_BLOCK = 4096
+#: Queries of a block (a block of 64-wide vectors is 2 MB), and scores that a task holds at a time (32 MB).
+QUERY_BLOCK, SCORES = 4096, 1 << 22
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -50,8 +50,9 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, asked = shared.value
             found: dict[int, list[tuple[float, object]]] = {}
-            for batch in batches:
-                if not batch.num_rows or not len(names):
+            rows = max(1, SCORES // max(1, len(names)))
+            for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
+                if not len(names):
                     continue
                 scores = _directions(_matrix(batch.column(1))) @ asked.T
                 if digits is not None:

@@ -246,18 +246,27 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-def near_questions(rows: DataFrame, key: str, text: str, least: float = DUPLICATE_RATIO) -> DataFrame:
+def near_questions(rows: DataFrame, key: str, text: str, least: float = DUPLICATE_RATIO, gram: int = 3) -> DataFrame:
     """Pairs (key_a < key_b) of normalised questions whose matching-block ratio is at least ``least``.
 
-    2 M / (a + b) is at least r only if the shorter length is at least r / (2 - r) of the longer, so lengths
-    are met in bands of neighbouring sizes before any pair is compared.
+    2 M / (a + b) is at least r only if the shorter length is at least r / (2 - r) of the longer, and then at most
+    (1 - r) (a + b) characters are not matched. Each of them breaks ``gram`` grams at most, so a question shares one of any
+    so many of its grams and one more with every partner. Questions meet in their rarest grams; only pairs that meet are compared.
     """
     own = rows.select(F.col(key).alias("k"), question_key(F.col(text)).alias("t")).withColumn("n", F.length("t"))
     shrink = least / (2 - least)
-    band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1 / shrink)))
-    a = own.select(F.col("k").alias("key_a"), F.col("t").alias("a"), F.col("n").alias("na"), F.explode(F.array(band - 1, band, band + 1)).alias("__band"))
-    b = own.select(F.col("k").alias("key_b"), F.col("t").alias("b"), F.col("n").alias("nb"), band.alias("__band"))
-    pairs = a.join(b, "__band").where((F.col("key_a") < F.col("key_b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * shrink))
+    broken = lambda n: F.floor((1 - least) * (n + F.floor(n / shrink)) + 1e-9) * gram
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - gram + 1, F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(gram))))
+    each = own.select("k", "n", F.explode(grams).alias("g"))
+    rarity = Window.partitionBy("k").orderBy("__df", "g")
+    counted = each.join(each.groupBy("g").agg(F.count("*").alias("__df")), "g").where("__df > 1")
+    rare = counted.withColumn("__place", F.row_number().over(rarity)).where(F.col("__place") <= broken(F.col("n")) + 1)
+    a = rare.select(F.col("k").alias("key_a"), F.col("n").alias("na"), "g")
+    b = counted.select(F.col("k").alias("key_b"), F.col("n").alias("nb"), "g")
+    near = (F.col("key_a") != F.col("key_b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * shrink)
+    met = a.join(b, "g").where(near).select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
+    texts = lambda side: own.select(F.col("k").alias(f"key_{side}"), F.col("t").alias(side))
+    pairs = met.join(texts("a"), "key_a").join(texts("b"), "key_b")
     return pairs.withColumn("ratio", _ratio("a", "b")).where(F.col("ratio") >= least).select("key_a", "key_b", "ratio")
 
 
@@ -291,15 +300,22 @@ def verify_manifest(manifest: DataFrame, files: DataFrame, index: DataFrame) ->
 def review_sample(results: DataFrame, order: list[str], limit: int = SAMPLE_SIZE, seed: int = SAMPLE_SEED) -> DataFrame:
     """A reproducible sample without replacement: the indices that Python's generator draws, in row order.
 
-    Indices are met with row numbers that are made per range partition, so no task holds all rows.
+    A row's index is its place in its range partition after the rows of the partitions before. At most ``limit`` rows
+    reach the driver.
     """
-    n = results.count()
-    drawn = sorted(random.Random(seed).sample(range(n), min(limit, n)))
     spark = results.sparkSession
-    picked = spark.createDataFrame([(i,) for i in drawn], "__index long")
-    numbered = results.orderBy(*order).rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
-    rows = spark.createDataFrame(numbered, T.StructType([T.StructField("__index", T.LongType()), *results.schema.fields]))
-    return rows.join(F.broadcast(picked), "__index", "left_semi").orderBy("__index").drop("__index")
+    ordered = results.orderBy(*order).select(F.struct(*results.columns).alias("__r"), F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__i")).persist()
+    sizes = {r["__p"]: r["count"] for r in ordered.groupBy("__p").count().collect()}
+    begins, n = {}, 0
+    for p in sorted(sizes):
+        begins[p] = n
+        n += sizes[p]
+    drawn = sorted(random.Random(seed).sample(range(n), min(limit, n)))
+    wanted = [(p, i - b) for p, b in begins.items() for i in drawn if b <= i < b + sizes[p]]
+    picked = spark.createDataFrame(wanted, "__p int, __i long")
+    rows = [r["__r"] for r in ordered.join(F.broadcast(picked), ["__p", "__i"], "left_semi").orderBy("__p", "__i").select("__r").collect()]
+    ordered.unpersist()
+    return spark.createDataFrame(rows, results.schema)
 
 
 def stratified_sample(rows: DataFrame, stratum: str, sizes: dict, key: str, seed: int = SAMPLE_SEED) -> DataFrame:

@@ -15,7 +15,7 @@ from docloom.config import Settings
 from docloom.functions.stemmer import STOP_WORDS, stems
 from docloom.functions.text import word_tokens
 
-FORMAT_VERSION = 2
+FORMAT_VERSION, PARTS = 3, 64
 
 
 def index_tokens(text: Column, stop_words: tuple[str, ...] = STOP_WORDS, stemmed: bool = True) -> Column:
@@ -56,7 +56,11 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, k: int, query_key: str
     key = index.key
     asked = queries.select(query_key, F.explode(index_tokens(F.col(query_text), stop_words, stemmed)).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
     # Only the asked terms' postings are needed; the semi-join goes below the postings' aggregation.
-    hits = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
+    terms = asked.select("term").distinct()
+    if "part" in index.postings.columns:  # saved postings: only the asked terms' partitions are read
+        hits = index.postings.join(F.broadcast(terms.select("term", _part(F.col("term")).alias("part"))), ["part", "term"], "left_semi").drop("part")  # terms of queries
+    else:
+        hits = index.postings.join(terms, "term", "left_semi")
     weighted = asked.join(hits.groupBy("term").agg(F.count("*").alias("df")), "term")
     k1, b = settings.bm25_k1, settings.bm25_b
     rows = hits.join(weighted, "term").join(index.lengths, key).crossJoin(F.broadcast(index.stats))  # stats is one row
@@ -70,19 +74,35 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, k: int, query_key: str
 
 
 def signature(chunks: DataFrame, key: str, content_hash: str) -> DataFrame:
-    """One row: the hash of the ordered (key, content hash) pairs, and their number.
+    """One row: a hash over the JSON of the ordered (id, hash) pairs, and their number.
 
-    Each row's pair is hashed first and the hashes are combined in order, so a row costs 64 characters here.
+    Pairs are dealt into 4,096 parts by their ids, each part's JSON is hashed in a task of its own, and the parts'
+    hashes are hashed in order, so no task holds all pairs.
     """
     pair = F.struct(F.col(key).cast("string").alias("id"), F.col(content_hash).alias("hash"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda p: F.concat_ws(":", p["id"], p["hash"])), "\n")
-    return chunks.agg(F.sha2(joined, 256).alias("signature"), F.count("*").alias("count"))
+    part = F.substring(F.md5(F.col(key).cast("string")), 1, 3)
+    parts = chunks.groupBy(part.alias("__part")).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(pair)), {"ignoreNullFields": "false"}), 256).alias("__h"), F.count("*").alias("__n"))
+    rows = F.array_sort(F.collect_list(F.struct("__part", "__h")))
+    return parts.agg(F.sha2(F.array_join(F.transform(rows, lambda x: x["__h"]), "\n"), 256).alias("signature"), F.coalesce(F.sum("__n"), F.lit(0)).alias("count"))
+
+
+def _part(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
 
 def save_index(index: LexicalIndex, path: str, signed: DataFrame) -> None:
-    """Tables under path, the one-row metadata last, so a torn write is seen as missing."""
-    for name in ("postings", "lengths", "terms", "stats"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    """Tables under path, the one-row metadata last, so a torn write is seen as missing.
+
+    Postings are partitioned by a hash of the term and sorted by it, so a search reads few of them. The other tables
+    are made from what was written, so texts are cut into tokens once for the postings and once for the lengths.
+    """
+    spark = index.postings.sparkSession
+    part = index.postings.drop("part").withColumn("part", _part(F.col("term")))
+    part.repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    postings, lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+    postings.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
     has_index = F.lit(True)
     signed.select("signature", "count", F.lit(FORMAT_VERSION).alias("format_version"), has_index.alias("has_index"), F.lit(index.key).alias("key")).coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
 

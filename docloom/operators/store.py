@@ -6,6 +6,7 @@ import threading
 import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -152,8 +153,16 @@ class IndexResult:
     removed: int
 
 
+#: Partitions of the chunk store; a document's chunks are in one of them.
+BUCKETS = 256
+
+
+def _bucket(name: Column) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(BUCKETS)).cast("int")
+
+
 class ChunkStore:
-    """Chunks with vectors at path/chunks (one partition a document) and the manifest at path/manifest."""
+    """Chunks with vectors at path/chunks (partitioned by a hash of the document's name) and the manifest at path/manifest."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -161,26 +170,50 @@ class ChunkStore:
 
     def chunks(self) -> DataFrame:
         try:
-            return self.spark.read.schema(f"{CHUNK}, embedding array<float>").parquet(self.chunk_path)
+            return self._stored().drop("bucket")
         except AnalysisException:
             return self.spark.createDataFrame([], f"{CHUNK}, embedding array<float>")
 
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema(f"{CHUNK}, embedding array<float>, bucket int").parquet(self.chunk_path)
+
     def manifest(self) -> DataFrame:
         return load_manifest(self.spark, self.manifest_path)
 
     def write_documents(self, chunks: DataFrame) -> None:
-        """Append or replace whole documents: only their partitions are rewritten."""
-        columns = [c.split()[0] for c in CHUNK.split(", ")] + ["embedding"]
-        full = chunks.select(*[F.col(c) if c in chunks.columns else F.lit(None).cast("string" if c != "page" else "int").alias(c) for c in columns])
-        full.repartition("doc_name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_name").parquet(self.chunk_path)
+        """Append or replace whole documents."""
+        self.replace_documents(chunks.select("doc_name").distinct(), chunks)
 
-    def delete_documents(self, names: list[str]) -> None:
-        jvm = self.spark._jvm
-        to = jvm.org.apache.hadoop.fs.Path
-        fs = to(self.chunk_path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        for name in names:
-            fs.delete(to(f"{self.chunk_path}/doc_name={escape(name)}"), True)
+    def delete_documents(self, names: DataFrame) -> None:
+        """Drop the chunks of these documents (doc_name)."""
+        self.replace_documents(names, None)
+
+    def replace_documents(self, names: DataFrame, chunks: DataFrame | None) -> None:
+        """Put chunks in the place of these documents' chunks, in one job that rewrites the buckets they are in.
+
+        The old files of a bucket go when the new ones are committed, so a build that fails loses nothing.
+        """
+        columns = [c.split()[0] for c in CHUNK.split(", ")] + ["embedding"]
+        named = names.select("doc_name").distinct().persist()
+        touched = sorted(r.b for r in named.select(_bucket(F.col("doc_name")).alias("b")).distinct().collect())  # BUCKETS at most
+        try:
+            rest = self._stored().where(F.col("bucket").isin(touched)).join(named, "doc_name", "left_anti").select(*columns, "bucket")
+        except AnalysisException:
+            rest = None
+        parts = [] if rest is None else [rest]
+        if chunks is not None:
+            full = chunks.select(*[F.col(c) if c in chunks.columns else F.lit(None).cast("string" if c != "page" else "int").alias(c) for c in columns])
+            parts.append(full.withColumn("bucket", _bucket(F.col("doc_name"))))
+        if touched and parts:
+            after = reduce(DataFrame.unionByName, parts)
+            kept = {r.bucket for r in after.select("bucket").distinct().collect()}
+            after.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.chunk_path)
+            jvm = self.spark._jvm
+            to = jvm.org.apache.hadoop.fs.Path
+            fs = to(self.chunk_path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for b in set(touched) - kept:  # nothing is left there
+                fs.delete(to(f"{self.chunk_path}/bucket={b}"), True)
+        named.unpersist()
 
     def save_manifest(self, manifest: DataFrame) -> None:
         columns = [c.split()[0] for c in MANIFEST.split(", ")]
@@ -218,10 +251,8 @@ class ChunkStore:
         changed = files.join(states.where("state in ('added', 'updated')"), "identity", "left_semi")
         tell(f"{by_state.get('added', 0)} new, {by_state.get('updated', 0)} changed, {by_state.get('skipped', 0)} unchanged")
         if by_state.get("added", 0) + by_state.get("updated", 0):
-            stale = [r.name for r in changed.select("name").collect()]
             built = build(changed).persist()
-            self.delete_documents(stale)
-            self.write_documents(built)
+            self.replace_documents(changed.select(F.col("name").alias("doc_name")), built)
             sizes = built.groupBy("doc_name").agg(F.count("*").cast("int").alias("chunk_count"))
             pages = F.col("page_count") if "page_count" in changed.columns else F.lit(None).cast("int")
             fresh = changed.select("identity", "hash", pages.alias("page_count"), "name").join(sizes, F.col("name") == F.col("doc_name"), "left").select("identity", "hash", "page_count", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
@@ -230,7 +261,7 @@ class ChunkStore:
         else:
             after = manifest.join(states.where("state = 'skipped'"), "identity", "left_semi").select("identity", "hash", "page_count", "chunk_count")
         gone = states.where("state = 'removed'").select(F.element_at(F.split("identity", "/"), -1).alias("name")).join(files.select("name"), "name", "left_anti").distinct()
-        self.delete_documents([r.name for r in gone.collect()])
+        self.delete_documents(gone.withColumnRenamed("name", "doc_name"))
         self.save_manifest(after)
         result = IndexResult(self.manifest().count(), self.chunks().count(), *(by_state.get(s, 0) for s in ("added", "updated", "skipped", "removed")))
         states.unpersist()

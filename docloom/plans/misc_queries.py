@@ -12,7 +12,6 @@ from docloom.operators import conversations as C
 from docloom.operators import store as S
 from docloom.operators.lexical import signature
 from docloom.sources.html import html_lines
-from docloom.sources.records import parse_events
 from docloom.streaming.ingest import sessions, windowed_counts
 from docloom.streaming.rate import daily_usage, minute_windows
 
@@ -101,15 +100,10 @@ def q_scalars(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item_id", question_key(t).alias("key"), estimate_tokens(t).alias("tokens"), is_refusal(t).alias("refused"), F.round(display_width(F.length(t) / 1000), 6).alias("width"), F.round(lexical_scorer(t, F.lit("the and of")), 6).alias("overlap"))
 
 
-def q_events(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "events").select(F.to_json(F.struct(F.col("event_type").alias("stage"), F.lit("stage_update").alias("event"), F.col("value").alias("t"))).alias("value"))
-    return parse_events(lines).groupBy("stage").agg(F.count("*").alias("n"), F.max("t").alias("last"))
-
-
 QUERIES = {
     "incremental_diff": q_diff, "count_guard": q_guard, "keyed_upsert": q_upsert, "resume_pending": q_pending, "numeric_id_page": q_page, "signature": q_signature, "last_turns": q_turns, "conversation_titles": q_titles,
     "recent_conversations": lambda s, d: C.recent(table(s, d, "conversations")), "rate_window": q_rate, "daily_usage": q_usage, "hourly_windows": q_hours, "event_sessions": q_sessions, "html_lines": q_html, "json_reply_parse": q_json,
-    "scalar_functions": q_scalars, "event_progress": q_events, "chunk_counts": lambda s, d: S.counts(table(s, d, "documents"), "source"),
+    "scalar_functions": q_scalars, "chunk_counts": lambda s, d: S.counts(table(s, d, "documents"), "source"),
 }
 
 _ST = """docs as (select source || '/' || doc_id || '.txt' as identity, source, doc_id, sha256(text) as hash from documents), f as (select * from docs where doc_id % 5 <> 0),
@@ -122,7 +116,8 @@ select coalesce(a.source, b.source) as doc_name, a.n as expected, b.n as stored
     "keyed_upsert": "select doc_id, case when doc_id % 3 = 0 then 1 - quality else quality end as quality, toxic from labels",
     "resume_pending": "select model, item_id from (values ('a'), ('b'), ('c')) t(model), benchmark where (item_id + ascii(model)) % 4 <> 0",
     "numeric_id_page": "select source || ':' || doc_id as id, doc_id, (select count(*) from documents) as total from documents order by doc_id, 1 limit 50 offset 100",
-    "signature": "select sha256(string_agg(item_id || ':' || sha256(text), chr(10) order by item_id::varchar)) as signature, count(*) as count from benchmark",
+    "signature": """with p as (select item_id::varchar as id, sha256(text) as hash from benchmark), g as (select substr(md5(id), 1, 3) as part, sha256(to_json(list({'id': id, 'hash': hash} order by id, hash))::varchar) as h, count(*) as n from p group by 1)
+select sha256(string_agg(h, chr(10) order by part, h)) as signature, sum(n)::bigint as count from g""",
     "last_turns": f"with {_TURNS} select * from (select *, (row_number() over (partition by conv_id order by turn desc))::int as place from c) where place <= 2",
     "conversation_titles": """with q as (select conv_id, trim(regexp_replace(min_by(text, turn), '\\s+', ' ', 'g')) as q from conversations where role = 'user' group by 1)
 select conv_id, case when length(q) > 60 then rtrim(substr(q, 1, 57)) || '...' else q end as title from q""",
@@ -137,6 +132,5 @@ select min(us) as start, max(us) + 1800000000 as stop, user_id, count(*) as n fr
     "scalar_functions": """with t as (select item_id, text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from benchmark)
 select item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as key, greatest(1, length(text) // 4)::int as tokens, false as refused, round(least(1, greatest(0, (length(text) / 1000 - 0.4) / (0.95 - 0.4))), 6) as width,
 round(len(list_intersect(w, ['the', 'and', 'of'])) / greatest(len(w), 1), 6) as overlap from t""",
-    "event_progress": "select event_type as stage, count(*) as n, max(value) as last from events group by 1",
     "chunk_counts": "select source, count(*) as chunk_count from documents group by 1",
 }
