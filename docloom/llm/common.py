@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where intermediate tables go when the session names no checkpoint folder (local tests only).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from docloom.io import shared_dir
+
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -19,12 +19,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one for local runs."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found.rstrip("/") if found else LOCAL_CHECKPOINTS
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back.
 
@@ -42,7 +36,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+def if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """df, marked for broadcasting if it has at most so many rows; it must be cheap to count, and narrow."""
     return F.broadcast(df) if df.count() <= rows else df
 

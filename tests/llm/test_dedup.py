@@ -37,8 +37,9 @@ def test_components(spark):
     u = Union(range(701))
     for a, b in edges:
         u.join(a, b)
-    rows = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
-    assert {r.node: r.component for r in rows} == {n: u.find(n) for a, b in edges if a != b for n in (a, b)} and len(rows) == len({r.node for r in rows})
+    for few in (0, 1000):  # in rounds, and in one task
+        rows = connected_components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()
+        assert {r.node: r.component for r in rows} == {n: u.find(n) for a, b in edges if a != b for n in (a, b)} and len(rows) == len({r.node for r in rows})
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
