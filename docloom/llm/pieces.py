@@ -28,6 +28,7 @@ replace columns of the same name.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,7 +45,7 @@ from docloom.llm.common import read, small_batches, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE, FITS = 300_000, 1_000_000
+CACHE, FITS = 1_000_000, 1_000_000
 UNKNOWN = 10.0
 
 
@@ -116,7 +117,8 @@ class Encoder(dict):
         self.automaton.make_automaton()
         self.pairs = pairs
         self.number = {p: i for i, p in enumerate(v.pieces) if v.plain[i] and p}
-        self.fit: dict[tuple[int, int], bool] = {}
+        self.size, self.lengths = len(v.pieces), [len(p) for p in v.pieces]
+        self.fit: dict[int, bool] = {}  # by (piece before + 1) * size + piece
         self.unknown = min((s for s, p in zip(v.scores, v.plain) if p), default=0.0) - UNKNOWN
         # A cut before each run of spaces and around line ends, if no piece spans such a place.
         stuck = any(b == " " and a != " " for a, b in pairs)
@@ -126,12 +128,13 @@ class Encoder(dict):
             self.text_of[i] = bytes([b])
 
     def __missing__(self, part: str) -> bytes:
-        """Cut between characters that no piece joins, then search each cut."""
-        cuts = [0, *(i for i in range(1, len(part)) if (part[i - 1], part[i]) not in self.pairs), len(part)]
+        """Search the part; a long one is cut first between characters that no piece joins."""
+        cuts = [0, *(i for i in range(1, len(part)) if (part[i - 1], part[i]) not in self.pairs), len(part)] if len(part) > 64 else []
         if len(cuts) > 2:
             found = b"".join([self[part[a:b]] for a, b in zip(cuts, cuts[1:])])
         else:
-            found = np.array(self.search(part), "<i4").tobytes()
+            ids = self.search_merges(part) if self.vocabulary.merges else self.search(part)
+            found = struct.pack(f"<{len(ids)}i", *ids)
         if len(self) >= CACHE:
             self.clear()
         if len(part) <= 64:
@@ -151,17 +154,52 @@ class Encoder(dict):
 
     def fits(self, before: int, piece: int) -> bool:
         """Whether merging leaves these two neighbours as they are; before is -1 at a start and after an unknown character."""
-        known = self.fit.get((before, piece))
-        if known is None:
-            if len(self.fit) >= FITS:
-                self.fit.clear()
-            own = [piece] if before < 0 else [before, piece]
-            known = self.fit[before, piece] = self.merge("".join(self.vocabulary.pieces[i] for i in own)) == own
+        if len(self.fit) >= FITS:
+            self.fit.clear()
+        own = [piece] if before < 0 else [before, piece]
+        known = self.fit[(before + 1) * self.size + piece] = self.merge("".join(self.vocabulary.pieces[i] for i in own)) == own
         return known
 
+    def search_merges(self, part: str) -> list[int]:
+        """Ids of the segmentation of a BPE model: a position's score is 0 once a piece fits there, so the first that fits stays."""
+        n, known, size_of = len(part), self.fit.get, self.size
+        last = [None] * (n + 1)  # the piece that ends at each position; -1: an unknown character, or the start
+        last[0] = -1
+        strange = [i for i, c in enumerate(part) if c not in self.single] if not self.single.issuperset(part) else []
+        strange.append(n)
+        next_strange = iter(strange)
+        stop = next(next_strange)
+        for at, (size, _, piece) in self.automaton.iter(part):
+            at += 1
+            while stop < at:  # characters without a piece of their own end where they stand
+                if last[stop] is not None:
+                    last[stop + 1] = -1
+                stop = next(next_strange)
+            if last[at] is None:
+                before = last[at - size]
+                if before is not None:
+                    ok = known((before + 1) * size_of + piece)
+                    if self.fits(before, piece) if ok is None else ok:
+                        last[at] = piece
+        while stop < n:
+            if last[stop] is not None:
+                last[stop + 1] = -1
+            stop = next(next_strange)
+        ids: list[int] = []
+        lengths = self.lengths
+        while n:
+            piece = last[n]
+            if piece >= 0:
+                ids.append(piece)
+                n -= lengths[piece]
+            else:
+                ids.extend([self.vocabulary.byte_ids[b] for b in reversed(part[n - 1].encode())])
+                n -= 1
+        ids.reverse()
+        return ids
+
     def search(self, part: str) -> list[int]:
-        """Ids of the best segmentation."""
-        merges = self.vocabulary.merges
+        """Ids of the best-scoring segmentation of a Unigram model."""
         n = len(part)
         best, back = [float("-inf")] * (n + 1), [(-1, 1)] * (n + 1)
         best[0] = 0.0
@@ -176,8 +214,8 @@ class Encoder(dict):
 
         for last, (size, score, piece) in self.automaton.iter(part):
             settle(last)
-            reached = best[last + 1 - size] + (0.0 if merges else score)
-            if reached > best[last + 1] and (not merges or self.fits(back[last + 1 - size][0], piece)):
+            reached = best[last + 1 - size] + score
+            if reached > best[last + 1]:
                 best[last + 1], back[last + 1] = reached, (piece, size)
         settle(n)
         ids: list[int] = []
