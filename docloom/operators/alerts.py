@@ -218,3 +218,8 @@ def single_value(rows: DataFrame, column: str) -> str:
 
 def duplicate_keys(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def spot_check(rows: DataFrame, text: str, literal: str, expected: int = 1) -> DataFrame:
+    """model, alert_id, rank and ok of the alerts whose text has the literal: whether each parsed rank is the expected one."""
+    return rows.where(F.coalesce(F.col(text).contains(literal), F.lit(False))).select("model", "alert_id", "rank", (F.col("rank") == expected).alias("ok"))

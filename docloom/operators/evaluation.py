@@ -323,3 +323,8 @@ def stratified_sample(rows: DataFrame, stratum: str, sizes: dict, key: str, seed
     order = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), key), key)
     wanted = F.coalesce(*[F.when(F.col(stratum) == s, F.lit(n)) for s, n in sizes.items()], F.lit(0))
     return rows.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= wanted).drop("__place")
+
+
+def questions_per_source(evidence: DataFrame, document: str = "document", question: str = "question_id") -> DataFrame:
+    """document and the number of different questions that it holds evidence for."""
+    return evidence.groupBy(document).agg(F.countDistinct(question).alias("questions"))

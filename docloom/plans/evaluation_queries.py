@@ -67,10 +67,6 @@ def q_quota(spark: SparkSession, d: str) -> DataFrame:
     return V.quota_differences(table(spark, d, "documents"), "lang", expected)
 
 
-def q_near_questions(spark: SparkSession, d: str) -> DataFrame:
-    return V.near_questions(table(spark, d, "benchmark"), "item_id", "text").withColumn("ratio", F.round("ratio", 6))
-
-
 def q_rates(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", "source", "n_chars").join(table(spark, d, "labels"), "doc_id", "left")
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.median("n_chars").alias("median_chars"), F.round(V.rate(F.col("quality") == 1), 6).alias("quality_rate"), F.round(V.rate(F.col("toxic") == 1), 6).alias("toxic_rate"))
@@ -78,7 +74,7 @@ def q_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "model_summary": q_summary, "result_predicates": q_predicates, "retrieval_hits": q_hits, "flat_results": q_flat, "evidence_recall": q_recall, "missing_tokens": q_missing,
-    "quota_check": q_quota, "near_questions": q_near_questions, "pass_rates": q_rates, "exact_duplicates": lambda s, d: V.exact_duplicates(table(s, d, "documents"), "doc_id", "text"),
+    "quota_check": q_quota, "pass_rates": q_rates, "exact_duplicates": lambda s, d: V.exact_duplicates(table(s, d, "documents"), "doc_id", "text"),
     "review_sample": lambda s, d: V.review_sample(table(s, d, "documents").select("doc_id", "source"), ["doc_id"]),
 }
 
@@ -97,6 +93,9 @@ avg(2.0::double) filter (quality is not null) as judge_relevance_mean, {", ".joi
 null::double as judge_latency_mean_ms, null::double as judge_latency_median_ms from m group by source""",
     "result_predicates": f"""with {_RES} select question_id, doc_id % 9 <> 0 and doc_id % 10 <> 0 and quality is not null and toxic is not null as complete, false as retry, doc_id % 10 = 0 as quota,
 concat_ws(', ', case when toxic = 1 and quality is not null then 'missing gold claim' end, case when quality = 0 then 'unsupported claim' end, case when doc_id % 10 = 0 then 'judge failure' end) as labels from r""",
+    "flat_results": f"""with {_RES} select question_id, source as candidate_model, case when quality is not null then n_chars / 20000 end as cosine_score, case when toxic is not null then n_chars / 27000 end as bertscore_f1,
+case when quality = 1 then 'pass' when toxic = 1 then 'fail' when quality is not null then 'partial' end as judge_verdict, case when quality is null then '' when toxic = 1 then '["c1"]' else '[]' end as judge_missing_claim_ids,
+case when doc_id % 10 = 0 then '[{{"message":"' || lang || '","stage":"judge","type":"JudgeQuotaError"}}]' else '[]' end as errors, '[{{"id":"c1","text":"' || lang || '"}}]' as gold_claims, '{{"temperature":"0"}}' as generation_config from r""",
     "retrieval_hits": f"""with {_RES} select question_id, source as candidate_model, doc_id % 12 + 1 <= 5 and coalesce(quality = 1, false) as hit_5, doc_id % 12 + 1 <= 10 and coalesce(quality = 1, false) as hit_10,
 case when doc_id % 12 + 1 <= 5 and quality = 1 then 1.0::double else 0.0::double end as recall_5 from r""",
     "evidence_recall": f"""with p as (select item_id, list_distinct({_LEX.format("text")}) as t from benchmark), pt as (select item_id, unnest(t) as token from p), dt as (select distinct doc_id, token from (select doc_id, unnest({_LEX.format("text")}) as token from documents)),

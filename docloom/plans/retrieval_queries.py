@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.config import Settings
 from docloom.functions.text import lexical_tokens, word_tokens
 from docloom.functions.vectors import cosine
-from docloom.io import table
+from docloom.io import shared_dir, table
 from docloom.operators.dense import dense_topk
 from docloom.operators.fusion import attach_chunks, hybrid_search, rrf_fuse
-from docloom.operators.lexical import bm25_search, build_index
+from docloom.operators.lexical import bm25_search, fresh_index
 
 K, DIGITS = 20, 6
 TOKENS = r"[\p{L}\p{N}_][\p{L}\p{N}_-]*"
@@ -31,13 +34,15 @@ def _asked_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
 
-def _index(spark: SparkSession, d: str):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    return build_index(docs, "vec_id", "text", _stop, stemmed=False)
+def saved_index(spark: SparkSession, d: str, stop_words: tuple[str, ...] = _stop):
+    """The lexical index of documents in the shared folder, made once and used as long as the documents are the same."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text", F.sha2("text", 256).alias("content_hash"))
+    name = hashlib.md5(f"{d} {stop_words}".encode(), usedforsecurity=False).hexdigest()
+    return fresh_index(docs, f"{shared_dir(spark)}/docloom-lexical-{name}", "vec_id", "text", "content_hash", stop_words=stop_words, stemmed=False)
 
 
 def q_bm25(spark: SparkSession, d: str) -> DataFrame:
-    found = bm25_search(_index(spark, d), _asked_text(spark, d), K, stop_words=_stop, stemmed=False, digits=DIGITS)
+    found = bm25_search(saved_index(spark, d), _asked_text(spark, d), K, stop_words=_stop, stemmed=False, digits=DIGITS)
     return found.withColumnRenamed("vec_id", "doc_id")
 
 
@@ -50,12 +55,12 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 def q_rrf(spark: SparkSession, d: str) -> DataFrame:
     asked = _queries(spark, d)
     dense = dense_topk(table(spark, d, "embeddings"), asked, K, digits=DIGITS)
-    sparse = bm25_search(_index(spark, d), asked, K, stop_words=_stop, stemmed=False, digits=DIGITS)
+    sparse = bm25_search(saved_index(spark, d), asked, K, stop_words=_stop, stemmed=False, digits=DIGITS)
     return rrf_fuse([dense, sparse], "vec_id", digits=12).where("rank < 10").select("query_id", F.col("vec_id").alias("doc_id"), F.round("rrf_score", 9).alias("rrf_score"), "rank")
 
 
 def q_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    found = hybrid_search(table(spark, d, "embeddings"), _index(spark, d), _queries(spark, d), 10, "vec_id", "embedding", stemmed=False, stop_words=_stop, digits=DIGITS)
+    found = hybrid_search(table(spark, d, "embeddings"), saved_index(spark, d), _queries(spark, d), 10, "vec_id", "embedding", stemmed=False, stop_words=_stop, digits=DIGITS)
     return found.select("query_id", F.col("vec_id").alias("doc_id"), F.round("rrf_score", 6).alias("rrf_score"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -66,7 +71,7 @@ def q_token_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_doc_freq(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d).terms
+    return saved_index(spark, d).terms
 
 
 def rank_metrics(found: DataFrame, relevant: DataFrame, cuts: tuple[int, ...] = (5, 10), depth: int = 10, query_key: str = "query_id", key: str = "vec_id") -> DataFrame:

@@ -27,7 +27,9 @@ def q_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _source_pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("source", "doc_id", "text")
+    """Each source is a document whose pages have a running line at the top and a page stamp at the end."""
+    page = F.concat(F.lit("COLLECTION  "), F.coalesce("source", F.lit("none")), F.lit(" 7\n"), "text", F.lit("\nsheet "), "doc_id")
+    return table(spark, d, "documents").select("source", "doc_id", page.alias("text"))
 
 
 def q_furniture(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +69,8 @@ QUERIES = {"heading_blocks": q_blocks, "line_furniture": q_furniture, "strip_fur
 _TRIM = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 _SIG = "regexp_replace(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '[0-9]+', '#', 'g')"
 _LINES = "(case when text = '' then []::varchar[] when ends_with(text, chr(10)) then string_split(text, chr(10))[:-2] else string_split(text, chr(10)) end)"
-_RUNNING = f"""l as (select source, doc_id, list_filter(list_transform({_LINES}, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') as a from documents),
+_RUNNING = f"""documents as (select source, doc_id, 'COLLECTION  ' || coalesce(source, 'none') || ' 7' || chr(10) || text || chr(10) || 'sheet ' || doc_id as text from main.documents),
+l as (select source, doc_id, list_filter(list_transform({_LINES}, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') as a from documents),
 e as (select source, doc_id, unnest(list_transform(range(1, least(len(a), 5) + 1), lambda i: {{'line': a[i], 'slot': i - 1}}) || list_transform(range(greatest(len(a) - 4, 1), len(a) + 1), lambda i: {{'line': a[i], 'slot': i - len(a) - 1}})) as x from l),
 c as (select source, regexp_replace(x.line, '[0-9]+', '#', 'g') as signature, count(distinct doc_id) as pages, count(distinct x.slot) as slots, count(distinct x.line) as forms from e group by 1, 2),
 p as (select source, count(distinct doc_id) as total from documents group by 1 having total >= 3),
