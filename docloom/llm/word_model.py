@@ -83,11 +83,41 @@ def _unpack(blob: bytes, kind: str, columns: int = 1) -> np.ndarray:
     return raw.reshape(columns, -1)
 
 
+def _planes8(numbers: np.ndarray) -> bytes:
+    """Whole numbers of 64 bits, their first bytes first, then their second bytes, and so on."""
+    return _pack(np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T))
+
+
+def _from_planes8(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(raw.T).view("<i8").reshape(-1)
+
+
 def _planes(numbers: np.ndarray) -> bytes:
     """Low, middle and high bytes apart, which compress better."""
     return _pack(*[((numbers >> s) & 255).astype(np.uint8) for s in (0, 8, 16, 24)])
 
 
+def _steps(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted pairs as differences of their first words, and of their second words where the first is the same."""
+    first, second = (keys >> U(32)).astype(np.uint32), (keys & U(0xFFFFFFFF)).astype(np.uint32)
+    jump = np.diff(first, prepend=np.uint32(0))
+    step = second.copy()
+    step[1:] -= np.where(jump[1:] == 0, second[:-1], 0).astype(np.uint32)
+    return jump, step
+
+
+def _from_steps(jump: np.ndarray, step: np.ndarray) -> np.ndarray:
+    first = np.cumsum(jump, dtype=np.uint32)
+    total = np.cumsum(step.astype(np.uint64))
+    begin = jump != 0
+    begin[:1] = True
+    at = np.flatnonzero(begin)
+    before = total[at] - step[at]  # what the runs before add up to
+    second = total - np.repeat(before, np.diff(np.append(at, len(step))))
+    return (first.astype(np.uint64) << U(32)) | second
+
+
 def _slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, pa.RecordBatch, bool]]:
     """Chunk number, rows, and whether the chunk ends with them. Cuts depend on the rows alone, not on how they are batched."""
     chunk, size = 0, 0
@@ -132,8 +162,7 @@ def _ask(batches: Iterator[pa.RecordBatch], buckets: int, limit: int) -> Iterato
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(k) else np.zeros(1, np.int64)
         rows = []
         for a, b in zip(cuts[:-1], cuts[1:]):
-            high = (k[a:b] >> U(32)).astype(np.uint32)
-            rows.append((PAIRS, int(bucket[a]), 0, _pack(np.diff(high, prepend=np.uint32(0)), (k[a:b] & U(0xFFFFFFFF)).astype(np.uint32), n[a:b])))
+            rows.append((PAIRS, int(bucket[a]), 0, _pack(*_steps(k[a:b]), n[a:b])))
         of = word_bucket(own, buckets)
         cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(own) else np.zeros(1, np.int64)
         rows += [(WORDS, int(of[a]), int(of[a]), _pack(np.diff(own[a:b], prepend=np.uint32(0)))) for a, b in zip(cuts[:-1], cuts[1:])]
@@ -177,7 +206,7 @@ def _add_pairs(table: pa.Table, buckets: int) -> pa.Table:
     asked = [(c, _unpack(z, "<u4", 3)) for k, c, z in zip(kind, chunk, blob) if k == PAIRS]
     if not asked:
         return _table(rows)
-    keys = np.concatenate([(np.cumsum(x[0], dtype=np.uint32).astype(np.uint64) << U(32)) | x[1] for _, x in asked])
+    keys = np.concatenate([_from_steps(x[0], x[1]) for _, x in asked])
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
@@ -187,7 +216,7 @@ def _add_pairs(table: pa.Table, buckets: int) -> pa.Table:
     at = 0
     for c, x in asked:
         n = x.shape[1]
-        rows.append((PAIRS, int(table.column("bucket")[0].as_py()), c, _pack(answer[at : at + n])))
+        rows.append((PAIRS, int(table.column("bucket")[0].as_py()), c, _planes8(answer[at : at + n])))
         at += n
     pair = ordered[new]
     first, second = (pair >> U(32)).astype(np.uint32), (pair & U(0xFFFFFFFF)).astype(np.uint32)
@@ -198,7 +227,7 @@ def _add_pairs(table: pa.Table, buckets: int) -> pa.Table:
     of = word_bucket(words, buckets)
     cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
     for a, b in zip(cuts[:-1], cuts[1:]):
-        rows.append((PARTS, int(of[a]), None, _pack(words[a:b].astype(np.int64), *numbers[:, a:b])))
+        rows.append((PARTS, int(of[a]), None, _planes8(np.concatenate([np.diff(words[a:b].astype(np.int64), prepend=0), *numbers[:, a:b]]))))
     rows.append((PAIR_STATS, 0, None, _pack(np.array([*_kinds(total), len(pair)], np.int64))))
     return _table(rows)
 
@@ -206,7 +235,9 @@ def _add_pairs(table: pa.Table, buckets: int) -> pa.Table:
 def _add_words(table: pa.Table) -> pa.Table:
     """Of one bucket of words: answers with the words' numbers, and counts of how many words come before a word."""
     kind, chunk, blob = (table.column(c).to_pylist() for c in ("kind", "chunk", "blob"))
-    parts = [_unpack(z, "<i8", 6) for k, z in zip(kind, blob) if k == PARTS]
+    parts = [_from_planes8(z).reshape(6, -1) for k, z in zip(kind, blob) if k == PARTS]
+    for p in parts:
+        np.cumsum(p[0], out=p[0])
     words, numbers = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1:] for p in parts], axis=1)) if parts else (np.zeros(0, np.int64), np.zeros((5, 0), np.int64))
     numbers = np.concatenate([numbers, np.zeros((5, 1), np.int64)], axis=1)
     rows = []
@@ -215,7 +246,7 @@ def _add_words(table: pa.Table) -> pa.Table:
             asked = np.cumsum(_unpack(z, "<u4")[0], dtype=np.uint32).astype(np.int64)
             at = np.searchsorted(words, asked)
             at[(at >= len(words)) | (words[np.minimum(at, len(words) - 1)] != asked if len(words) else True)] = len(words)  # in no pair
-            rows.append((WORDS, int(table.column("bucket")[0].as_py()), c, _pack(*numbers[:, at])))
+            rows.append((WORDS, int(table.column("bucket")[0].as_py()), c, _planes8(numbers[:, at].reshape(-1))))
     rows.append((WORD_STATS, 0, None, _pack(np.array([*_kinds(numbers[4]), len(words)], np.int64))))
     return _table(rows)
 
@@ -244,15 +275,11 @@ def log_probabilities(words: np.ndarray, bounds: np.ndarray, totals, numbers, pa
     spare = (d1[1] * word_stats[0] + d1[2] * word_stats[1] + d1[3] * max(vocabulary - int(word_stats[0]) - int(word_stats[1]), 0)) / types
     text = np.repeat(np.arange(n), np.diff(bounds))
     keys, at = pairs_of(words, bounds)
-    order = np.lexsort((keys, text[at]))
-    keys, of = keys[order], text[at][order]
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])]) if len(keys) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    own = np.diff(np.append(first, len(keys)))
-    keys, of = keys[first], of[first]
-    u, v = (keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.int64)
-    listed, back = np.unique(keys, return_inverse=True)
-    all_of = totals(listed)[back]
+    listed, number = np.unique(keys, return_inverse=True)
+    both, own = np.unique(text[at] * len(listed) + number, return_counts=True)  # each text's pairs, in order
+    of, number = np.divmod(both, max(len(listed), 1))
+    u, v = (listed >> U(32)).astype(np.int64)[number], (listed & U(0xFFFFFFFF)).astype(np.int64)[number]
+    all_of = totals(listed)[number]
     rest = all_of - own
     # The contexts of a text are runs, as its pairs are sorted.
     run = np.concatenate([[True], (u[1:] != u[:-1]) | (of[1:] != of[:-1])]) if len(u) else np.zeros(0, bool)
@@ -280,9 +307,10 @@ def log_probabilities(words: np.ndarray, bounds: np.ndarray, totals, numbers, pa
     return score
 
 
-def _answers(table: pa.Table, kind: int, code: str, columns: int) -> np.ndarray:
+def _answers(table: pa.Table, kind: int, columns: int) -> np.ndarray:
+    """The numbers that buckets sent, in the buckets' order."""
     rows = sorted((b, z) for k, b, z in zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("blob").to_pylist()) if k == kind)
-    return np.concatenate([_unpack(z, code, columns) for _, z in rows], axis=1) if rows else np.zeros((columns, 0), np.int64)
+    return np.concatenate([_from_planes8(z).reshape(columns, -1) for _, z in rows], axis=1) if rows else np.zeros((columns, 0), np.int64)
 
 
 def _score(own: pa.Table, told: pa.Table, buckets: int, pair_stats: np.ndarray, word_stats: np.ndarray, names: list[str], spelled: bool) -> pa.Table:
@@ -297,7 +325,7 @@ def _score(own: pa.Table, told: pa.Table, buckets: int, pair_stats: np.ndarray,
     at += 2 * m * spelled
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(recipe[at:]), np.uint8).reshape(4, k) if k else np.zeros((4, 0), np.uint8)
     number = sum(planes[i].astype(np.uint32) << np.uint32(8 * i) for i in range(4))
-    numbers, answer = _answers(told, WORDS, "<i8", 5), _answers(told, PAIRS, "<i8", 1)[0]
+    numbers, answer = _answers(told, WORDS, 5), _answers(told, PAIRS, 1)[0]
 
     def totals(listed: np.ndarray) -> np.ndarray:
         hashes = (words[(listed >> U(32)).astype(np.int64)].astype(np.uint64) << U(32)) | words[(listed & U(0xFFFFFFFF)).astype(np.int64)]
