@@ -12,9 +12,9 @@ There are two sweeps. The first finds the distinct rule paths that start a url's
 for each of these paths, the deepest host rule that has this path. The longest rule string wins.
 
 Scale: only distinct (host, path) pairs are swept, after a pre-aggregated distinct. They are dealt
-into slices by hash, and each slice also gets the rules. The number of slices falls as the number of
-rules grows, so replicated rules stay below the number of urls, and every slice is sorted by Spark with
-spilling. Nothing is broadcast or collected.
+into slices by hash, so a hot host or path is in all of them, and each slice also gets the rules. There are four slices a
+shuffle partition, but no more than keeps the replicated rules below the number of pages (one slice, which Spark
+sorts with spilling, if there are more rules than pages). Nothing is broadcast or collected.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits no rule; urls
 that fit none get ``default``. Among fitting rules of equal length the longer host wins. Rules that are
@@ -92,7 +92,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     rows = pages.select(*keep, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     n = partitions(spark)
-    slices = slices or max(1, 4 * n)
+    slices = slices or max(1, min(4 * n, pages.count() // max(1, rules.count())))
     urls = rows.select(F.col("host").alias("__uh"), F.col("path").alias("__up")).distinct()
 
     # First sweep: rule paths that start the url's path.
