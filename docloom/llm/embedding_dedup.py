@@ -22,7 +22,7 @@ Intermediate tables are in the shared folder; every task makes the rotation and
 (dimension x bits, the latter for each table).
 
 Defined results: a vector that is null, zero, or has null or non-finite components links with nothing; so do
-vectors of different lengths. Rows with equal keys count as different vectors of one id. A null key takes
+vectors of different lengths. Very large and very small vectors are scaled by a power of two, so their norms are finite and not zero. Rows with equal keys count as different vectors of one id. A null key takes
 part like others and is never the least; if alone its component is null and kept is null. Extra
 columns are ignored: the result has the key and the result columns.
 """
@@ -87,9 +87,9 @@ def _vectors(column: pa.Array, dtype: str) -> list[bytes | None]:
             values = v.values
             if len(values) and not values.null_count:
                 x = values.to_numpy(zero_copy_only=False).astype(dtype)
-                norm = float(np.linalg.norm(x.astype(float)))
-                if np.isfinite(norm) and norm > 0:
-                    out[i] = x.tobytes()
+                most = float(np.abs(x.astype(float)).max())
+                if np.isfinite(most) and most > 0:  # a power of two that keeps norms within range and changes no cosine
+                    out[i] = np.ldexp(x, -math.frexp(most)[1]).astype(dtype).tobytes() if not 1e-15 < most < 1e15 else x.tobytes()
     return out
 
 

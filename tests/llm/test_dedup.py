@@ -243,7 +243,7 @@ def test_pigeonhole_signatures():
 
 
 def brute_vectors(rows, threshold):
-    ok = [(k, np.array(v, float)) for k, v in rows if v is not None and len(v) and all(x is not None for x in v) and np.isfinite(np.array(v, float)).all() and np.linalg.norm(np.array(v, float)) > 0]
+    ok = [(k, np.array(v, float) / np.abs(np.array(v, float)).max()) for k, v in rows if v is not None and len(v) and all(x is not None for x in v) and np.isfinite(np.array(v, float)).all() and np.abs(np.array(v, float)).max() > 0]
     links, u = defaultdict(int), Union([k for k, _ in rows])
     for i, (k, v) in enumerate(ok):
         for o, w in ok[i + 1 :]:
@@ -261,7 +261,7 @@ def test_vectors_brute(spark, group):
     for c in range(12):
         centre = rng.standard_normal(24)
         rows += [centre + rng.standard_normal(24) * rng.choice([0.02, 0.1, 0.25]) for _ in range(int(rng.integers(1, 25)))]
-    rows += [rows[0], rows[0] * 2, rows[1], np.zeros(24), np.full(24, np.nan), np.full(24, np.inf), rng.standard_normal(5)]
+    rows += [rows[0] * 2.0**700, rows[0] * 2.0**-700, rows[0], rows[0] * 2, rows[1], np.zeros(24), np.full(24, np.nan), np.full(24, np.inf), rng.standard_normal(5)]
     listed = [(i, v.tolist()) for i, v in enumerate(rows)] + [(900, None), (901, []), (902, [1.0] * 23 + [None]), (903, rng.standard_normal(5).tolist())]
     df = spark.createDataFrame([(k, v, 0) for k, v in listed], "vec_id long, embedding array<double>, n_links int")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(df, group=group).collect()}
