@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import materialize, read
+from docloom.llm.common import drop_table, materialize, read
 from docloom.llm.components import connected_components
 from docloom.llm.textblocks import M1, U, mix
 
@@ -241,6 +241,9 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     to = lambda side: balls.select(F.col("cid").alias(side), F.col("ball").alias(f"ball_{side}"), F.col("size").alias(f"size_{side}"))
     links = materialize(linked.select("a", "b").unionByName(more).join(to("a"), "a").join(to("b"), "b").where("ball_a <> ball_b"), "links")
 
+    for done in (met, exact):
+        drop_table(done)
+
     # Links: the ball's other vectors, and those of linked classes in other balls.
     inside = balls.groupBy("ball").agg(F.sum("size").alias("inside"))
     outside = links.select(F.col("a").alias("cid"), F.col("size_b").alias("s")).unionByName(links.select(F.col("b").alias("cid"), F.col("size_a").alias("s"))).groupBy("cid").agg(F.sum("s").alias("outside"))

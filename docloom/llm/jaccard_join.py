@@ -388,7 +388,9 @@ def _class_texts(own: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFram
     chosen = materialize(chosen.select("cid", F.col("__r.k").alias("__k"), F.col("__r.d").alias("__d")), "chosen")
     picked = own.join(if_small(chosen), F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__doc") == F.col("__d"))).select("cid", "__text")
     texts = materialize(_packed(picked, "__text"), "texts")
-    if texts.count() == chosen.count():
+    whole = texts.count() == chosen.count()
+    drop_table(chosen)
+    if whole:
         return texts
     once = materialize(texts.groupBy("cid").agg(F.first("z").alias("z")), "texts")  # rows that repeat stood in several tasks
     drop_table(texts)
@@ -546,7 +548,9 @@ def _across(rest: DataFrame, component: DataFrame, texts: DataFrame, width: int,
     meet = x.join(y, "family").where("block_x <= block_y and coalesce(pure_x <> pure_y, true)").select("family", "block_x", "block_y")
     sides = meet.select("*", F.explode(F.when(F.col("block_x") == F.col("block_y"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
     rows = sides.withColumn("block", F.when(F.col("side") == 0, F.col("block_x")).otherwise(F.col("block_y"))).join(dealt.drop("pure"), ["family", "block"]).join(texts, "cid")
-    return materialize(rows.select("family", "block_x", "block_y", "side", "cid", "comp", "z").groupBy("family", "block_x", "block_y").applyInArrow(lambda t: _block_links(t, width, similarity), "a binary, b binary"), "across")
+    found = materialize(rows.select("family", "block_x", "block_y", "side", "cid", "comp", "z").groupBy("family", "block_x", "block_y").applyInArrow(lambda t: _block_links(t, width, similarity), "a binary, b binary"), "across")
+    drop_table(dealt)
+    return found
 
 
 def _grouped(docs: DataFrame, key: str, text: str, width: int, similarity: Similarity, deleting: float | None) -> DataFrame:
@@ -579,13 +583,18 @@ def _grouped(docs: DataFrame, key: str, text: str, width: int, similarity: Simil
     wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).unionByName(rest.select("cid")).distinct()
     texts = _class_texts(own, rows, wanted)
     links = materialize(_verify(pairs, texts, width, similarity), "links")
+    drop_table(pairs)
     found = links.where("linked").select("a", "b")
     component = connected_components(found)
 
     more = _across(rest, component, texts, width, similarity)
     drop_table(texts)
+    drop_table(rest)
     if not more.isEmpty():
-        component = connected_components(found.unionByName(more))
+        first, component = component, connected_components(found.unionByName(more))
+        drop_table(first)
+    drop_table(links)
+    drop_table(more)
 
     # The smallest key of each component.
     labelled = classes.join(component, classes["cid"] == component["node"], "left").select("cid", "__rep", F.coalesce("component", "cid").alias("__c"))
@@ -608,9 +617,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     """
     rows = materialize(_grouped(docs, key, text, width, similarity, None).where("__c is not null").select("__key", "doc", "__c"), "grouped")
     name = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("k"), F.col("doc").alias("d"))
-    best = rows.groupBy("__c").agg(F.min(name).alias("__b"))
-    marked = rows.join(if_small(materialize(best, "best")), "__c").groupBy("__key", "doc").agg(F.first(name != F.col("__b")).alias("__gone"), F.count("*").alias("__n"))
+    best = materialize(rows.groupBy("__c").agg(F.min(name).alias("__b")), "best")
+    marked = rows.join(if_small(best), "__c").groupBy("__key", "doc").agg(F.first(name != F.col("__b")).alias("__gone"), F.count("*").alias("__n"))
     marked = materialize(marked.where("__gone or __n > 1").withColumnRenamed("__key", "__k"), "marked")
+    drop_table(rows)
+    drop_table(best)
     own = docs.withColumn("__d", F.xxhash64(F.col(text).cast("string")))
     on = F.col(key).eqNullSafe(F.col("__k")) & (F.col("__d") == F.col("doc"))
     left = own.join(if_small(marked.select("__k", "doc")), on, "left_anti").select(*docs.columns)
