@@ -25,6 +25,7 @@ answers do not match its words raises an error.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ from docloom.llm.textblocks import LOWER, U, blocks, mix, word_hashes
 
 #: Bytes of text of a chunk, and bytes of text that a bucket of pairs answers for.
 CHUNK, PER_BUCKET = 12 << 20, 24 << 20
+#: Ranges of first and of second words that buckets of pairs are made of, at most.
+SIDE = 16
 ASKED = "kind int, bucket long, other long, chunk long, blob binary"
 TOLD = "kind int, bucket long, chunk long, blob binary"
 PAIRS, WORDS, PARTS, PAIR_STATS, WORD_STATS = range(5)
@@ -66,7 +69,19 @@ def pairs_of(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def pair_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((mix(keys) >> U(32)) % U(buckets)).astype(np.int64)
+    """Buckets are the cells of a square of ranges of first and second words, so a bucket sees few words; beyond SIDE
+    ranges, at which a very common word adds little to a range, each cell is cut by a hash of the pair."""
+    side = min(SIDE, math.isqrt(buckets))
+    rest = buckets // side**2
+    cell = ((keys >> U(32)) * U(side) >> U(32)) * U(side) + ((keys & U(0xFFFFFFFF)) * U(side) >> U(32))
+    return (cell * U(rest) + (mix(keys) >> U(32)) % U(rest)).astype(np.int64)
+
+
+def bucket_count(size: int) -> int:
+    """Buckets for so many bytes of text: whole cells, and as many parts of each."""
+    least = max(16, size // PER_BUCKET)
+    side = min(SIDE, math.isqrt(least - 1) + 1)
+    return side**2 * -(-least // side**2)
 
 
 def word_bucket(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -98,6 +113,11 @@ def _planes(numbers: np.ndarray) -> bytes:
     return _pack(*[((numbers >> s) & 255).astype(np.uint8) for s in (0, 8, 16, 24)])
 
 
+def _from_planes(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(raw.T).view("<u4").reshape(-1)
+
+
 def _steps(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted pairs as differences of their first words, and of their second words where the first is the same."""
     first, second = (keys >> U(32)).astype(np.uint32), (keys & U(0xFFFFFFFF)).astype(np.uint32)
@@ -118,6 +138,21 @@ def _from_steps(jump: np.ndarray, step: np.ndarray) -> np.ndarray:
     return (first.astype(np.uint64) << U(32)) | second
 
 
+def _request(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted pairs and their counts. Second words are places in a sorted list of their own, as they repeat."""
+    listed, place = np.unique((keys & U(0xFFFFFFFF)).astype(np.uint32), return_inverse=True)
+    jump, step = _steps((keys & ~U(0xFFFFFFFF)) | place.astype(np.uint64))
+    return _planes(np.concatenate([np.array([len(keys)], np.uint32), jump, step, counts, np.diff(listed, prepend=np.uint32(0))]))
+
+
+def _requested(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = _from_planes(blob)
+    n = int(raw[0])
+    jump, step, counts = raw[1 : 3 * n + 1].reshape(3, n)
+    keys, listed = _from_steps(jump, step), np.cumsum(raw[3 * n + 1 :], dtype=np.uint32)
+    return (keys & ~U(0xFFFFFFFF)) | listed[(keys & U(0xFFFFFFFF)).astype(np.int64)].astype(np.uint64), counts
+
+
 def _slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, pa.RecordBatch, bool]]:
     """Chunk number, rows, and whether the chunk ends with them. Cuts depend on the rows alone, not on how they are batched."""
     chunk, size = 0, 0
@@ -162,10 +197,10 @@ def _ask(batches: Iterator[pa.RecordBatch], buckets: int, limit: int) -> Iterato
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(k) else np.zeros(1, np.int64)
         rows = []
         for a, b in zip(cuts[:-1], cuts[1:]):
-            rows.append((PAIRS, int(bucket[a]), 0, _pack(*_steps(k[a:b]), n[a:b])))
+            rows.append((PAIRS, int(bucket[a]), 0, _request(k[a:b], n[a:b])))
         of = word_bucket(own, buckets)
         cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(own) else np.zeros(1, np.int64)
-        rows += [(WORDS, int(of[a]), int(of[a]), _pack(np.diff(own[a:b], prepend=np.uint32(0)))) for a, b in zip(cuts[:-1], cuts[1:])]
+        rows += [(WORDS, int(of[a]), int(of[a]), _planes(np.diff(own[a:b], prepend=np.uint32(0)))) for a, b in zip(cuts[:-1], cuts[1:])]
         for i in range(0, len(rows), 256):
             kind, at, other, blob = zip(*rows[i : i + 256])
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(at, pa.int64()), pa.array(other, pa.int64()), pa.array([chunk] * len(at), pa.int64()), pa.array(blob, pa.binary())], names=[f.split()[0] for f in ASKED.split(", ")])
@@ -203,19 +238,19 @@ def _add_pairs(table: pa.Table, buckets: int) -> pa.Table:
     """Of one bucket: answers with the pairs' totals, requests for words, parts of the words' numbers, counts of counts."""
     kind, other, chunk, blob = (table.column(c).to_pylist() for c in ("kind", "other", "chunk", "blob"))
     rows = [(WORDS, o, c, z) for k, o, c, z in zip(kind, other, chunk, blob) if k == WORDS]
-    asked = [(c, _unpack(z, "<u4", 3)) for k, c, z in zip(kind, chunk, blob) if k == PAIRS]
+    asked = [(c, *_requested(z)) for k, c, z in zip(kind, chunk, blob) if k == PAIRS]
     if not asked:
         return _table(rows)
-    keys = np.concatenate([_from_steps(x[0], x[1]) for _, x in asked])
+    keys = np.concatenate([x for _, x, _ in asked])
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    total = np.add.reduceat(np.concatenate([x[2] for _, x in asked]).astype(np.int64)[order], np.flatnonzero(new))
+    total = np.add.reduceat(np.concatenate([n for _, _, n in asked]).astype(np.int64)[order], np.flatnonzero(new))
     answer = np.empty(len(keys), np.int64)
     answer[order] = total[np.cumsum(new) - 1]
     at = 0
-    for c, x in asked:
-        n = x.shape[1]
+    for c, x, _ in asked:
+        n = len(x)
         rows.append((PAIRS, int(table.column("bucket")[0].as_py()), c, _planes8(answer[at : at + n])))
         at += n
     pair = ordered[new]
@@ -243,7 +278,7 @@ def _add_words(table: pa.Table) -> pa.Table:
     rows = []
     for k, c, z in zip(kind, chunk, blob):
         if k == WORDS:
-            asked = np.cumsum(_unpack(z, "<u4")[0], dtype=np.uint32).astype(np.int64)
+            asked = np.cumsum(_from_planes(z), dtype=np.uint32).astype(np.int64)
             at = np.searchsorted(words, asked)
             at[(at >= len(words)) | (words[np.minimum(at, len(words) - 1)] != asked if len(words) else True)] = len(words)  # in no pair
             rows.append((WORDS, int(table.column("bucket")[0].as_py()), c, _planes8(numbers[:, at].reshape(-1))))
@@ -323,8 +358,7 @@ def _score(own: pa.Table, told: pa.Table, buckets: int, pair_stats: np.ndarray,
     at = 24 + 4 * (n + m)
     bits = np.frombuffer(recipe, "<f2", m, at) if spelled else None
     at += 2 * m * spelled
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(recipe[at:]), np.uint8).reshape(4, k) if k else np.zeros((4, 0), np.uint8)
-    number = sum(planes[i].astype(np.uint32) << np.uint32(8 * i) for i in range(4))
+    number = _from_planes(recipe[at:]) if k else np.zeros(0, np.uint32)
     numbers, answer = _answers(told, WORDS, 5), _answers(told, PAIRS, 1)[0]
 
     def totals(listed: np.ndarray) -> np.ndarray:
@@ -401,7 +435,7 @@ def scored(docs: DataFrame, text: str, lang: str, carry: list[str], added: dict[
 
     own = steady(docs.select(F.col(text).cast("string").alias("__text"), F.col(lang).cast("string").alias("__lang"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)]))
     size = own.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
-    buckets = max(16, size // PER_BUCKET)
+    buckets = bucket_count(size)
     asked = own.select("__text", "__lang").mapInArrow(tidy(lambda it: _ask(it, buckets, chunk)), ASKED)
     told = materialize(asked.groupBy("bucket").applyInArrow(lambda t: _add_pairs(t, buckets), TOLD), "pairs")
     words = materialize(told.where(F.col("kind").isin(WORDS, PARTS)).groupBy("bucket").applyInArrow(_add_words, TOLD), "words")
