@@ -354,11 +354,15 @@ def _score(own: pa.Table, told: pa.Table, buckets: int, pair_stats: np.ndarray,
     recipe = zstandard.ZstdDecompressor().decompress(blob.filter(blob.is_valid())[0].as_py())
     n, m, k = np.frombuffer(recipe, "<i8", 3).tolist()
     counts = np.frombuffer(recipe, "<u4", n, 24).astype(np.int64)
-    words = np.cumsum(np.frombuffer(recipe, "<u4", m, 24 + 4 * n), dtype=np.uint32)
-    at = 24 + 4 * (n + m)
+    at = 24 + 4 * n
     bits = np.frombuffer(recipe, "<f2", m, at) if spelled else None
     at += 2 * m * spelled
-    number = _from_planes(recipe[at:]) if k else np.zeros(0, np.uint32)
+    sent = _from_planes(recipe[at:]) if k else np.zeros(0, np.uint32)
+    words = np.cumsum(sent[:m], dtype=np.uint32)
+    order = np.argsort(words)
+    place = np.empty(m, np.uint32)
+    place[order] = np.arange(m, dtype=np.uint32)
+    words, number = words[order], place[sent[m:]]
     numbers, answer = _answers(told, WORDS, 5), _answers(told, PAIRS, 1)[0]
 
     def totals(listed: np.ndarray) -> np.ndarray:
@@ -389,15 +393,18 @@ def prepare(batches: Iterator[pa.RecordBatch], names: list[str], counted, limit:
 
     def recipe(chunk: int) -> pa.RecordBatch:
         all_words, all_counts = np.concatenate(words), np.concatenate(counts).astype(np.uint32)
-        own, number = np.unique(all_words, return_inverse=True)
+        own, number, times = np.unique(all_words, return_inverse=True, return_counts=True)
         head = np.array([len(all_counts), len(own), len(all_words)], "<i8")
         parts = [head, all_counts]
         if len(own):
-            parts.append(np.diff(own, prepend=np.uint32(0)))
             if spell is not None:
                 w, bits = (np.concatenate(x) for x in zip(*spelled))
                 parts.append(np.minimum(bits[np.unique(w, return_index=True)[1]], 60_000).astype("<f2"))
-            parts.append(np.frombuffer(_planes(number.astype(np.uint32)), np.uint8))
+            # Common words get small numbers: by the power of two of their count, then in order, so differences stay small.
+            order = np.argsort(-np.frexp(times)[1], kind="stable")
+            place = np.empty(len(own), np.uint32)
+            place[order] = np.arange(len(own), dtype=np.uint32)
+            parts.append(np.frombuffer(_planes(np.concatenate([np.diff(own[order], prepend=np.uint32(0)), place[number]])), np.uint8))
         blob = _pack(*parts)
         values = {"__chunk": chunk, "__place": None, "__blob": blob}
         return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in schema], schema=schema)
@@ -448,16 +455,18 @@ def scored(docs: DataFrame, text: str, lang: str, carry: list[str], added: dict[
         return total
 
     pair_stats, word_stats = stats(told, PAIR_STATS), stats(words, WORD_STATS)
+    answered = materialize(told.where(F.col("kind") == PAIRS), "answers")  # the larger part is of no more use
+    drop_table(told)
     kinds = {"long": T.LongType(), "boolean": T.BooleanType()}
     inner = [T.StructField(f"__c{i}", docs.schema[c].dataType) for i, c in enumerate(carry)] + [T.StructField(f"__a{i}", kinds[k]) for i, k in enumerate(added.values())]
     names = [f.name for f in inner]
     whole = T.StructType([*inner, T.StructField("__chunk", T.LongType()), T.StructField("__place", T.LongType()), T.StructField("__blob", T.BinaryType())])
     arrow = to_arrow_schema(whole)
     rows = own.mapInArrow(tidy(lambda it: prepare(it, list(added), counted, chunk, arrow, speller)), whole)
-    answers = told.where(F.col("kind") == PAIRS).unionByName(words.where(F.col("kind") == WORDS)).withColumnRenamed("chunk", "__chunk")
+    answers = answered.unionByName(words.where(F.col("kind") == WORDS)).withColumnRenamed("chunk", "__chunk")
     out = T.StructType([*inner, T.StructField("log_ppl", T.DoubleType()), T.StructField("spelling", T.DoubleType())])
     joined = rows.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(lambda a, b: _score(a, b, buckets, pair_stats, word_stats, names, speller is not None), out)
     final = materialize(joined, "quality")
-    drop_table(told)
+    drop_table(answered)
     drop_table(words)
     return final.select(*[F.col(f.name).alias(c) for f, c in zip(inner, [*carry, *added])], "log_ppl", "spelling")
