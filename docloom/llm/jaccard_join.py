@@ -19,7 +19,7 @@ Signatures are packed by bucket (about seven bytes each) before they are shuffle
 signature are candidates; candidates are compared exactly, by their texts. The result needs links only up
 to connectivity, so a signature that very many sets share gives each set two partners first (the group's
 first and the one before). Sets that such groups tie together and that are still in different components
-are then compared block by block, a matrix product for each two blocks. No pair is dropped: a candidate pair
+are then compared block by block (of like sizes), a matrix product for each two blocks. No pair is dropped: a candidate pair
 that is never compared lies in one component already.
 
 Scale: texts are read once for signatures and shuffled once, for candidates alone to be packed. Exact copies
@@ -36,6 +36,7 @@ stay repeated. Extra columns are ignored: the result has the key and the result
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -129,7 +130,9 @@ def band_costs(values: np.ndarray, bounds: np.ndarray, bands: list[Band], simila
     a, b = n[of[left]], n[of[right]]
     near = (np.minimum(a, b) * similarity.q >= np.maximum(a, b) * similarity.p) & (of[left] != of[right])
     met = np.unique(np.stack([band[right], np.minimum(of[left], of[right]), np.maximum(of[left], of[right])], axis=1)[near], axis=0)
-    return rows, np.bincount(met[:, 0], n[met[:, 1]] + n[met[:, 2]], len(bands))
+    verified = np.bincount(met[:, 0], n[met[:, 1]] + n[met[:, 2]], len(bands))
+    # The other pairs of large groups are compared block by block, at about the cost of a shingle a pair.
+    return rows, verified + np.bincount(band[large], place[large], len(bands))
 
 
 def allot(own: DataFrame, width: int, similarity: Similarity, frequent, total: int, sample: int = COST_SAMPLE) -> tuple[list[Band], list[dict]]:
@@ -460,7 +463,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, similarity: Similari
     return met.mapInArrow(tidy(run), "a binary, b binary, shared long, total long, linked boolean")
 
 
-BLOCK = 256
+#: Shingles of a block of sets, and cells of a matrix of two parts of blocks.
+BLOCK, MATRIX = 1 << 20, 1 << 20
 
 
 def _shared_matrix(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -488,7 +492,8 @@ def _shared_matrix(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) ->
 def _linked_pairs(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray | None, similarity: Similarity, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Numbers of linked pairs, between one and two or (two None) within one. Halves are taken until a part has few shingles."""
     size = np.array([len(s) for s in sets], np.int64)
-    if size[one].sum() + (0 if two is None else size[two].sum()) > most and (len(one) > 1 or two is not None and len(two) > 1):
+    large = size[one].sum() + (0 if two is None else size[two].sum()) > most or len(one) * len(one if two is None else two) > MATRIX
+    if large and (len(one) > 1 or two is not None and len(two) > 1):
         if two is None:
             x, y = one[: len(one) // 2], one[len(one) // 2 :]
             for p, q in ((x, None), (y, None), (x, y)):
@@ -528,26 +533,32 @@ def _across(rest: DataFrame, component: DataFrame, texts: DataFrame, width: int,
     """Links between components of the sets of large groups, a and b, found by comparing blocks of sets.
 
     Sets that large groups tie together are a family. Families that lie in one component are done. The others'
-    sets are dealt into blocks: parts of one large component each, or small components together. All pairs of
-    blocks are compared but those inside one large component.
+    sets are dealt by size into bands, so that similar sets are in the same or in neighbouring bands, and within a band
+    into blocks of about BLOCK shingles: parts of one large component each, or small components together. All pairs
+    of blocks of such bands are compared but those inside one large component.
     """
     least = rest.groupBy("key").agg(F.min("cid").alias("b"))
     ties = rest.select("key", F.col("cid").alias("a")).join(least, "key").where("a <> b").select("a", "b").distinct()
     families = connected_components(ties).select(F.col("node").alias("cid"), F.col("component").alias("family"))
-    placed = families.join(component.withColumnRenamed("component", "comp"), F.col("cid") == F.col("node"), "left").select("family", "cid", F.coalesce("comp", "cid").alias("comp"))
-    sizes = placed.groupBy("family", "comp").agg(F.count("*").alias("size"))
-    small = F.sum(F.when(F.col("size") < BLOCK // 2, F.col("size")).otherwise(0))
-    apart = sizes.groupBy("family").agg(F.count("*").alias("parts"), small.alias("small")).where("parts > 1")
-    known = sizes.join(apart, "family")
+    own = rest.select("cid", "n").distinct().join(families, "cid")
+    step = math.log(similarity.q / similarity.p) * (1 + 1e-6)  # a little more, for rounding
+    band = F.floor(F.log(F.col("n")) / F.lit(step)).cast("long") if step else F.col("n")
+    placed = own.join(component.withColumnRenamed("component", "comp"), F.col("cid") == F.col("node"), "left").select("family", "cid", F.coalesce("comp", "cid").alias("comp"), band.alias("band"), "n")
+    placed = materialize(placed, "families")
+    apart = placed.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("family")
+    sizes = placed.groupBy("family", "band", "comp").agg(F.sum("n").alias("size"))
+    small = sizes.groupBy("family", "band").agg(F.sum(F.when(F.col("size") < BLOCK // 2, F.col("size")).otherwise(0)).alias("small"))
+    known = sizes.join(apart, "family").join(small, ["family", "band"])
     pure = F.col("size") >= BLOCK // 2
     slots = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
-    block = F.when(pure, F.concat(F.hex("comp"), F.lit(":"), F.pmod(F.xxhash64("cid"), slots(F.col("size"))).cast("string"))).otherwise(F.pmod(F.xxhash64("comp"), slots(F.col("small"))).cast("string"))
-    dealt = materialize(placed.join(known, ["family", "comp"]).select("family", "cid", "comp", block.alias("block"), F.when(pure, F.col("comp")).alias("pure")), "blocks")
-    blocks_of = dealt.select("family", "block", "pure").distinct()
-    x, y = (blocks_of.select("family", F.col("block").alias(f"block_{s}"), F.col("pure").alias(f"pure_{s}")) for s in "xy")
-    meet = x.join(y, "family").where("block_x <= block_y and coalesce(pure_x <> pure_y, true)").select("family", "block_x", "block_y")
+    name = F.when(pure, F.concat_ws(":", "band", F.hex("comp"), F.pmod(F.xxhash64("cid"), slots(F.col("size"))).cast("string"))).otherwise(F.concat_ws(":", "band", F.pmod(F.xxhash64("comp"), slots(F.col("small"))).cast("string")))
+    dealt = materialize(placed.join(known, ["family", "band", "comp"]).select("family", "cid", "comp", "band", name.alias("block"), F.when(pure, F.col("comp")).alias("pure")), "blocks")
+    drop_table(placed)
+    blocks_of = dealt.select("family", "band", "block", "pure").distinct()
+    x, y = (blocks_of.select("family", F.col("band").alias(f"band_{s}"), F.col("block").alias(f"block_{s}"), F.col("pure").alias(f"pure_{s}")) for s in "xy")
+    meet = x.join(y, "family").where("abs(band_x - band_y) <= 1 and block_x <= block_y and coalesce(pure_x <> pure_y, true)").select("family", "block_x", "block_y")
     sides = meet.select("*", F.explode(F.when(F.col("block_x") == F.col("block_y"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
-    rows = sides.withColumn("block", F.when(F.col("side") == 0, F.col("block_x")).otherwise(F.col("block_y"))).join(dealt.drop("pure"), ["family", "block"]).join(texts, "cid")
+    rows = sides.withColumn("block", F.when(F.col("side") == 0, F.col("block_x")).otherwise(F.col("block_y"))).join(dealt.drop("pure", "band"), ["family", "block"]).join(texts, "cid")
     found = materialize(rows.select("family", "block_x", "block_y", "side", "cid", "comp", "z").groupBy("family", "block_x", "block_y").applyInArrow(lambda t: _block_links(t, width, similarity), "a binary, b binary"), "across")
     drop_table(dealt)
     return found
