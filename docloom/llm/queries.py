@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import chat, embedding_dedup, jaccard_join, langid, mixing, pieces, quality, secrets, suffix_dedup, url_filters
+from docloom.llm import chat, embedding_dedup, jaccard_join, langid, mixing, packing, pieces, quality, secrets, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_language_id": langid.op9_language_id,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_packing": packing.op11_packing,
 }
 ORACLES = {"op1_url_filters": url_filters.op1_sql(), "op6_mixing": mixing.op6_sql(), "op8_chat_formatting": chat.OP8_SQL}
