@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +34,34 @@ def put_files(spark: SparkSession, folder: str, files: dict[str, bytes]) -> str:
         out.write(bytearray(content))
         out.close()
     return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table under the shared folder, read back: a cut in the lineage that survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Delete what written() wrote, once no plan reads it any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Spark SQL settings (two underscores stand for a dot) that hold within the block only."""
+    names = {k.replace("__", "."): str(v) for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
