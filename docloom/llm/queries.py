@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import chat, embedding_dedup, jaccard_join, langid, mixing, packing, pieces, quality, secrets, suffix_dedup, url_filters
+from docloom.llm import chat, embedding_dedup, hard_negatives, jaccard_join, langid, mixing, packing, pieces, quality, secrets, suffix_dedup, url_filters, whitening
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -16,5 +16,7 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op11_packing": packing.op11_packing,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 ORACLES = {"op1_url_filters": url_filters.op1_sql(), "op6_mixing": mixing.op6_sql(), "op8_chat_formatting": chat.OP8_SQL}
