@@ -25,17 +25,6 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/docloom-{spark.sparkContext.applicationId}"
 
 
-def put_files(spark: SparkSession, folder: str, files: dict[str, bytes]) -> str:
-    """Write a few small files under folder, through the file system that it is on."""
-    jvm = spark._jvm
-    for name, content in files.items():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
-        out.write(bytearray(content))
-        out.close()
-    return folder
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table under the shared folder, read back: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession

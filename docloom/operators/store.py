@@ -1,19 +1,20 @@
-"""The chunk store: Parquet partitioned by document, its manifest, paging and joins, and the incremental index."""
+"""The chunk store: versions of Parquet files, its manifest, paging and joins, and the incremental index."""
 
 from __future__ import annotations
 
+import json
+import re
 import threading
 import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from docloom.operators.snapshots import FEW_DOCS, Change, Snapshot, SnapshotLog
 from docloom.schemas import CHUNK, MANIFEST
-from docloom.sources.records import load_manifest
 
 
 def counts(chunks: DataFrame, doc: str = "doc_name") -> DataFrame:
@@ -44,6 +45,37 @@ def page_of(chunks: DataFrame, key: str, limit: int, offset: int, document: str
     return own.orderBy(n.isNull(), n, key).offset(offset).limit(limit), own.count()
 
 
+#: Rows of a range of a page index.
+RANGE_ROWS = 100_000
+
+
+def build_page_index(chunks: DataFrame, key: str, path: str, rows: int = RANGE_ROWS) -> None:
+    """Write chunks in numeric-suffix order as ranges of about so many rows, then the ranges with the rows before each."""
+    spark = chunks.sparkSession
+    ranges = max(1, -(-chunks.count() // rows))
+    n = numeric_suffix(F.col(key))
+    own = chunks.select("*", n.isNull().alias("__bad"), n.alias("__n")).repartitionByRange(ranges, "__bad", "__n", key).sortWithinPartitions("__bad", "__n", key)
+    own.withColumn("__range", F.spark_partition_id()).write.mode("overwrite").partitionBy("__range").parquet(f"{path}/rows")
+    schema = T.StructType([*own.schema.fields, T.StructField("__range", T.IntegerType())])
+    sizes = spark.read.schema(schema).parquet(f"{path}/rows").groupBy("__range").agg(F.count("*").alias("rows"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sizes.select("__range", "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"), F.lit(schema.json()).alias("schema")).coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
+
+
+def indexed_page(spark: SparkSession, path: str, key: str, limit: int, offset: int) -> tuple[DataFrame, int, int]:
+    """As page_of, from a page index: the page, the number of all rows, and the number of ranges read (few, however deep)."""
+    if not 1 <= limit <= 200 or offset < 0:
+        raise ValueError("limit must be in 1 .. 200 and offset not negative")
+    ranges = spark.read.parquet(f"{path}/ranges")
+    total = ranges.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    near = ranges.where(f"before < {offset + limit} and before + rows > {offset}").orderBy("__range").collect()  # limit + 2 at most
+    if not near:
+        kept = ranges.select("schema").first()
+        return spark.createDataFrame([], T.StructType(T.StructType.fromJson(json.loads(kept.schema)).fields[:-3]) if kept else f"{key} string"), total, 0
+    rows = spark.read.schema(T.StructType.fromJson(json.loads(near[0].schema))).parquet(f"{path}/rows").where(F.col("__range").isin([r["__range"] for r in near]))
+    return rows.orderBy("__bad", "__n", key).offset(offset - near[0].before).limit(limit).drop("__bad", "__n", "__range"), total, len(near)
+
+
 def filtered(page: DataFrame, text: str, *columns: str) -> DataFrame:
     """Rows of a page in which any column has the text, whatever its case."""
     hit = F.lit(False)
@@ -153,32 +185,31 @@ class IndexResult:
     removed: int
 
 
-#: Partitions of the chunk store; a document's chunks are in one of them.
-BUCKETS = 256
-
-
-def _bucket(name: Column) -> Column:
-    return F.pmod(F.xxhash64(name), F.lit(BUCKETS)).cast("int")
+def _doc_hash(name: Column) -> Column:
+    return F.xxhash64(name)
 
 
 class ChunkStore:
-    """Chunks with vectors at path/chunks (partitioned by a hash of the document's name) and the manifest at path/manifest."""
+    """Chunks with vectors and their manifest, as versions of two tables that change together (docloom.operators.snapshots).
+
+    Files are ranges of a hash of the document's name; their number follows the bytes written and a hot document is
+    split by its chunks' ids. A change rewrites only the files that hold a changed document.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        self.chunk_path, self.manifest_path = f"{self.path}/chunks", f"{self.path}/manifest"
+        self.log = SnapshotLog(spark, self.path)
+        self.schema = f"{CHUNK}, embedding array<float>"
+        self.columns = dict(c.split() for c in self.schema.split(", "))
 
-    def chunks(self) -> DataFrame:
-        try:
-            return self._stored().drop("bucket")
-        except AnalysisException:
-            return self.spark.createDataFrame([], f"{CHUNK}, embedding array<float>")
+    def version(self) -> int:
+        return self.log.version()
 
-    def _stored(self) -> DataFrame:
-        return self.spark.read.schema(f"{CHUNK}, embedding array<float>, bucket int").parquet(self.chunk_path)
+    def chunks(self, version: int | None = None) -> DataFrame:
+        return self.log.read("chunks", self.schema, version)
 
-    def manifest(self) -> DataFrame:
-        return load_manifest(self.spark, self.manifest_path)
+    def manifest(self, version: int | None = None) -> DataFrame:
+        return self.log.read("manifest", MANIFEST, version)
 
     def write_documents(self, chunks: DataFrame) -> None:
         """Append or replace whole documents."""
@@ -188,50 +219,58 @@ class ChunkStore:
         """Drop the chunks of these documents (doc_name)."""
         self.replace_documents(names, None)
 
-    def replace_documents(self, names: DataFrame, chunks: DataFrame | None) -> None:
-        """Put chunks in the place of these documents' chunks, in one job that rewrites the buckets they are in.
+    def replace_documents(self, names: DataFrame, chunks: DataFrame | None) -> int:
+        """Put chunks in the place of these documents' chunks, in one commit; the version.
 
-        The old files of a bucket go when the new ones are committed, so a build that fails loses nothing.
+        A build that fails commits nothing. If another writer commits first, only the files that it touched are read again.
         """
-        columns = [c.split()[0] for c in CHUNK.split(", ")] + ["embedding"]
         named = names.select("doc_name").distinct().persist()
-        touched = sorted(r.b for r in named.select(_bucket(F.col("doc_name")).alias("b")).distinct().collect())  # BUCKETS at most
+        fresh = self.log.write(self._arranged(chunks)) if chunks is not None else {}
+        docs = self._hashes(named)
         try:
-            rest = self._stored().where(F.col("bucket").isin(touched)).join(named, "doc_name", "left_anti").select(*columns, "bucket")
-        except AnalysisException:
-            rest = None
-        parts = [] if rest is None else [rest]
-        if chunks is not None:
-            full = chunks.select(*[F.col(c) if c in chunks.columns else F.lit(None).cast("string" if c != "page" else "int").alias(c) for c in columns])
-            parts.append(full.withColumn("bucket", _bucket(F.col("doc_name"))))
-        if touched and parts:
-            after = reduce(DataFrame.unionByName, parts)
-            kept = {r.bucket for r in after.select("bucket").distinct().collect()}
-            after.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.chunk_path)
-            jvm = self.spark._jvm
-            to = jvm.org.apache.hadoop.fs.Path
-            fs = to(self.chunk_path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-            for b in set(touched) - kept:  # nothing is left there
-                fs.delete(to(f"{self.chunk_path}/bucket={b}"), True)
-        named.unpersist()
+            return self.log.transact(lambda base: self._replacing(base, named, fresh, docs))
+        finally:
+            named.unpersist()
+
+    def compact(self, least: int = 64 << 20) -> int | None:
+        return self.log.compact("chunks", self.schema, self._arranged, least)
+
+    def _hashes(self, named: DataFrame) -> frozenset[int] | None:
+        """Hashes of a few documents; None stands for any."""
+        found = named.select(_doc_hash(F.col("doc_name")).alias("h")).limit(FEW_DOCS + 1).collect()
+        return None if len(found) > FEW_DOCS else frozenset(r.h for r in found)
+
+    def _arranged(self, chunks: DataFrame) -> DataFrame:
+        full = chunks.selectExpr(*[f"cast({c if c in chunks.columns else 'null'} as {kind}) as {c}" for c, kind in self.columns.items()])
+        h = _doc_hash(F.col("doc_name"))
+        return full.repartitionByRange(h, "id").sortWithinPartitions(h, "id")
+
+    def _replacing(self, base: Snapshot, named: DataFrame, fresh: dict[str, int], docs: frozenset[int] | None) -> Change:
+        files = base.files.get("chunks", {})
+        touched: list[str] = []
+        if files:  # of the stored chunks only the column of names is read
+            found = self.log.read_files(files, self.schema).select("doc_name", F.col("_metadata.file_path").alias("f")).join(named, "doc_name", "left_semi")
+            touched = sorted(re.search(r"data/[^/]+/[^/]+$", r.f)[0] for r in found.select("f").distinct().collect())
+        rest = self.log.write(self._arranged(self.log.read_files(touched, self.schema).join(named, "doc_name", "left_anti"))) if touched else {}
+        return Change({"chunks": rest | fresh}, {"chunks": touched}, docs)
 
     def save_manifest(self, manifest: DataFrame) -> None:
-        columns = [c.split()[0] for c in MANIFEST.split(", ")]
-        swap_table(manifest.select(*columns).orderBy("identity"), self.manifest_path)
+        added = self._manifest_files(manifest)
+        self.log.transact(lambda base: Change({"manifest": added}, {"manifest": sorted(base.files.get("manifest", {}))}))
+
+    def _manifest_files(self, manifest: DataFrame) -> dict[str, int]:
+        return self.log.write(manifest.select(*[c.split()[0] for c in MANIFEST.split(", ")]).repartitionByRange("identity").sortWithinPartitions("identity"))
 
     def reset(self) -> None:
-        jvm = self.spark._jvm
-        to = jvm.org.apache.hadoop.fs.Path
-        fs = to(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(to(self.chunk_path), True)
-        fs.delete(to(self.manifest_path), True)
+        """A version without chunks; earlier ones can still be read."""
+        self.log.transact(lambda base: Change({}, {t: sorted(f) for t, f in base.files.items()}, None))
 
     def index(self, files: DataFrame, build, force: bool = False, on_progress=None) -> IndexResult:
         with one_at_a_time():
             return self._index(files, build, force, on_progress)
 
     def _index(self, files: DataFrame, build, force: bool, on_progress) -> IndexResult:
-        """Bring the store up to date with files (identity, name, hash, ...), one run at a time.
+        """Bring the store up to date with files (identity, name, hash, ...) in one commit, so readers see all of it or nothing.
 
         build(files) gives the chunks with vectors of changed files only; unchanged ones are never parsed. Files
         of equal names are an error. The store is rebuilt if its counts do not agree with its manifest.
@@ -240,32 +279,49 @@ class ChunkStore:
         doubled = [r[0] for r in duplicate_names(files).limit(5).collect()]
         if doubled:
             raise ValueError(f"file names must be unique: {', '.join(doubled)}")
-        manifest = self.manifest().withColumn("doc_name", F.element_at(F.split("identity", "/"), -1))
-        expected = manifest.where("chunk_count > 0").groupBy("doc_name").agg(F.sum("chunk_count").alias("chunk_count"), F.count("*").alias("__n"))
-        if force or not expected.where("__n > 1").isEmpty() or not count_differences(expected, counts(self.chunks())).isEmpty():
-            tell("rebuilding")
-            self.reset()
-            manifest = self.manifest().withColumn("doc_name", F.lit(""))
-        states = manifest_states(files, manifest).persist()
-        by_state = {r.state: r["count"] for r in states.groupBy("state").count().collect()}
+        done: dict[str, int] = {}
+
+        def attempt(base: Snapshot) -> Change:
+            manifest = self.log.read_files(base.files.get("manifest", {}), MANIFEST).withColumn("doc_name", F.element_at(F.split("identity", "/"), -1))
+            stored = self.log.read_files(base.files.get("chunks", {}), self.schema)
+            expected = manifest.where("chunk_count > 0").groupBy("doc_name").agg(F.sum("chunk_count").alias("chunk_count"), F.count("*").alias("__n"))
+            anew = force or not expected.where("__n > 1").isEmpty() or not count_differences(expected, counts(stored)).isEmpty()
+            if anew:
+                tell("rebuilding")
+                manifest = manifest.limit(0)
+            states = manifest_states(files, manifest).persist()
+            try:
+                return self._indexing(base, files, build, manifest, states, anew, done, tell)
+            finally:
+                states.unpersist()
+
+        version = self.log.transact(attempt)
+        return IndexResult(self.manifest(version).count(), self.chunks(version).count(), *(done.get(s, 0) for s in ("added", "updated", "skipped", "removed")))
+
+    def _indexing(self, base: Snapshot, files: DataFrame, build, manifest: DataFrame, states: DataFrame, anew: bool, done: dict[str, int], tell) -> Change:
+        done.clear()
+        done.update({r.state: r["count"] for r in states.groupBy("state").count().collect()})
+        tell(f"{done.get('added', 0)} new, {done.get('updated', 0)} changed, {done.get('skipped', 0)} unchanged")
+        if not anew and done.keys() <= {"skipped"}:
+            return Change({}, {})
         changed = files.join(states.where("state in ('added', 'updated')"), "identity", "left_semi")
-        tell(f"{by_state.get('added', 0)} new, {by_state.get('updated', 0)} changed, {by_state.get('skipped', 0)} unchanged")
-        if by_state.get("added", 0) + by_state.get("updated", 0):
-            built = build(changed).persist()
-            self.replace_documents(changed.select(F.col("name").alias("doc_name")), built)
-            sizes = built.groupBy("doc_name").agg(F.count("*").cast("int").alias("chunk_count"))
+        kept = manifest.join(states.where("state = 'skipped'"), "identity", "left_semi").select("identity", "hash", "page_count", "chunk_count")
+        fresh: dict[str, int] = {}
+        if done.get("added", 0) + done.get("updated", 0):
+            fresh = self.log.write(self._arranged(build(changed)))
+            sizes = self.log.read_files(fresh, self.schema).groupBy("doc_name").agg(F.count("*").cast("int").alias("chunk_count"))
             pages = F.col("page_count") if "page_count" in changed.columns else F.lit(None).cast("int")
-            fresh = changed.select("identity", "hash", pages.alias("page_count"), "name").join(sizes, F.col("name") == F.col("doc_name"), "left").select("identity", "hash", "page_count", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
-            kept = manifest.join(states.where("state = 'skipped'"), "identity", "left_semi").select(*fresh.columns)
-            after = kept.unionByName(fresh)
+            new = changed.select("identity", "hash", pages.alias("page_count"), "name").join(sizes, F.col("name") == F.col("doc_name"), "left")
+            kept = kept.unionByName(new.select("identity", "hash", "page_count", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count")))
+        gone = states.where("state = 'removed'").select(F.element_at(F.split("identity", "/"), -1).alias("name")).join(files.select("name"), "name", "left_anti")
+        named = changed.select(F.col("name").alias("doc_name")).unionByName(gone.select(F.col("name").alias("doc_name"))).distinct().persist()
+        if anew:
+            change = Change({"chunks": fresh}, {"chunks": sorted(base.files.get("chunks", {}))}, None)
         else:
-            after = manifest.join(states.where("state = 'skipped'"), "identity", "left_semi").select("identity", "hash", "page_count", "chunk_count")
-        gone = states.where("state = 'removed'").select(F.element_at(F.split("identity", "/"), -1).alias("name")).join(files.select("name"), "name", "left_anti").distinct()
-        self.delete_documents(gone.withColumnRenamed("name", "doc_name"))
-        self.save_manifest(after)
-        result = IndexResult(self.manifest().count(), self.chunks().count(), *(by_state.get(s, 0) for s in ("added", "updated", "skipped", "removed")))
-        states.unpersist()
-        return result
+            change = self._replacing(base, named, fresh, self._hashes(named))
+        change = Change(change.add | {"manifest": self._manifest_files(kept)}, change.remove | {"manifest": sorted(base.files.get("manifest", {}))}, change.docs)
+        named.unpersist()
+        return change
 
 
 def ranked(df: DataFrame, partition: str, *order) -> DataFrame:
