@@ -1,6 +1,6 @@
 """BM25: postings and statistics as tables, scored with joins on terms.
 
-The query side (terms) is small, so Catalyst can broadcast it; postings are aggregated before any shuffle and
+The query side (terms) is broadcast by Catalyst while it is small; postings are aggregated before any shuffle and
 scores are summed per (query, document), so a frequent term spreads over its documents.
 """
 
@@ -15,7 +15,14 @@ from docloom.config import Settings
 from docloom.functions.stemmer import STOP_WORDS, stems
 from docloom.functions.text import word_tokens
 
-FORMAT_VERSION, PARTS = 3, 64
+FORMAT_VERSION = 4
+#: Postings of a part of a saved index, and the least and the largest number of parts.
+PART_ROWS, LEAST_PARTS, MOST_PARTS = 1 << 22, 8, 1 << 14
+
+
+def parts_for(postings: int) -> int:
+    """The number of parts follows the number of postings."""
+    return max(LEAST_PARTS, min(MOST_PARTS, -(-postings // PART_ROWS)))
 
 
 def index_tokens(text: Column, stop_words: tuple[str, ...] = STOP_WORDS, stemmed: bool = True) -> Column:
@@ -34,12 +41,15 @@ class LexicalIndex:
     terms: DataFrame
     stats: DataFrame
     key: str
-
+    parts: int | None = None  # of saved postings
 
 def build_index(docs: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = STOP_WORDS, stemmed: bool = True) -> LexicalIndex:
     """Documents without tokens count with length 0."""
-    own = docs.select(key, F.coalesce(index_tokens(F.col(text), stop_words, stemmed), F.array().cast("array<string>")).alias("__tokens"))
+    own = docs.select(key, F.coalesce(index_tokens(F.col(text), stop_words, False), F.array().cast("array<string>")).alias("__tokens"))
     postings = own.select(key, F.explode("__tokens").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+    if stemmed:  # each word is stemmed once, whatever the number of texts that hold it
+        words = postings.select("term").distinct().select("term", F.element_at(stems(F.array("term")), 1).alias("__stem"))
+        postings = postings.join(words, "term").groupBy(F.col("__stem").alias("term"), key).agg(F.sum("tf").alias("tf"))
     lengths = own.select(key, F.size("__tokens").alias("dl"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
@@ -57,8 +67,8 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, k: int, query_key: str
     asked = queries.select(query_key, F.explode(index_tokens(F.col(query_text), stop_words, stemmed)).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
     # Only the asked terms' postings are needed; the semi-join goes below the postings' aggregation.
     terms = asked.select("term").distinct()
-    if "part" in index.postings.columns:  # saved postings: only the asked terms' partitions are read
-        hits = index.postings.join(F.broadcast(terms.select("term", _part(F.col("term")).alias("part"))), ["part", "term"], "left_semi").drop("part")  # terms of queries
+    if index.parts:  # saved postings: partitions without an asked term are pruned while Catalyst finds the terms small
+        hits = index.postings.join(terms.select("term", _part(F.col("term"), index.parts).alias("part")), ["part", "term"], "left_semi").drop("part")
     else:
         hits = index.postings.join(terms, "term", "left_semi")
     weighted = asked.join(hits.groupBy("term").agg(F.count("*").alias("df")), "term")
@@ -86,25 +96,32 @@ def signature(chunks: DataFrame, key: str, content_hash: str) -> DataFrame:
     return parts.agg(F.sha2(F.array_join(F.transform(rows, lambda x: x["__h"]), "\n"), 256).alias("signature"), F.coalesce(F.sum("__n"), F.lit(0)).alias("count"))
 
 
-def _part(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+def _part(term: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
+
+
+def _postings_schema(lengths: DataFrame, key: str) -> str:
+    return f"term string, `{key}` {lengths.schema[key].dataType.simpleString()}, tf bigint, part int"
 
 
 def save_index(index: LexicalIndex, path: str, signed: DataFrame) -> None:
     """Tables under path, the one-row metadata last, so a torn write is seen as missing.
 
-    Postings are partitioned by a hash of the term and sorted by it, so a search reads few of them. The other tables
-    are made from what was written, so texts are cut into tokens once for the postings and once for the lengths.
+    Postings are partitioned by a hash of the term and sorted by it, so a search reads few of them; a range shuffle
+    splits parts (and terms) that are large among tasks. The number of parts follows the number of tokens. Texts are cut
+    into tokens once for the postings and once for the lengths.
     """
     spark = index.postings.sparkSession
-    part = index.postings.drop("part").withColumn("part", _part(F.col("term")))
-    part.repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
     index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    postings, lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+    parts = parts_for(spark.read.parquet(f"{path}/lengths").agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0])
+    part = index.postings.drop("part").withColumn("part", _part(F.col("term"), parts))
+    part.repartitionByRange("part", "term", index.key).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    lengths = spark.read.parquet(f"{path}/lengths")
+    postings = spark.read.schema(_postings_schema(lengths, index.key)).parquet(f"{path}/postings")
     postings.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
     lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
     has_index = F.lit(True)
-    signed.select("signature", "count", F.lit(FORMAT_VERSION).alias("format_version"), has_index.alias("has_index"), F.lit(index.key).alias("key")).coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+    signed.select("signature", "count", F.lit(FORMAT_VERSION).alias("format_version"), has_index.alias("has_index"), F.lit(index.key).alias("key"), F.lit(parts).alias("parts")).coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
 
 
 class IndexMissing(FileNotFoundError):
@@ -123,24 +140,28 @@ def load_index(spark, path: str) -> tuple[LexicalIndex, str, int]:
         meta = spark.read.parquet(f"{path}/metadata")
     except AnalysisException as e:
         raise IndexMissing(path) from e
-    if set(meta.columns) != {"signature", "count", "format_version", "has_index", "key"}:
+    if set(meta.columns) != {"signature", "count", "format_version", "has_index", "key", "parts"}:
         raise IndexCorrupt(f"metadata has columns {meta.columns}")
     rows = meta.limit(2).collect()
     if len(rows) != 1 or rows[0].format_version != FORMAT_VERSION:
         raise IndexCorrupt("metadata is not one row of the present format")
     try:
-        tables = {n: spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "terms", "stats")}
+        tables = {n: spark.read.parquet(f"{path}/{n}") for n in ("lengths", "terms", "stats")}
+        tables["postings"] = spark.read.schema(_postings_schema(tables["lengths"], rows[0].key)).parquet(f"{path}/postings")
     except AnalysisException as e:
         raise IndexCorrupt(str(e)[:200]) from e
-    index = LexicalIndex(**tables, key=rows[0].key)
+    index = LexicalIndex(**tables, key=rows[0].key, parts=rows[0].parts)
     if index.lengths.count() != rows[0]["count"]:
         raise IndexCorrupt("the number of documents differs from the metadata")
     return index, rows[0].signature, rows[0]["count"]
 
 
-def fresh_index(chunks: DataFrame, path: str, key: str, text: str, content_hash: str, **options) -> LexicalIndex:
-    """The saved index if its signature is that of chunks; otherwise a new one, which is saved."""
-    signed = signature(chunks, key, content_hash)
+def fresh_index(chunks: DataFrame, path: str, key: str, text: str, content_hash: str | None = None, signed: DataFrame | None = None, **options) -> LexicalIndex:
+    """The saved index if its signature is that of chunks; otherwise a new one, which is saved.
+
+    signed: signature and count of chunks (one row), if they are known; without it all of chunks are signed anew.
+    """
+    signed = signature(chunks, key, content_hash) if signed is None else signed
     now = signed.first()
     try:
         index, mark, n = load_index(chunks.sparkSession, path)
