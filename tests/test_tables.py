@@ -274,3 +274,26 @@ def test_streaming_ingest(spark, tmp_path):
         assert ingest.ingest(ingest.stream_files(spark, str(docs)), store, built, str(tmp_path / "cp")).awaitTermination(120)
         (docs / "b.txt").write_text("two")
     assert {r.text for r in store.chunks().collect()} == {"one", "two"}
+
+
+def test_progress_of_a_streaming_run(spark, tmp_path):
+    import time
+
+    from docloom.streaming.progress import watched
+
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "a.txt").write_text("one")
+    store = S.ChunkStore(spark, str(tmp_path / "store"))
+    with watched(spark) as log:
+        with pytest.raises(S.Busy), S.one_at_a_time():
+            pass
+        assert ingest.ingest(ingest.stream_files(spark, str(docs)), store, built, str(tmp_path / "cp")).awaitTermination(120)
+        for _ in range(100):  # listeners are told a little later
+            if any(e["event"] == "done" for e in log.events):
+                break
+            time.sleep(0.1)
+    rows = log.rows(spark).collect()
+    assert [rows[0].event, rows[-1].event] == ["started", "done"] and any(r.text.endswith(" rows") and r.text != "0 rows" for r in rows if r.event == "progress")
+    with S.one_at_a_time():
+        pass
