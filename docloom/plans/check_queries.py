@@ -13,6 +13,7 @@ from docloom.operators import alerts as A
 from docloom.operators import evaluation as V
 from docloom.operators import store as S
 from docloom.plans import evaluate as E
+from docloom.plans.items import items, over_items
 from docloom.plans import reports as P
 from docloom.plans.alert_queries import _events, judged, rankings
 from docloom.plans.evaluation_queries import results
@@ -54,20 +55,20 @@ def q_evidence_index(spark: SparkSession, d: str) -> DataFrame:
     return V.verify_index(_evidence(spark, d), chunks).select("key", F.coalesce(F.array_join("missing", " "), F.lit("no page")).alias("missing"))
 
 
-def _manifests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    n, k = table(spark, d, "nation"), F.col("n_nationkey")
+def _manifests(n: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    k = F.col("n_nationkey")
     manifest = n.select(F.col("n_name").alias("path"), F.sha2("n_name", 256).alias("hash"), k.alias("page_count"))
     files = n.where(k % 5 != 0).select(F.col("n_name").alias("path"), F.when(k % 4 == 0, F.lit("old")).otherwise(F.sha2("n_name", 256)).alias("hash"), F.when(k % 3 == 0, k + 1).otherwise(k).alias("page_count"))
     return manifest, files, n.where(k % 7 != 0).select(F.col("n_name").alias("path"))
 
 
 def q_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return V.verify_manifest(*_manifests(spark, d))
+    return V.verify_manifest(*_manifests(items(spark, d)))
 
 
 def q_identity(spark: SparkSession, d: str) -> DataFrame:
     """Documents in which a corpus manifest and the live index differ."""
-    n, k = table(spark, d, "nation"), F.col("n_nationkey")
+    n, k = items(spark, d), F.col("n_nationkey")
     live = n.where(k % 6 != 0).select(F.col("n_name").alias("doc_name"), (k + (k % 4 == 0).cast("int")).alias("chunk_count"))
     return E.corpus_identity(n.where(k % 5 != 0).select(F.col("n_name").alias("doc_name"), k.alias("chunk_count")), live)
 
@@ -78,7 +79,7 @@ def q_dataset(spark: SparkSession, d: str) -> DataFrame:
     questions = table(spark, d, "nation").select(k.cast("string").alias("id"), F.concat(F.lit("Which of the chapters tells of the country number "), F.when(k % 8 == 0, F.lit("0?")).otherwise(F.concat(k, F.lit("?")))).alias("question"))
     p = _pages(spark, d)
     chunks = p.select("document", (F.col("page_index") + 1).alias("page"), F.lit(1).alias("number"), "text")
-    manifest, files, _ = _manifests(spark, d)
+    manifest, files, _ = _manifests(table(spark, d, "nation"))
     found = E.validate_dataset(questions.where("cast(id as int) % 8 = 0"), _evidence(spark, d), p.drop("item_id"), chunks, manifest, files)
     return found.groupBy("check").agg(F.count("*").alias("n"))
 
@@ -90,7 +91,7 @@ def q_unique(spark: SparkSession, d: str) -> DataFrame:
     place = lambda i: F.struct(F.col("n_name").alias("document_path"), i.alias("pdf_page_index"), F.lit("t").alias("text"))
     second = F.when(k % 3 == 0, claim("a", F.lit("two"))).otherwise(claim("b", F.when(k % 5 == 0, F.lit(" ONE!")).otherwise(F.lit("two"))))
     q = F.struct(F.lit("x").alias("answer"), F.when(k % 2 == 0, F.array(F.lit("x"))).otherwise(F.array(F.lit("y"))).alias("acceptable_answers"), F.when(k % 7 == 0, F.array(claim("a", F.lit("one")))).otherwise(F.array(claim("a", F.lit("one")), second)).alias("claims"), F.array(place(k), place(k - k % 4)).alias("evidence"), F.when(k % 2 == 1, "direct").otherwise("list").alias("question_type"))
-    return table(spark, d, "nation").select("n_nationkey", q.alias("q")).select("n_nationkey", F.array_join(V.unique_content("q"), ",").alias("broken"))
+    return items(spark, d).select("n_nationkey", q.alias("q")).select("n_nationkey", F.array_join(V.unique_content("q"), ",").alias("broken"))
 
 
 def q_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +123,7 @@ def q_configs(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("n_nationkey")
     saved = F.create_map(F.lit("model"), F.col("n_name"), F.lit("run_id"), F.lit("1"), F.lit("k"), F.lit("5"))
     asked = F.create_map(F.lit("k"), F.when(k % 3 == 0, "6").otherwise("5"), F.lit("created_at"), F.lit("now"), F.lit("model"), F.col("n_name"))
-    return table(spark, d, "nation").select("n_nationkey", V.configs_match(saved, asked).alias("same"), V.retried_latency(k * 2.0, F.when(k % 2 == 0, k * 3.0), F.lit(1.5)).alias("total"))
+    return items(spark, d).select("n_nationkey", V.configs_match(saved, asked).alias("same"), V.retried_latency(k * 2.0, F.when(k % 2 == 0, k * 3.0), F.lit(1.5)).alias("total"))
 
 
 def q_serialized(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +147,7 @@ REPLIES = (_judgment("3", "pass"), _judgment('"2"', "fail"), _judgment("1.0", "p
 def q_judgments(spark: SparkSession, d: str) -> DataFrame:
     """Judgments of replies of every kind: numbers in strings and whole floats count, other keys and ranges do not."""
     reply = F.get(F.array(*map(F.lit, REPLIES)), F.col("n_nationkey") % len(REPLIES))
-    own = table(spark, d, "nation").select("n_nationkey", J.judgment_json(reply).alias("j"))
+    own = items(spark, d).select("n_nationkey", J.judgment_json(reply).alias("j"))
     return own.select("n_nationkey", F.get_json_object("j", "$.verdict").alias("verdict"), F.get_json_object("j", "$.correctness.score").cast("int").alias("score"), F.sha2("j", 256).alias("json_hash"))
 
 
@@ -307,3 +308,4 @@ select 'a' as model, k as alert_id, (user_id % 5 + 1)::int as rank, event_type,
     "one_run": "select 'run' as run, 0::bigint as doubled",
     "known_documents": "select n_name as doc, n_regionkey from nation where n_nationkey < 17 and n_nationkey % 2 = 0",
 }
+ORACLES |= {n: over_items(ORACLES[n]) for n in ("manifest_check", "corpus_identity", "question_rules", "saved_settings", "judgment_replies")}

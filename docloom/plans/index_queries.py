@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +13,13 @@ from docloom.functions.providers import HashEmbedder, embed, extractive_generato
 from docloom.functions.stemmer import STOP_WORDS
 from docloom.io import shared_dir, table
 from docloom.operators import conversations as C
+from docloom.operators import signature as G
 from docloom.operators import store as S
 from docloom.operators.fusion import retrieve
 from docloom.operators.lexical import bm25_search
 from docloom.plans import answer as A
 from docloom.plans import retrieval_queries as R
+from docloom.plans.items import items, over_items
 from docloom.streaming.rate import add_usage, daily_usage, over_quota
 
 
@@ -35,14 +38,47 @@ def _one_chunk_a_line(files: DataFrame, embedder: HashEmbedder = HashEmbedder(8)
     return rows.select(F.concat_ws(":", "doc_name", F.col("n").cast("string")).alias("id"), "doc_name", "text", F.lit(1).alias("page"), F.sha2("text", 256).alias("content_hash"), embed(F.col("text"), embedder).alias("embedding"))
 
 
+def _document_files(spark: SparkSession, d: str, second: bool) -> DataFrame:
+    """Documents as the files of a first and of a second run: some are gone, some are new, some have one more line."""
+    kept = table(spark, d, "documents").where("doc_id % 5 <> 0" if second else "doc_id % 7 <> 0")
+    text = "coalesce(text, '')" + (" || if(doc_id % 3 = 0, '\nadded', '')" if second else "")
+    return kept.selectExpr("coalesce(source, 'none') || '/' || doc_id || '.txt' as identity", "doc_id || '.txt' as name", f"{text} as text", f"sha2({text}, 256) as hash")
+
+
 def q_refresh(spark: SparkSession, d: str) -> DataFrame:
     """Two runs of the incremental index: the second parses new and changed files only; chunks, and what the run did."""
     store = S.ChunkStore(spark, f"{shared_dir(spark)}/docloom-store-{uuid.uuid4().hex}")
-    store.index(_nation_files(spark, d, False), _one_chunk_a_line)
-    done = store.index(_nation_files(spark, d, True), _one_chunk_a_line)
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(S.numeric_suffix(F.col("id")).alias("n"), "text"))), lambda x: x["text"]), "|")
-    counters = [F.lit(getattr(done, c)).cast("long").alias(c) for c in ("documents", "chunks", "added", "updated", "skipped", "removed")]
-    return store.chunks().groupBy("doc_name").agg(F.count("*").alias("chunk_count"), lines.alias("lines")).select("*", *counters)
+    store.index(_document_files(spark, d, False), _one_chunk_a_line)
+    done = store.index(_document_files(spark, d, True), _one_chunk_a_line)
+    lines = "sha2(array_join(transform(array_sort(collect_list(struct(cast(element_at(split(id, ':'), -1) as int) as n, text))), x -> x.text), '|'), 256) as lines"
+    counters = [f"{getattr(done, c)}L as {c}" for c in ("documents", "chunks", "added", "updated", "skipped", "removed")]
+    return store.chunks().groupBy("doc_name").agg(F.count("*").alias("chunk_count"), F.expr(lines)).selectExpr("*", *counters)
+
+
+def q_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Every version of a store that was written, changed, cut down and compacted, read afterwards."""
+    store = S.ChunkStore(spark, f"{shared_dir(spark)}/docloom-store-{uuid.uuid4().hex}")
+    lines = lambda second: _document_files(spark, d, second).selectExpr("name as doc_name", "posexplode(split(text, '\n')) as (n, text)").selectExpr("doc_name || ':' || n as id", "doc_name", "text")
+    names = lambda where: table(spark, d, "documents").where(where).selectExpr("doc_id || '.txt' as doc_name")
+    store.write_documents(lines(False))
+    changed = names("doc_id % 5 <> 0 and doc_id % 3 = 0")
+    store.replace_documents(changed, lines(True).join(changed, "doc_name", "left_semi"))
+    store.delete_documents(names("doc_id % 5 = 0"))
+    store.compact()
+    found = [(1, 1), (2, 2), (3, 3), (4, store.version())]
+    each = [store.chunks(v).selectExpr(f"{n} as step", "count(distinct doc_name) as documents", "count(*) as chunks", "sum(cast(length(text) as bigint)) as chars") for n, v in found]
+    return reduce(DataFrame.unionByName, each)
+
+
+def q_signature(spark: SparkSession, d: str) -> DataFrame:
+    """The signature of documents after some came, went and changed, from the rows that did so alone."""
+    docs = table(spark, d, "documents")
+    before = "doc_id % 7 <> 0"
+    rows = lambda where, text: docs.where(where).selectExpr("doc_id", f"sha2({text}, 256) as h")
+    new = rows("doc_id % 5 <> 0 and (doc_id % 7 = 0 or doc_id % 3 = 0)", "text || if(doc_id % 3 = 0, '+', '')")
+    old = rows(f"{before} and (doc_id % 5 = 0 or doc_id % 3 = 0)", "text")
+    parts = [G.signature_parts(x, "doc_id", "h") for x in (rows(before, "text"), new, old)]
+    return G.follow(*parts).selectExpr("part", "cast(n as bigint) as n", *[f"cast({s} as string) as {s}" for s in G.LANES])
 
 
 def q_stop_words(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +142,7 @@ def q_rewritten(spark: SparkSession, d: str) -> DataFrame:
     """What becomes of a model's rewriting: quotes go, the first line stays, and bad replies give the question back."""
     k, name = F.col("n_nationkey"), F.col("n_name")
     reply = F.when(k % 6 == 0, F.concat(F.lit(' "'), name, F.lit('" \nmore'))).when(k % 6 == 1, F.concat(F.lit("\n\n  "), name)).when(k % 6 == 2, F.repeat(name, 99)).when(k % 6 == 3, F.lit("  ")).when(k % 6 == 4, F.concat(F.lit("'"), name, F.lit('"')))
-    return table(spark, d, "nation").select("n_nationkey", A.rewritten(F.lit("asked"), reply).alias("search"))
+    return items(spark, d).select("n_nationkey", A.rewritten(F.lit("asked"), reply).alias("search"))
 
 
 def _history(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +189,7 @@ def q_by_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "index_refresh": q_refresh, "stop_word_search": q_stop_words, "dense_mode": q_dense_mode, "reranked_search": q_reranked, "refused_answers": q_refused, "grounded_answers": q_grounded, "answer_prompts": q_prompts, "rewritten_questions": q_rewritten,
+    "index_refresh": q_refresh, "store_versions": q_versions, "followed_signature": q_signature, "stop_word_search": q_stop_words, "dense_mode": q_dense_mode, "reranked_search": q_reranked, "refused_answers": q_refused, "grounded_answers": q_grounded, "answer_prompts": q_prompts, "rewritten_questions": q_rewritten,
     "history_loaded": q_history, "history_saved": q_history_saved, "over_quota": q_over_quota, "usage_table": q_usage_table, "rows_by_ids": q_by_ids,
 }
 
@@ -165,9 +201,17 @@ _HIST = """s as (select conv_id as k, max(turn) as last, count(*) as n, bool_and
 v as (select (k - k % 2)::varchar as id, last * 100000 + k as updated_at, case when k % 5 = 0 then 0 else n end as n, k from s where k % 9 <> 0 and k % 11 <> 0 and (good or k % 5 = 0)),
 f as (select * from (select *, row_number() over (partition by id order by k) as p from v) where p = 1)"""
 ORACLES = {
-    "index_refresh": """with o as (select *, n_nationkey as k from nation), s as (select count(*) filter (k % 5 <> 0) as documents, sum(case when k % 5 <> 0 then 2 + (k % 3 = 0)::int end)::bigint - count(*) filter (k % 5 <> 0 and k % 3 = 0 and false) as chunks,
-  count(*) filter (k % 5 <> 0 and k % 7 = 0) as added, count(*) filter (k % 5 <> 0 and k % 7 <> 0 and k % 3 = 0) as updated, count(*) filter (k % 5 <> 0 and k % 7 <> 0 and k % 3 <> 0) as skipped, count(*) filter (k % 5 = 0 and k % 7 <> 0) as removed from o)
-select n_name || '.txt' as doc_name, (2 + (k % 3 = 0)::int)::bigint as chunk_count, 'first|' || n_name || case when k % 3 = 0 then '|added' else '' end as lines, s.* from o, s where k % 5 <> 0""",
+    "index_refresh": """with o as (select doc_id as k, coalesce(text, '') || case when doc_id % 3 = 0 then chr(10) || 'added' else '' end as t from documents),
+s as (select count(*) filter (k % 5 <> 0) as documents, sum(case when k % 5 <> 0 then len(string_split(t, chr(10))) end)::bigint as chunks, count(*) filter (k % 5 <> 0 and k % 7 = 0) as added,
+  count(*) filter (k % 5 <> 0 and k % 7 <> 0 and k % 3 = 0) as updated, count(*) filter (k % 5 <> 0 and k % 7 <> 0 and k % 3 <> 0) as skipped, count(*) filter (k % 5 = 0 and k % 7 <> 0) as removed from o)
+select k || '.txt' as doc_name, len(string_split(t, chr(10)))::bigint as chunk_count, sha256(replace(t, chr(10), '|')) as lines, s.* from o, s where k % 5 <> 0""",
+    "store_versions": """with o as (select doc_id as k, coalesce(text, '') as t, coalesce(text, '') || case when doc_id % 3 = 0 then chr(10) || 'added' else '' end as u from documents),
+v as (select 1 as step, k, t from o where k % 7 <> 0
+  union all select s.step, k, case when k % 5 <> 0 and k % 3 = 0 then u else t end from o, (values (2), (3), (4)) s(step) where (k % 7 <> 0 or k % 5 <> 0 and k % 3 = 0) and (s.step = 2 or k % 5 <> 0))
+select step, count(*) as documents, sum(len(string_split(t, chr(10))))::bigint as chunks, sum(length(t) - len(string_split(t, chr(10))) + 1)::bigint as chars from v group by step""",
+    "followed_signature": f"""with o as (select doc_id as k, sha256(text || case when doc_id % 3 = 0 then '+' else '' end) as h from documents where doc_id % 5 <> 0),
+r as (select substr(md5(k::varchar), 1, 2) as part, sha256('k' || k || chr(9) || coalesce('h' || h, 'n')) as r from o)
+select part, count(*) as n, {', '.join(f"sum(('0x' || substr(r, {15 * i + 1}, 15))::bigint)::varchar as {s}" for i, s in enumerate(G.LANES))} from r group by part""",
     "stop_word_search": f"with {R._ASKED_TEXT}, {_STOPPED} select query_id, doc_id, score, rank from sparse_ranked where rank < 20",
     "dense_mode": f"with {R._ASKED_BOTH}, {R._DENSE.replace('round(coalesce(list_dot_product(a.e, v.e) / nullif(a.n * v.n, 0), 0), 6)', 'coalesce(list_dot_product(a.e, v.e) / nullif(a.n * v.n, 0), 0)')} select query_id, vec_id, round(score, 6) as score, rank from dense_ranked where rank < 5",
     "reranked_search": f"""with {R._ASKED_BOTH}, {R._DENSE.replace('from embeddings)', 'from embeddings where vec_id in (select doc_id from documents))')}, {R._BM25}, {R._FUSED.format(digits=6)},
@@ -186,3 +230,4 @@ sha256('CONTEXT' || chr(10) || 'QUESTION' || chr(10) || '1' || question || chr(1
     "usage_table": "select event_type, strftime(ts, '%Y-%m-%d') as day, count(*)::bigint as requests, count(*)::bigint as tokens from events group by 1, 2",
     "rows_by_ids": "select doc_id, lang, 25 - n_nationkey as place from nation join documents on doc_id = n_nationkey * 13 % 50",
 }
+ORACLES["rewritten_questions"] = over_items(ORACLES["rewritten_questions"])

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.providers import lexical_scorer
-from docloom.functions.text import display_width, estimate_tokens, is_refusal, question_key
-from docloom.io import table
+from docloom.functions.text import display_width, estimate_tokens, is_refusal, question_key, word_tokens
+from docloom.io import settings, shared_dir, table
 from docloom.operators import conversations as C
 from docloom.operators import store as S
 from docloom.operators.lexical import signature
+from docloom.operators.selection import exact_quantile
+from docloom.operators.token_matching import GramVectors, match_tokens, token_weights
 from docloom.sources.html import html_lines
 from docloom.streaming.ingest import sessions, windowed_counts
+from docloom.streaming.limits import STORE, usage_stream
 from docloom.streaming.rate import daily_usage, minute_windows
 
 
@@ -52,6 +58,45 @@ def q_page(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("total", F.lit(total).cast("long"))
 
 
+def q_usage_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A replay of all events through the stateful stream: three runs of one checkpoint, each over the next stretch of time."""
+    folder = f"{shared_dir(spark)}/docloom-replay-{uuid.uuid4().hex}"
+    events = table(spark, d, "events").selectExpr("event_id", "event_type", "ts", "event_id % 7 as amount").where("ts is not null")
+    cuts = events.selectExpr("approx_percentile(unix_micros(cast(ts as timestamp)), array(0.33D, 0.66D), 1000) as c").first().c or [0, 0]
+    for part, (after, until) in enumerate(zip((-(1 << 62), *cuts), (*cuts, 1 << 62))):
+        events.where(f"unix_micros(cast(ts as timestamp)) > {after}L and unix_micros(cast(ts as timestamp)) <= {until}L").write.parquet(f"{folder}/in/{part}")
+        with settings(spark, **STORE):
+            stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+            run = usage_stream(stream, "event_type", "ts", "amount", "event_id", 3600).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+            run.awaitTermination()
+    return spark.read.schema("key string, id bigint, requests bigint, tokens bigint, day_requests bigint, day_tokens bigint").parquet(f"{folder}/out")
+
+
+def q_medians(spark: SparkSession, d: str) -> DataFrame:
+    """Medians and ninth deciles of large groups, by narrowing."""
+    prices, sizes = table(spark, d, "lineitem"), table(spark, d, "documents")
+    found = [exact_quantile(prices, ["l_returnflag"], "l_extendedprice", q, "value").selectExpr("'price' as what", "l_returnflag as k", f"{q}D as q", "round(value, 4) as value") for q in (0.5, 0.9)]
+    found.append(exact_quantile(sizes, ["source"], "n_chars", 0.5, "value").selectExpr("'size' as what", "source as k", "0.5D as q", "round(value, 4) as value"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def q_token_matching(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of conversations matched with their questions, token by token."""
+    turns = C.completed_turns(table(spark, d, "conversations"))
+    weights = token_weights(turns, word_tokens(F.col("question")))
+    found = match_tokens(turns, ["conv_id", "turn"], "answer", "question", GramVectors(), weights)
+    return found.selectExpr("conv_id", "turn", "round(precision, 6) as precision", "round(recall, 6) as recall", "round(f1, 6) as f1")
+
+
+def q_indexed_page(spark: SparkSession, d: str) -> DataFrame:
+    """The same ids by a page index: three deep pages, of which each reads few ranges."""
+    ids = table(spark, d, "documents").select(F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("id"), "doc_id")
+    path = f"{shared_dir(spark)}/docloom-pages-{uuid.uuid4().hex}"
+    S.build_page_index(ids, "id", path, 64)
+    pages = [S.indexed_page(spark, path, "id", 40, offset) for offset in (0, 60, 150)]
+    return reduce(DataFrame.unionByName, [rows.selectExpr("id", "doc_id", f"{total}L as total", f"{n} as page") for n, (rows, total, _) in enumerate(pages)])
+
+
 def q_signature(spark: SparkSession, d: str) -> DataFrame:
     return signature(table(spark, d, "benchmark").select("item_id", F.sha2("text", 256).alias("h")), "item_id", "h")
 
@@ -101,7 +146,7 @@ def q_scalars(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "incremental_diff": q_diff, "count_guard": q_guard, "keyed_upsert": q_upsert, "resume_pending": q_pending, "numeric_id_page": q_page, "signature": q_signature, "last_turns": q_turns, "conversation_titles": q_titles,
+    "incremental_diff": q_diff, "count_guard": q_guard, "keyed_upsert": q_upsert, "resume_pending": q_pending, "numeric_id_page": q_page, "indexed_page": q_indexed_page, "usage_stream": q_usage_stream, "exact_medians": q_medians, "token_matching": q_token_matching, "signature": q_signature, "last_turns": q_turns, "conversation_titles": q_titles,
     "recent_conversations": lambda s, d: C.recent(table(s, d, "conversations")), "rate_window": q_rate, "daily_usage": q_usage, "hourly_windows": q_hours, "event_sessions": q_sessions, "html_lines": q_html, "json_reply_parse": q_json,
     "scalar_functions": q_scalars, "chunk_counts": lambda s, d: S.counts(table(s, d, "documents"), "source"),
 }
@@ -115,6 +160,12 @@ ORACLES = {
 select coalesce(a.source, b.source) as doc_name, a.n as expected, b.n as stored from a full join b on a.source = b.source where a.n is distinct from b.n""",
     "keyed_upsert": "select doc_id, case when doc_id % 3 = 0 then 1 - quality else quality end as quality, toxic from labels",
     "resume_pending": "select model, item_id from (values ('a'), ('b'), ('c')) t(model), benchmark where (item_id + ascii(model)) % 4 <> 0",
+    "usage_stream": """with e as (select event_type as key, event_id as id, event_id % 7 as amount, epoch_us(ts) as us from events where ts is not null)
+select key, id, count(*) over w as requests, (sum(amount) over w)::bigint as tokens, count(*) over t as day_requests, (sum(amount) over t)::bigint as day_tokens from e
+window w as (partition by key order by us range between 3599999999 preceding and current row), t as (partition by key, us // 86400000000 order by us range between unbounded preceding and current row)""",
+    "exact_medians": """select 'price' as what, l_returnflag as k, 0.5::double as q, round(quantile_cont(l_extendedprice::double, 0.5), 4) as value from lineitem group by l_returnflag
+union all select 'price', l_returnflag, 0.9::double, round(quantile_cont(l_extendedprice::double, 0.9), 4) from lineitem group by l_returnflag union all select 'size', source, 0.5::double, round(quantile_cont(n_chars::double, 0.5), 4) from documents group by source""",
+    "indexed_page": "select source || ':' || doc_id as id, doc_id, (select count(*) from documents) as total, page from (select *, row_number() over (order by doc_id, source) - 1 as n from documents) join (values (0, 0), (1, 60), (2, 150)) p(page, start) on n >= start and n < start + 40",
     "numeric_id_page": "select source || ':' || doc_id as id, doc_id, (select count(*) from documents) as total from documents order by doc_id, 1 limit 50 offset 100",
     "signature": """with p as (select item_id::varchar as id, sha256(text) as hash from benchmark), g as (select substr(md5(id), 1, 3) as part, sha256(to_json(list({'id': id, 'hash': hash} order by id, hash))::varchar) as h, count(*) as n from p group by 1)
 select sha256(string_agg(h, chr(10) order by part, h)) as signature, sum(n)::bigint as count from g""",

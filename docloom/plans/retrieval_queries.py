@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.config import Settings
+from docloom.functions.stemmer import STOP_WORDS
 from docloom.functions.text import lexical_tokens, word_tokens
 from docloom.functions.vectors import cosine
 from docloom.io import shared_dir, table
+from docloom.operators.block_index import block_search, build_block_index, load_block_index
 from docloom.operators.dense import dense_topk
 from docloom.operators.fusion import attach_chunks, hybrid_search, rrf_fuse
 from docloom.operators.lexical import bm25_search, fresh_index
+from docloom.operators.signature import FileSignatures, signed
+from docloom.operators.vector_index import build_vector_index, index_topk, load_vector_index
 
 K, DIGITS = 20, 6
 TOKENS = r"[\p{L}\p{N}_][\p{L}\p{N}_-]*"
@@ -34,11 +39,52 @@ def _asked_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
 
-def saved_index(spark: SparkSession, d: str, stop_words: tuple[str, ...] = _stop):
+def _signed(spark: SparkSession, d: str, name: str, key: str, content: str) -> tuple[str, int]:
+    """Signature and number of rows of a table; only files that were not there before are read."""
+    kept = hashlib.md5(f"{d} {name} {content}".encode(), usedforsecurity=False).hexdigest()
+    return FileSignatures(spark, f"{shared_dir(spark)}/docloom-signatures-{kept}").sign(f"{d}/{name}.parquet", key, content)[:2]
+
+
+def saved_index(spark: SparkSession, d: str, stop_words: tuple[str, ...] = _stop, stemmed: bool = False):
     """The lexical index of documents in the shared folder, made once and used as long as the documents are the same."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text", F.sha2("text", 256).alias("content_hash"))
-    name = hashlib.md5(f"{d} {stop_words}".encode(), usedforsecurity=False).hexdigest()
-    return fresh_index(docs, f"{shared_dir(spark)}/docloom-lexical-{name}", "vec_id", "text", "content_hash", stop_words=stop_words, stemmed=False)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    name = hashlib.md5(f"{d} {stop_words} {stemmed}".encode(), usedforsecurity=False).hexdigest()
+    mark = signed(spark, *_signed(spark, d, "documents", "doc_id", "sha2(text, 256)"))
+    return fresh_index(docs, f"{shared_dir(spark)}/docloom-lexical-{name}", "vec_id", "text", signed=mark, stop_words=stop_words, stemmed=stemmed)
+
+
+def _made_once(path: str, load, build):
+    """What load finds at path, or what build writes there; a path names the content that it is made of."""
+    try:
+        return load(path)
+    except AnalysisException:
+        return build(path)
+
+
+def saved_blocks(spark: SparkSession, d: str):
+    """Block-max postings of the saved index, remade when the documents change."""
+    mark, _ = _signed(spark, d, "documents", "doc_id", "sha2(text, 256)")
+    return _made_once(f"{shared_dir(spark)}/docloom-blocks-{mark}", lambda p: load_block_index(spark, p), lambda p: build_block_index(saved_index(spark, d), p))
+
+
+def saved_vectors(spark: SparkSession, d: str):
+    """The dense index of embeddings, remade when they change."""
+    mark, _ = _signed(spark, d, "embeddings", "vec_id", "sha2(cast(embedding as string), 256)")
+    return _made_once(f"{shared_dir(spark)}/docloom-vectors-{mark}", lambda p: load_vector_index(spark, p), lambda p: build_vector_index(table(spark, d, "embeddings"), p))
+
+
+def q_indexed(spark: SparkSession, d: str) -> DataFrame:
+    return index_topk(saved_vectors(spark, d), _vectors(spark, d)[1], K, digits=DIGITS)
+
+
+def q_blocks(spark: SparkSession, d: str) -> DataFrame:
+    found = block_search(saved_blocks(spark, d), _asked_text(spark, d), K, stop_words=_stop, stemmed=False, digits=DIGITS)
+    return found.withColumnRenamed("vec_id", "doc_id")
+
+
+def q_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """Search as by default: without stop words, by stems."""
+    return bm25_search(saved_index(spark, d, STOP_WORDS, True), _asked_text(spark, d), K, digits=DIGITS).withColumnRenamed("vec_id", "doc_id")
 
 
 def q_bm25(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +155,7 @@ def q_vector_cosine(spark: SparkSession, d: str) -> DataFrame:
     return v.join(other, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
 
 
-QUERIES = {"dense_topk": q_dense, "bm25_search": q_bm25, "rrf_fusion": q_rrf, "hybrid_search": q_hybrid, "token_stats": q_token_stats, "doc_freq": q_doc_freq, "rank_metrics": q_rank_metrics, "vector_cosine": q_vector_cosine}
+QUERIES = {"dense_topk": q_dense, "indexed_topk": q_indexed, "block_search": q_blocks, "stemmed_search": q_stemmed, "bm25_search": q_bm25, "rrf_fusion": q_rrf, "hybrid_search": q_hybrid, "token_stats": q_token_stats, "doc_freq": q_doc_freq, "rank_metrics": q_rank_metrics, "vector_cosine": q_vector_cosine}
 
 _DENSE = """v as (select vec_id, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n, label from embeddings),
 dense_all as (select a.query_id, v.vec_id, round(coalesce(list_dot_product(a.e, v.e) / nullif(a.n * v.n, 0), 0), 6) as score from asked a, v),
@@ -150,3 +196,4 @@ round(coalesce(gain, 0) / (select sum(1 / log2(i + 1)) from range(1, least(total
     "vector_cosine": """select a.vec_id, round(coalesce(list_dot_product(a.embedding::double[], b.embedding::double[]) / nullif(sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])), 0), 0), 6) as cosine
 from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""",
 }
+ORACLES |= {"indexed_topk": ORACLES["dense_topk"], "block_search": ORACLES["bm25_search"]}

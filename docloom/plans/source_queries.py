@@ -1,70 +1,88 @@
-"""Queries over sources and text helpers. Files are written from the small fixed tables into the shared folder and read back."""
+"""Queries over sources and text helpers. Executors write documents as files into the shared folder; the sources read them back."""
 
 from __future__ import annotations
 
-import json
 import uuid
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.config import CLUSTERING_PREFIX, DOCUMENT_PREFIX, QUERY_PREFIX
 from docloom.functions import text as X
 from docloom.functions.providers import failure_class
 from docloom.functions.vectors import strict_cosine
-from docloom.io import put_files, shared_dir, table
+from docloom.io import shared_dir, table
 from docloom.operators import segment as S
 from docloom.operators import store
+from docloom.plans.items import items, over_items
 from docloom.sources import files as FS
 from docloom.sources import html as H
 from docloom.sources import records as R
+from docloom.sources.page_source import register
+from docloom.sources.pdf import pdf_of
 
 
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
 
 
-def _nations(spark: SparkSession, d: str) -> list:
-    return table(spark, d, "nation").orderBy("n_nationkey").collect()  # a fixed table of 25 rows
+def text_files(spark: SparkSession, d: str) -> str:
+    """A folder with a text file a document, under folders of its source and id; executors write them."""
+    folder = _folder(spark, "files")
+    table(spark, d, "documents").selectExpr("coalesce(source, 'none') as source", "doc_id", "coalesce(text, '') as value").write.partitionBy("source", "doc_id").text(folder)
+    return folder
 
 
-def nation_files(spark: SparkSession, d: str) -> str:
-    """One text file a nation under its region's folder (Windows line ends, one invalid byte), and files of other kinds."""
-    files = {f"{n.n_regionkey}/{n.n_name.lower()}.{'TXT' if n.n_nationkey % 2 else 'txt'}": f"{n.n_name}\r\nregion {n.n_regionkey}\r{n.n_nationkey}\n".encode() + b"\xff" for n in _nations(spark, d)}
-    return put_files(spark, _folder(spark, "files"), files | {"0/notes.md": b"no parser", "readme": b"no suffix"})
+_PLACE = "regexp_extract(identity, 'source=([^/]*)/', 1) as source", "cast(regexp_extract(identity, 'doc_id=([0-9]+)', 1) as bigint) as doc_id"
 
 
 def q_scan(spark: SparkSession, d: str) -> DataFrame:
     """A directory scan: files with a parser only, in path order."""
-    order = F.split("identity", "/")
-    found = FS.scan(spark, nation_files(spark, d), ("txt",))
-    return found.select("identity", "name", "suffix", "hash", F.length("content").alias("size"), F.rank().over(store.Window.partitionBy(order[0]).orderBy(order)).alias("place"))
+    found = FS.scan(spark, text_files(spark, d), ("txt",)).selectExpr(*_PLACE, "suffix", "hash", "length(content) as size")
+    return found.selectExpr("*", "rank() over (partition by source order by cast(doc_id as string)) as place")
 
 
 def q_documents(spark: SparkSession, d: str) -> DataFrame:
     """Text files parsed: line ends folded, invalid bytes replaced, no pages."""
-    return FS.documents(spark, nation_files(spark, d)).select("identity", "text", "page_count", F.col("pages").isNull().alias("no_pages"))
+    return FS.documents(spark, text_files(spark, d)).selectExpr(*_PLACE, "sha2(text, 256) as text_hash", "page_count", "pages is null as no_pages")
 
 
-def form_feed_pages(content: bytes) -> list[str]:
-    """A stand-in page format: UTF-8 with a form feed between pages."""
-    return content.decode("utf-8", "replace").split("\f")
+@F.pandas_udf(T.StringType())
+def _pdf(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda own: pdf_of(list(own)))
+
+
+def _pdf_files(spark: SparkSession, docs: DataFrame) -> str:
+    """A folder with a PDF file a row (kind, doc_id, pages); executors write them. Their kind is their folder's, as Spark names files .txt."""
+    folder = _folder(spark, "pdf")
+    docs.select("kind", "doc_id", _pdf("pages").alias("value")).write.partitionBy("kind", "doc_id").text(folder)
+    return folder
 
 
 def q_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Page files through a registered backend, dispatched by suffix: running lines go, pages are normalised."""
-    FS.register_page_parser("form-feed", form_feed_pages)
-    files = {}
-    for n in _nations(spark, d):
-        pages = [f"STANDARD {n.n_name}\nbody  {n.n_nationkey} {'x' * (p + 1)}\n{p + 1} of 4" for p in range(4)]
-        files[f"{n.n_name}.{'pdf' if n.n_nationkey % 3 else 'txt'}"] = "\f".join(pages).encode()
-    found = FS.documents(spark, put_files(spark, _folder(spark, "pages"), files), "form-feed")
-    return found.select("name", "suffix", "page_count", F.array_join("pages", "|").alias("pages"), "text")
+    """Files through the text-layer parser, dispatched by suffix: running lines go, pages are normalised."""
+    page = "'STANDARD ' || doc_id || '\\nbody  ' || h || ' ' || repeat('x', p + 1) || '\\n' || (p + 1) || ' of 4'"
+    own = table(spark, d, "documents").selectExpr("doc_id", "sha2(text, 256) as h").selectExpr("if(doc_id % 3 = 0, 'txt', 'pdf') as kind", "doc_id", f"transform(sequence(0, 3), p -> {page}) as pages")
+    files = FS.scan(spark, _pdf_files(spark, own), ("txt",)).withColumn("suffix", F.expr("regexp_extract(identity, 'kind=([a-z]+)/', 1)"))
+    found = FS.parse_text(files).unionByName(FS.parse_pages(files, "text-layer"))
+    return found.selectExpr(_PLACE[1], "suffix", "page_count", "array_join(pages, '|') as pages", "if(suffix = 'pdf', text, null) as text")
+
+
+def q_pdf_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as PDF files of 40 lines a page, read back page by page by the data source."""
+    lines = table(spark, d, "documents").where("text is not null").selectExpr("'pdf' as kind", "doc_id", "split(text, '\n') as l")
+    own = lines.selectExpr("kind", "doc_id", "transform(sequence(0, (size(l) - 1) div 40), p -> array_join(slice(l, cast(p * 40 + 1 as int), 40), '\n')) as pages")
+    register(spark)
+    found = spark.read.format("docloom_pages").option("suffixes", "txt").load(_pdf_files(spark, own))
+    return found.selectExpr(_PLACE[1], "page", "sha2(text, 256) as text_hash", "length(text) as length")
 
 
 def q_export(spark: SparkSession, d: str) -> DataFrame:
     """An export with page marks cut into exactly as many pages as the file has."""
-    own = table(spark, d, "nation").select("n_nationkey", F.concat_ws("<page>", "n_name", F.col("n_regionkey").cast("string")).alias("markdown"), (F.lit(2) + F.col("n_nationkey") % 3).alias("n"))
+    own = items(spark, d).select("n_nationkey", F.concat_ws("<page>", "n_name", F.col("n_regionkey").cast("string")).alias("markdown"), (F.lit(2) + F.col("n_nationkey") % 3).alias("n"))
     return own.select("n_nationkey", F.array_join(FS.split_export(F.col("markdown"), F.lit("<page>"), F.col("n")), "|").alias("pages"))
 
 
@@ -74,34 +92,35 @@ def q_table_text(spark: SparkSession, d: str) -> DataFrame:
     row = F.array(name, F.lit(" "), k.cast("string"))
     short = F.array(F.concat(F.lit(" "), name, F.lit(" ")))
     rows = F.when(k % 4 == 0, F.array(row)).when(k % 4 == 1, F.array(row, short)).when(k % 4 == 2, F.array(row, F.array(F.lit(""), F.lit("")), row)).otherwise(F.array(F.array(name), F.array(F.lit(None).cast("string"), F.lit("b"))))
-    return table(spark, d, "nation").select("n_nationkey", X.render_table(rows).alias("text"))
+    return items(spark, d).select("n_nationkey", X.render_table(rows).alias("text"))
 
 
 def q_jsonl(spark: SparkSession, d: str) -> DataFrame:
-    """JSON lines written and read back, strictly and leniently (with blank lines); one row per line."""
-    lines = [json.dumps({"id": n.n_nationkey, "name": n.n_name, "extra": [1]}) for n in _nations(spark, d)]
+    """Documents as JSON lines that executors write, read back strictly and leniently (with blank lines); one row a line."""
     folder = _folder(spark, "jsonl")
-    put_files(spark, folder, {"strict/a.jsonl": "\n".join(lines).encode(), "lenient/a.jsonl": "\n\n".join(lines).encode()})
-    strict, lenient = R.read_jsonl_strict(spark, f"{folder}/strict", "id long, name string"), R.read_jsonl(spark, f"{folder}/lenient", "id long, name string")
-    none = R.read_jsonl_strict(spark, f"{folder}/none", "id long, name string")
-    parts = [df.select(F.lit(kind).alias("kind"), "id", "name") for kind, df in (("strict", strict), ("lenient", lenient), ("missing", none))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    lines = table(spark, d, "documents").selectExpr("to_json(struct(doc_id as id, text, array(1) as extra)) as value")
+    lines.write.text(f"{folder}/strict")
+    lines.selectExpr("value || '\n' as value").write.text(f"{folder}/lenient")
+    strict, lenient = R.read_jsonl_strict(spark, f"{folder}/strict", "id long, text string"), R.read_jsonl(spark, f"{folder}/lenient", "id long, text string")
+    none = R.read_jsonl_strict(spark, f"{folder}/none", "id long, text string")
+    parts = [df.selectExpr(f"'{kind}' as kind", "id", "sha2(text, 256) as text_hash") for kind, df in (("strict", strict), ("lenient", lenient), ("missing", none))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def q_enveloped(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of lists inside one JSON document: a dataset, a corpus manifest and alert entries."""
-    n = _nations(spark, d)
-    folder = _folder(spark, "json")
-    docs = {
-        "dataset": {"version": "1", "questions": [{"id": x.n_name, "question": f"where is {x.n_name}"} for x in n]},
-        "manifest": {"version": "1", "documents": [{"path": x.n_name, "sha256": "0" * 64, "page_count": x.n_nationkey} for x in n]},
-        "alerts": {"entries": [{"alert_id": x.n_nationkey, "rule_documentation": {"url": f"https://rules.example/{x.n_regionkey}-{x.n_nationkey // 2}"}} for x in n]},
+    """Rows of lists inside one JSON document each: a dataset, a corpus manifest and alert entries, of benchmark items."""
+    b, folder = table(spark, d, "benchmark"), _folder(spark, "json")
+    bodies = {
+        "dataset": "to_json(struct('1' as version, collect_list(struct('q' || item_id as id, text as question)) as questions))",
+        "manifest": "to_json(struct('1' as version, collect_list(struct('d' || item_id as path, sha2(text, 256) as sha256, cast(item_id as int) as page_count)) as documents))",
+        "alerts": "to_json(struct(collect_list(struct(item_id as alert_id, struct('https://rules.example/' || (item_id % 5) || '-' || (item_id div 2) as url) as rule_documentation)) as entries))",
     }
-    put_files(spark, folder, {f"{k}.json": json.dumps(v).encode() for k, v in docs.items()})
-    dataset = R.load_dataset(spark, f"{folder}/dataset.json", "id string, question string").select(F.lit("question").alias("kind"), F.col("id").alias("key"), F.col("question").alias("value"))
-    manifest = R.load_corpus_manifest(spark, f"{folder}/manifest.json").select(F.lit("document").alias("kind"), F.col("path").alias("key"), F.col("page_count").cast("string").alias("value"))
-    entries = R.read_enveloped(spark, f"{folder}/alerts.json", "alert_id long, rule_documentation struct<url:string>", "entries")
-    urls = R.rule_sources(entries).select(F.lit("rule").alias("kind"), F.concat_ws(":", F.col("gid").cast("string"), F.col("sid").cast("string")).alias("key"), F.col("url").alias("value"))
+    for name, body in bodies.items():  # such a document is one row by its format
+        b.selectExpr(f"{body} as value").write.text(f"{folder}/{name}")
+    dataset = R.load_dataset(spark, f"{folder}/dataset", "id string, question string").selectExpr("'question' as kind", "id as key", "question as value")
+    manifest = R.load_corpus_manifest(spark, f"{folder}/manifest").selectExpr("'document' as kind", "path as key", "sha256 || ':' || page_count as value")
+    entries = R.read_enveloped(spark, f"{folder}/alerts", "alert_id long, rule_documentation struct<url:string>", "entries")
+    urls = R.rule_sources(entries).selectExpr("'rule' as kind", "concat_ws(':', gid, sid) as key", "url as value")
     return dataset.unionByName(manifest).unionByName(urls)
 
 
@@ -115,20 +134,20 @@ def q_rules(spark: SparkSession, d: str) -> DataFrame:
 
 def q_sections(spark: SparkSession, d: str) -> DataFrame:
     """Lines from a start marker up to, not with, a later end marker."""
-    own = table(spark, d, "nation").select("n_nationkey", F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.concat(F.when(i == 2 + F.col("n_nationkey") % 3, "begin ").when(i == 6 + F.col("n_nationkey") % 2, "end ").otherwise("line "), i.cast("string"))).alias("l"))
+    own = items(spark, d).select("n_nationkey", F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.concat(F.when(i == 2 + F.col("n_nationkey") % 3, "begin ").when(i == 6 + F.col("n_nationkey") % 2, "end ").otherwise("line "), i.cast("string"))).alias("l"))
     return own.select("n_nationkey", F.array_join(H.section_between(F.col("l"), "begin", "end"), "|").alias("section"))
 
 
 def q_downloads(spark: SparkSession, d: str) -> DataFrame:
     """Checks of downloaded bytes: size, first bytes, marker."""
     content = F.to_binary(F.concat(F.when(F.col("n_nationkey") % 2 == 0, F.lit("%PDF")).otherwise(F.lit("<htm")), F.col("n_name")), F.lit("utf-8"))
-    own = table(spark, d, "nation").select("n_nationkey", content.alias("c"))
+    own = items(spark, d).select("n_nationkey", content.alias("c"))
     return own.select("n_nationkey", FS.looks_downloaded(F.col("c"), 12, b"%PDF").alias("pdf"), FS.looks_downloaded(F.col("c"), 1, marker="NATION_1").alias("marked"))
 
 
 def q_names(spark: SparkSession, d: str) -> DataFrame:
     """Names, cells and numbers as reports write them."""
-    n = table(spark, d, "nation")
+    n = items(spark, d)
     k, name = F.col("n_nationkey"), F.col("n_name")
     model = F.concat(F.lit("lab/"), name, F.when(k % 2 == 0, F.lit(":v1")).otherwise(F.lit("")))
     return n.select(
@@ -144,7 +163,7 @@ HEADINGS = ("# AC-2 ACCOUNT MANAGEMENT", "AC-2(3) DISABLE ACCOUNTS", "## Scope",
 
 def q_headings(spark: SparkSession, d: str) -> DataFrame:
     """What the heading matcher makes of lines of every kind."""
-    own = table(spark, d, "nation").select("n_nationkey", F.get(F.array(*map(F.lit, HEADINGS)), F.col("n_nationkey") % len(HEADINGS)).alias("line"))
+    own = items(spark, d).select("n_nationkey", F.get(F.array(*map(F.lit, HEADINGS)), F.col("n_nationkey") % len(HEADINGS)).alias("line"))
     return own.select("n_nationkey", S.match_heading(F.col("line")).alias("h")).select("n_nationkey", "h.depth", "h.label", "h.control_id")
 
 
@@ -179,28 +198,27 @@ def q_page_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "file_scan": q_scan, "text_documents": q_documents, "page_documents": q_pages, "export_pages": q_export, "table_text": q_table_text, "json_lines": q_jsonl, "enveloped_json": q_enveloped, "rule_lines": q_rules, "line_sections": q_sections,
+    "file_scan": q_scan, "text_documents": q_documents, "page_documents": q_pages, "pdf_pages": q_pdf_pages, "export_pages": q_export, "table_text": q_table_text, "json_lines": q_jsonl, "enveloped_json": q_enveloped, "rule_lines": q_rules, "line_sections": q_sections,
     "download_checks": q_downloads, "report_names": q_names, "heading_matcher": q_headings, "event_progress": q_events, "strict_cosine": q_strict_cosine, "failure_classes": q_failures, "page_filter": q_page_filter,
     "document_totals": lambda s, d: store.totals(table(s, d, "documents"), "source"), "duplicate_names": lambda s, d: store.duplicate_names(table(s, d, "part"), "p_name"),
-    "installed_models": lambda s, d: store.missing_models(table(s, d, "nation").select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("name")), table(s, d, "nation").where("n_regionkey < 2").select(F.col("n_name").alias("name"))),
+    "installed_models": lambda s, d: store.missing_models(items(s, d).select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("name")), items(s, d).where("n_regionkey < 2").select(F.col("n_name").alias("name"))),
 }
 
 ORACLES = {
-    "file_scan": """with f as (select n_regionkey || '/' || lower(n_name) || '.' || case when n_nationkey % 2 = 1 then 'TXT' else 'txt' end as identity,
-  encode(n_name || chr(13) || chr(10) || 'region ' || n_regionkey || chr(13) || n_nationkey || chr(10)) || '\\xFF'::blob as c, n_regionkey from nation)
-select identity, string_split(identity, '/')[2] as name, 'txt' as suffix, sha256(c) as hash, octet_length(c)::int as size, (rank() over (partition by n_regionkey order by identity))::int as place from f""",
-    "text_documents": """select n_regionkey || '/' || lower(n_name) || '.' || case when n_nationkey % 2 = 1 then 'TXT' else 'txt' end as identity,
-  n_name || chr(10) || 'region ' || n_regionkey || chr(10) || n_nationkey || chr(10) || chr(65533) as text, null::int as page_count, true as no_pages from nation""",
-    "page_documents": """with p as (select *, list_transform(range(0, 4), lambda i: 'body ' || n_nationkey || ' ' || repeat('x', (i + 1)::int)) as pages,
-  array_to_string(list_transform(range(0, 4), lambda i: 'STANDARD ' || n_name || chr(10) || 'body  ' || n_nationkey || ' ' || repeat('x', (i + 1)::int) || chr(10) || (i + 1) || ' of 4'), chr(12)) as raw from nation)
-select n_name || case when n_nationkey % 3 <> 0 then '.pdf' else '.txt' end as name, case when n_nationkey % 3 <> 0 then 'pdf' else 'txt' end as suffix, case when n_nationkey % 3 <> 0 then 4 end::int as page_count,
-  case when n_nationkey % 3 <> 0 then array_to_string(pages, '|') end as pages, case when n_nationkey % 3 <> 0 then array_to_string(pages, chr(10) || chr(10)) else raw end as text from p""",
+    "file_scan": """with f as (select coalesce(source, 'none') as source, doc_id, encode(coalesce(text, '') || chr(10)) as c from documents)
+select source, doc_id, 'txt' as suffix, sha256(c) as hash, octet_length(c)::int as size, (rank() over (partition by source order by doc_id::varchar))::int as place from f""",
+    "text_documents": """select coalesce(source, 'none') as source, doc_id, sha256(regexp_replace(coalesce(text, '') || chr(10), '\\r\\n?', chr(10), 'g')) as text_hash, null::int as page_count, true as no_pages from documents""",
+    "page_documents": """with p as (select doc_id, list_transform(range(0, 4), lambda i: 'body ' || sha256(text) || ' ' || repeat('x', (i + 1)::int)) as pages from documents)
+select doc_id, case when doc_id % 3 <> 0 then 'pdf' else 'txt' end as suffix, case when doc_id % 3 <> 0 then 4 end::int as page_count,
+  case when doc_id % 3 <> 0 then array_to_string(pages, '|') end as pages, case when doc_id % 3 <> 0 then array_to_string(pages, chr(10) || chr(10)) end as text from p""",
+    "pdf_pages": """with l as (select doc_id, string_split(text, chr(10)) as l from documents where text is not null), p as (select doc_id, l, unnest(range(0, (len(l) - 1) // 40 + 1)) as page from l)
+select doc_id, page::int as page, sha256(t) as text_hash, length(t)::int as length from (select doc_id, page, array_to_string(l[page * 40 + 1 : page * 40 + 40], chr(10)) as t from p)""",
     "export_pages": "select n_nationkey, n_name || '|' || n_regionkey || repeat('|', n_nationkey % 3) as pages from nation",
     "table_text": """select n_nationkey, case n_nationkey % 4 when 0 then '' when 1 then n_name || ' | ' || n_nationkey || chr(10) || n_name || ' | ' when 2 then n_name || ' | ' || n_nationkey || chr(10) || n_name || ' | ' || n_nationkey
   else n_name || ' | ' || chr(10) || ' | b' end as text from nation""",
-    "json_lines": "select kind, n_nationkey::bigint as id, n_name as name from nation, (values ('strict'), ('lenient')) t(kind)",
-    "enveloped_json": """select 'question' as kind, n_name as key, 'where is ' || n_name as value from nation union all select 'document', n_name, n_nationkey::varchar from nation
-union all select distinct 'rule', n_regionkey || ':' || (n_nationkey // 2), 'https://rules.example/' || n_regionkey || '-' || (n_nationkey // 2) from nation""",
+    "json_lines": "select kind, doc_id as id, sha256(text) as text_hash from documents, (values ('strict'), ('lenient')) t(kind)",
+    "enveloped_json": """select 'question' as kind, 'q' || item_id as key, text as value from benchmark union all select 'document', 'd' || item_id, sha256(text) || ':' || item_id from benchmark
+union all select distinct 'rule', (item_id % 5) || ':' || (item_id // 2), 'https://rules.example/' || (item_id % 5) || '-' || (item_id // 2) from benchmark""",
     "rule_lines": """with l as (select s_suppkey as k, s_suppkey // 3 as sid, 'alert tcp any (msg:"' || s_name || '"; sid:' || (s_suppkey // 3) || ';)' as rule from supplier where s_suppkey % 7 <> 0 and s_suppkey % 11 <> 0 and s_suppkey % 13 <> 0),
 o as (select *, row_number() over (partition by sid order by k) as p from l) select sid, rule, 'Rule 1:' || sid || chr(10) || chr(10) || rule || chr(10) as file from o where p = 1""",
     "line_sections": """select n_nationkey, array_to_string(list_transform(range(2 + n_nationkey % 3, 6 + n_nationkey % 2), lambda i: case when i = 2 + n_nationkey % 3 then 'begin ' else 'line ' end || i), '|') as section from nation""",
@@ -220,3 +238,4 @@ select a.vec_id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e,
     "duplicate_names": "select p_name, count(*) as n from part group by 1 having count(*) > 1",
     "installed_models": "select n_nationkey as place, n_name as name, n_regionkey < 2 as installed from nation",
 }
+ORACLES |= {n: over_items(ORACLES[n]) for n in ("export_pages", "table_text", "line_sections", "download_checks", "report_names", "heading_matcher", "installed_models")}

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import normalize_page, render_table
 from docloom.operators.segment import strip_repeated_lines
+from docloom.sources.pdf import pages_of
 
-#: Page parsers by backend: bytes of a file to its pages' texts. None is bundled; register what is installed.
-PAGE_PARSERS: dict[str, Callable[[bytes], list[str]]] = {}
+#: Page parsers by backend: bytes of a file to its pages' texts. Register what else is installed (layout parsers, for instance).
+PAGE_PARSERS: dict[str, Callable[[bytes], list[str]]] = {"text-layer": pages_of}
 DOCUMENT = "identity string, name string, suffix string, hash string, text string, page_count int, pages array<string>"
 
 

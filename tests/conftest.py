@@ -25,6 +25,7 @@ def spark(tmp_path_factory):
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.checkpoint.dir", str(base / "checkpoints"))
         .config("spark.sql.warehouse.dir", str(base / "warehouse"))
         .getOrCreate()

@@ -3,11 +3,15 @@
 import hashlib
 import html
 import itertools
+import math
 import random
 import re
 import unicodedata
+from collections import Counter
 
+import numpy as np
 import pytest
+import regex
 from conftest import same_rows
 
 from docloom import catalog
@@ -76,6 +80,55 @@ def test_nfkc_query(spark, sf):
     assert {r.doc_id: r.text_hash for r in catalog.QUERIES["nfkc_text"](spark, sf).collect()} == {k: t if t is None else sha(unicodedata.normalize("NFKC", t)) for k, t in texts(spark, sf).items()}
 
 
+def test_stemmed_search_query(spark, sf):
+    """BM25 over stems in Python, by the definition."""
+    from docloom.functions.stemmer import STOP_WORDS, stem
+    from docloom.plans.retrieval_queries import K, TOKENS
+
+    known = {}
+    cut = regex.compile(TOKENS)
+    own = lambda t: [known.setdefault(w, stem(w)) for w in cut.findall((t or "").lower()) if w not in STOP_WORDS]
+    docs = {k: Counter(own(t)) for k, t in texts(spark, sf).items()}
+    size = {k: sum(c.values()) for k, c in docs.items()}
+    average, df = sum(size.values()) / len(size), Counter(w for c in docs.values() for w in c)
+    weight = {w: math.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    want = {}
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").where("item_id % 20 = 0").collect():
+        asked = own(r.text)
+        score = {k: round(sum(weight.get(w, 0) * c[w] / (c[w] + 1.5 * (0.25 + 0.75 * size[k] / average)) for w in asked), 6) for k, c in docs.items()}
+        want |= {(r.item_id, i): s for i, s in enumerate(sorted((s for s in score.values() if s > 0), reverse=True)[:K])}
+    got = catalog.QUERIES["stemmed_search"](spark, sf).collect()
+    assert want and {(r.query_id, r["rank"]): r.score for r in got} == pytest.approx(want, abs=2e-6)
+
+
+def test_token_matching_query(spark, sf):
+    """Every pair by one matrix, from the definition."""
+    from docloom.operators.conversations import completed_turns
+    from docloom.operators.token_matching import GramVectors
+    from docloom.plans.retrieval_queries import TOKENS
+
+    cut, model, vectors = regex.compile(TOKENS), GramVectors(), {}
+    turns = [(r.conv_id, r.turn, *(cut.findall((t or "").lower()) for t in (r.answer, r.question))) for r in completed_turns(spark.read.parquet(f"{sf}/conversations.parquet")).collect()]
+    n, df = sum(1 for t in turns), Counter(w for t in turns for w in set(t[3]))
+    weight = {w: math.log((n + 1) / (c + 1)) for w, c in df.items()}
+
+    def unit(w):
+        if w not in vectors:
+            v = model([w])[0]
+            vectors[w] = v / np.linalg.norm(v)
+        return vectors[w]
+
+    want = {}
+    for conv, turn, a, q in turns:
+        wa, wq = (np.array([weight.get(w, max(weight.values())) for w in side]) for side in (a, q))
+        if wa.sum() > 0 and wq.sum() > 0:
+            s = np.stack([unit(w) for w in a]) @ np.stack([unit(w) for w in q]).T
+            p, r = s.max(axis=1) @ wa / wa.sum(), s.max(axis=0) @ wq / wq.sum()
+            want[conv, turn] = (p, r, 2 * p * r / (p + r))
+    got = {(r.conv_id, r.turn): (r.precision, r.recall, r.f1) for r in catalog.QUERIES["token_matching"](spark, sf).collect()}
+    assert want and len(got) == len(turns) and all(v == pytest.approx(want[k], abs=2e-6) if k in want else v == (None, None, None) for k, v in got.items())
+
+
 def test_review_sample_query(spark, sf):
     keys = sorted(texts(spark, sf))
     drawn = sorted(random.Random(42).sample(range(len(keys)), min(30, len(keys))))
@@ -102,7 +155,7 @@ def test_html_lines_query(spark, sf):
 
 
 def test_every_query_has_sql_or_a_test_here():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"split_text", "chunk_hashes", "nfkc_text", "review_sample", "html_lines"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"split_text", "chunk_hashes", "nfkc_text", "review_sample", "html_lines", "stemmed_search", "token_matching"}
 
 
 def test_entry_imports_and_covers_all(spark, sf):
