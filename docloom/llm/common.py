@@ -84,3 +84,15 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         give_back()
 
     return tidied
+
+
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """An applyInArrow function that gives memory back after each group."""
+
+    def tidied(table: pa.Table) -> pa.Table:
+        found = run(table)
+        del table
+        give_back()
+        return found
+
+    return tidied

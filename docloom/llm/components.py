@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import drop_table, materialize
+from docloom.llm.common import drop_table, materialize, tidy
 
 FEW = 1 << 19
 
@@ -67,7 +67,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if now.count() <= few:
             kind = now.schema["a"].dataType
-            found = materialize(now.repartition(1).mapInArrow(_united, T.StructType([T.StructField("node", kind), T.StructField("component", kind)])), "components")
+            found = materialize(now.repartition(1).mapInArrow(tidy(_united), T.StructType([T.StructField("node", kind), T.StructField("component", kind)])), "components")
             drop_table(now)
             return found
         after = materialize(_starred(_starred(now, True), False), "edges")

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import drop_table, give_back, if_small, materialize, read, small_batches, tidy
+from docloom.llm.common import drop_table, give_back, if_small, materialize, read, small_batches, tidy, tidy_group
 from docloom.llm.components import connected_components
 from docloom.llm.textblocks import LOWER, M1, M2, M3, U, blocks, mix, sets_of, shingles, sums, word_hashes
 
@@ -559,7 +559,7 @@ def _across(rest: DataFrame, component: DataFrame, texts: DataFrame, width: int,
     meet = x.join(y, "family").where("abs(band_x - band_y) <= 1 and block_x <= block_y and coalesce(pure_x <> pure_y, true)").select("family", "block_x", "block_y")
     sides = meet.select("*", F.explode(F.when(F.col("block_x") == F.col("block_y"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
     rows = sides.withColumn("block", F.when(F.col("side") == 0, F.col("block_x")).otherwise(F.col("block_y"))).join(dealt.drop("pure", "band"), ["family", "block"]).join(texts, "cid")
-    found = materialize(rows.select("family", "block_x", "block_y", "side", "cid", "comp", "z").groupBy("family", "block_x", "block_y").applyInArrow(lambda t: _block_links(t, width, similarity), "a binary, b binary"), "across")
+    found = materialize(rows.select("family", "block_x", "block_y", "side", "cid", "comp", "z").groupBy("family", "block_x", "block_y").applyInArrow(tidy_group(lambda t: _block_links(t, width, similarity)), "a binary, b binary"), "across")
     drop_table(dealt)
     return found
 
@@ -580,7 +580,7 @@ def _grouped(docs: DataFrame, key: str, text: str, width: int, similarity: Simil
     rows = materialize(signed.where("bucket is null").select("__key", "doc", "n", "cid", "node"), "sets")
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("__key").alias("__rep"), F.first("n").alias("n"))
 
-    met = materialize(signed.where("bucket is not null").select("bucket", "tag", "blob").groupBy("bucket").applyInArrow(_meet, MET), "met")
+    met = materialize(signed.where("bucket is not null").select("bucket", "tag", "blob").groupBy("bucket").applyInArrow(tidy_group(_meet), MET), "met")
     drop_table(signed)
     nodes = rows.where("node is not null").select("node", "cid", "n").distinct()
     reach = lambda n, m: F.least(n, m) * similarity.q >= F.greatest(n, m) * similarity.p
