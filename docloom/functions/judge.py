@@ -34,6 +34,31 @@ def cache_key(inputs: dict) -> str:
     return hashlib.sha256(canonical_json(inputs).encode()).hexdigest()
 
 
+#: What a verdict depends on besides the answer and its references: the rubric's and the request's settings.
+REQUEST = {
+    "provider": "local", "judge_model": "rule", "prompt_version": "1", "prompt_hash": "", "temperature": 0.0, "reasoning_effort": "low", "include_reasoning": False, "max_completion_tokens": 2048,
+    "sdk_max_retries": 0, "max_request_attempts": 5, "max_retry_delay_seconds": 60.0, "response_schema": {name: ["score", "justification", *lists] for name, lists in CRITERIA.items()} | {"verdict": list(VERDICTS)},
+}
+JUDGED = ("question_id", "question", "candidate_answer", "reference_answer", "reference_answers", "gold_claims", "gold_evidence", "retrieved_context")
+
+
+def judge_keys(results: DataFrame, request: dict | None = None) -> DataFrame:
+    """question_id, candidate_model and cache_key of results with an answer: a hash over the eight judged inputs and the twelve settings.
+
+    Of the retrieved chunks those used for the answer count. Another setting, schema or prompt gives other keys.
+    """
+    settings = REQUEST | (request or {})
+    used = F.filter("retrieved_chunks", lambda c: F.coalesce(c["used_for_generation"], F.lit(False)))
+    own = results.where("trim(question_id) <> '' and trim(generated_answer) <> ''").select("question_id", "candidate_model", "question", F.col("generated_answer").alias("candidate_answer"), "reference_answer", "reference_answers", "gold_claims", "gold_evidence", used.alias("retrieved_context"))
+
+    @F.pandas_udf(T.StringType())
+    def key(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: cache_key(json.loads(r) | settings))
+
+    payload = F.to_json(F.struct(*JUDGED), {"ignoreNullFields": "false"})
+    return own.select("question_id", "candidate_model", key(payload).alias("cache_key"))
+
+
 def _whole(value: object, low: int, high: int) -> int | None:
     """An integer in range: also true and false, whole floats, and digits in a string."""
     try:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -235,16 +236,21 @@ def q_result_files(spark: SparkSession, d: str) -> DataFrame:
     P.write_snapshot(rows.select("question_id", "candidate_model"), f"{path}/snapshot")
     P.write_csv(V.summarize(rows).select("candidate_model", "evaluated_questions"), f"{path}/summary")
     P.write_csv(V.flatten_results(rows), f"{path}/detail")
-    count = lambda kind, df: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.lit(len(df.columns)).cast("long").alias("columns"))
     read = lambda name: spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{path}/{name}")
-    kinds = [count("rows", spark.read.schema(rows.schema).json(f"{path}/rows").select("question_id")), count("snapshot", spark.read.parquet(f"{path}/snapshot")), count("summary", read("summary")), count("detail", read("detail"))]
-    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3])
+    found = [
+        spark.read.schema(rows.schema).json(f"{path}/rows").selectExpr("'rows' as kind", "question_id as key", "concat_ws('|', question, candidate_model, generated_answer, retrieved_chunks[0].rank, metrics.llm_judge.judgment.verdict, size(errors)) as value"),
+        spark.read.parquet(f"{path}/snapshot").selectExpr("'snapshot' as kind", "question_id as key", "candidate_model as value"),
+        read("summary").selectExpr("'summary' as kind", "candidate_model as key", "evaluated_questions as value"),
+        read("detail").selectExpr("'detail' as kind", "question_id as key", "concat_ws('|', question, candidate_model, judge_verdict, gold_claims, generation_config) as value"),
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 def q_one_run(spark: SparkSession, d: str) -> DataFrame:
-    """The one run of a snapshot, and whether any (run, question) stands twice in it."""
+    """The questions that stand twice in a run that some rows were appended to again, under the one run of all rows."""
     rows = results(spark, d)
-    return spark.createDataFrame([(A.single_value(rows, "run_id"), A.duplicate_keys(rows, "run_id", "question_id").count())], "run string, doubled long")
+    both = rows.unionByName(rows.where("cast(question_id as bigint) % 4 = 0"))
+    return A.duplicate_keys(both, "run_id", "question_id").withColumn("run", F.lit(A.single_value(both, "run_id")))
 
 
 QUERIES = {
@@ -304,8 +310,11 @@ select n_nationkey, verdict, score, sha256(replace(replace('{_GOOD}', '#', score
     "merged_alerts": f"""with {_EK}, v as (select event_id as k, round(least(1.0, greatest(0.0, value / 50)), 6) as s from events)
 select 'a' as model, k as alert_id, (user_id % 5 + 1)::int as rank, event_type, s as judge_score, event_type as judge_reasoning from e join v using (k) where k % 3 = 0 union all select 'b', k, case when k % 7 <> 0 then (k % 5 + 1)::int end, event_type, null, null from e where k % 3 = 0""",
     "session_files": f"with {_EK} select 'a' as model, count(*) as n, sum(user_id % 5 + 1)::bigint as ranks from e union all select 'b', count(*), sum(case when k % 7 <> 0 then k % 5 + 1 end)::bigint from e",
-    "result_files": "select 'rows' as kind, count(*) as n, 1::bigint as columns from documents union all select 'snapshot', count(*), 2 from documents union all select 'summary', count(distinct source), 2 from documents union all select 'detail', count(*), 50 from documents",
-    "one_run": "select 'run' as run, 0::bigint as doubled",
+    "result_files": """with r as (select d.doc_id, source, lang, lpad(d.doc_id::varchar, 12, '0') as q, case when quality = 1 then 'pass' when toxic = 1 and quality is not null then 'fail' when quality is not null then 'partial' end as v from documents d left join labels using (doc_id))
+select 'rows' as kind, q as key, concat_ws('|', 'question ' || doc_id, source, case when doc_id % 9 = 0 then ' ' else lang end, doc_id % 12 + 1, v, (doc_id % 10 = 0)::int) as value from r
+union all select 'snapshot', q, source from r union all select 'summary', source, count(*)::varchar from r group by source
+union all select 'detail', q, concat_ws('|', 'question ' || doc_id, source, v, '[{"id":"c1","text":"' || lang || '"}]', '{"temperature":"0"}') from r""",
+    "one_run": "select 'run' as run_id, lpad(doc_id::varchar, 12, '0') as question_id, 2::bigint as n, 'run' as run from documents where doc_id % 4 = 0",
     "known_documents": "select n_name as doc, n_regionkey from nation where n_nationkey < 17 and n_nationkey % 2 = 0",
 }
 ORACLES |= {n: over_items(ORACLES[n]) for n in ("manifest_check", "corpus_identity", "question_rules", "saved_settings", "judgment_replies")}

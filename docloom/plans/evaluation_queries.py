@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions import judge as J
 from docloom.io import table
 from docloom.operators import evaluation as V
 from docloom.schemas import RESULT
@@ -39,7 +40,15 @@ def q_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_predicates(spark: SparkSession, d: str) -> DataFrame:
-    return results(spark, d).select("question_id", V.is_complete().alias("complete"), V.can_retry_judge().alias("retry"), V.has_quota_error().alias("quota"), F.array_join(V.error_labels(), ", ").alias("labels"))
+    """Rows whose judge failed have no judgment; if they lack nothing else, their judge can run again."""
+    judge = F.expr("if(size(errors) > 0, null, metrics.llm_judge)")
+    own = results(spark, d).withColumn("metrics", F.col("metrics").withField("llm_judge", judge))
+    return own.select("question_id", V.is_complete().alias("complete"), V.can_retry_judge().alias("retry"), V.has_quota_error().alias("quota"), F.array_join(V.error_labels(), ", ").alias("labels"))
+
+
+def q_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Cache keys of all answers, over all inputs of a judgment."""
+    return J.judge_keys(results(spark, d))
 
 
 def q_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +82,7 @@ def q_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "model_summary": q_summary, "result_predicates": q_predicates, "retrieval_hits": q_hits, "flat_results": q_flat, "evidence_recall": q_recall, "missing_tokens": q_missing,
+    "model_summary": q_summary, "result_predicates": q_predicates, "judge_keys": q_keys, "retrieval_hits": q_hits, "flat_results": q_flat, "evidence_recall": q_recall, "missing_tokens": q_missing,
     "quota_check": q_quota, "pass_rates": q_rates, "exact_duplicates": lambda s, d: V.exact_duplicates(table(s, d, "documents"), "doc_id", "text"),
     "review_sample": lambda s, d: V.review_sample(table(s, d, "documents").select("doc_id", "source"), ["doc_id"]),
 }
@@ -81,6 +90,14 @@ QUERIES = {
 _RES = "r as (select d.doc_id, source, lang, n_chars, quality, toxic, lpad(d.doc_id::varchar, 12, '0') as question_id from documents d left join labels using (doc_id))"
 _QK = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"
 _LEX = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+#: The canonical JSON of a judgment's inputs, with marks in the place of what a row brings.
+_KEY = "'" + J.canonical_json(
+    J.REQUEST | {"question_id": "@id", "question": "question @k", "candidate_answer": "@lang", "reference_answer": "@lang", "reference_answers": ["@lang"], "gold_claims": [{"id": "c1", "text": "@lang"}],
+    "gold_evidence": [{"document_path": "@source", "section": None, "printed_page": None, "pdf_page_index": 0, "text": "@lang"}],
+    "retrieved_context": [{"id": "@source:0", "rank": 0, "document": "@source", "section": None, "physical_page": 1, "text": "@lang", "used_for_generation": True, "matched_evidence_indices": []}]}
+) + "'"
+for _mark, _sql in (("@id", "question_id"), ("@k", "doc_id"), ("@lang", "lang"), ("@source", "source"), ('"rank":0', """'"rank":' || (doc_id % 12 + 1)"""), ('"matched_evidence_indices":[]', """'"matched_evidence_indices":' || case when quality = 1 then '[0]' else '[]' end""")):
+    _KEY = _KEY.replace(_mark, f"' || {_sql} || '")
 ORACLES = {
     "model_summary": f"""with {_RES}, m as (select *, n_chars / 20000 as cs, n_chars / 30000 as bp, n_chars / 25000 as br, n_chars / 27000 as bf, case when quality = 1 then 'pass' when toxic = 1 then 'fail' when quality is not null then 'partial' end as v from r)
 select source as candidate_model, sha256(source) as candidate_model_digest, count(*) as evaluated_questions, count(*) filter (doc_id % 9 <> 0) as successful_answers, count(*) filter (doc_id % 10 = 0 or doc_id % 9 = 0) as failed_or_skipped,
@@ -91,8 +108,10 @@ round(avg(n_chars % 5) filter (quality is not null), 6) as judge_correctness_mea
 avg(2.0::double) filter (quality is not null) as judge_relevance_mean, {", ".join(f"round(count(*) filter (v = '{x}') / nullif(count(v), 0), 6) as judge_{x}_rate" for x in ("pass", "partial", "fail"))},
 0.0::double as rewrite_latency_mean_ms, 0.0::double as rewrite_latency_median_ms, {", ".join(f"round(avg(n_chars * {f}), 6) as {s}_latency_mean_ms, round(median(n_chars * {f}), 6) as {s}_latency_median_ms" for s, f in (("retrieval", "0.1::double"), ("generation", "0.5::double"), ("total", "0.6::double")))},
 null::double as judge_latency_mean_ms, null::double as judge_latency_median_ms from m group by source""",
-    "result_predicates": f"""with {_RES} select question_id, doc_id % 9 <> 0 and doc_id % 10 <> 0 and quality is not null and toxic is not null as complete, false as retry, doc_id % 10 = 0 as quota,
-concat_ws(', ', case when toxic = 1 and quality is not null then 'missing gold claim' end, case when quality = 0 then 'unsupported claim' end, case when doc_id % 10 = 0 then 'judge failure' end) as labels from r""",
+    "result_predicates": f"""with {_RES}, s as (select *, doc_id % 10 = 0 as failed, doc_id % 9 <> 0 and quality is not null and toxic is not null as scored from r)
+select question_id, scored and not failed as complete, scored and failed as retry, failed as quota,
+concat_ws(', ', case when toxic = 1 and quality is not null and not failed then 'missing gold claim' end, case when quality = 0 and not failed then 'unsupported claim' end, case when failed then 'judge failure' end) as labels from s""",
+    "judge_keys": f"""with {_RES} select question_id, source as candidate_model, sha256({_KEY}) as cache_key from r where doc_id % 9 <> 0""",
     "flat_results": f"""with {_RES} select question_id, source as candidate_model, case when quality is not null then n_chars / 20000 end as cosine_score, case when toxic is not null then n_chars / 27000 end as bertscore_f1,
 case when quality = 1 then 'pass' when toxic = 1 then 'fail' when quality is not null then 'partial' end as judge_verdict, case when quality is null then '' when toxic = 1 then '["c1"]' else '[]' end as judge_missing_claim_ids,
 case when doc_id % 10 = 0 then '[{{"message":"' || lang || '","stage":"judge","type":"JudgeQuotaError"}}]' else '[]' end as errors, '[{{"id":"c1","text":"' || lang || '"}}]' as gold_claims, '{{"temperature":"0"}}' as generation_config from r""",
