@@ -258,7 +258,7 @@ QUERIES = {
     "reference_scores": q_similarity, "saved_settings": q_configs, "result_chunks": q_serialized, "judgment_replies": q_judgments, "judged_rows": q_judged, "severity_verdicts": q_verdicts, "alert_prompts": q_alert_prompts,
     "done_reasons": lambda s, d: A.done_reasons(_sessions(s, d)), "failed_and_retried": lambda s, d: A.failed_and_retried(_sessions(s, d)), "unknown_fields": lambda s, d: A.unknown_metrics(_sessions(s, d)), "short_evidence": lambda s, d: A.short_evidence(_sessions(s, d)).select("alert_id", F.size("chunks").alias("n")),
     "documents_per_alert": lambda s, d: A.documents_per_alert(_chunk_rows(s, d)), "evidence_scores": lambda s, d: A.evidence_scores(_chunk_rows(s, d)).withColumn("mean", F.round("mean", 6)), "spot_check": q_spot, "sid_matches": q_sid, "merged_alerts": q_merged,
-    "session_files": q_session_files, "result_files": q_result_files, "one_run": q_one_run, "known_documents": lambda s, d: S.by_ids(table(s, d, "nation").select(F.col("n_name").alias("doc"), "n_regionkey"), table(s, d, "nation").where("n_nationkey < 9").select(F.concat(F.lit("NATION_"), F.col("n_nationkey") * 2).alias("doc")), "doc"),
+    "session_files": q_session_files, "result_files": q_result_files, "one_run": q_one_run, "known_documents": lambda s, d: S.by_ids(items(s, d).selectExpr("n_name as doc", "n_regionkey"), items(s, d).selectExpr("'NATION_' || (n_nationkey * 2) as doc"), "doc"),
 }
 
 _P = "p as (select item_id as k, 'd' || (item_id % 5) as document, item_id::int as page_index, text || case when item_id % 3 = 0 then ' p. ' || item_id else '' end as text from benchmark)"
@@ -315,6 +315,6 @@ select 'rows' as kind, q as key, concat_ws('|', 'question ' || doc_id, source, c
 union all select 'snapshot', q, source from r union all select 'summary', source, count(*)::varchar from r group by source
 union all select 'detail', q, concat_ws('|', 'question ' || doc_id, source, v, '[{"id":"c1","text":"' || lang || '"}]', '{"temperature":"0"}') from r""",
     "one_run": "select 'run' as run_id, lpad(doc_id::varchar, 12, '0') as question_id, 2::bigint as n, 'run' as run from documents where doc_id % 4 = 0",
-    "known_documents": "select n_name as doc, n_regionkey from nation where n_nationkey < 17 and n_nationkey % 2 = 0",
+    "known_documents": "select n_name as doc, n_regionkey from nation where n_name in (select 'NATION_' || (n_nationkey * 2) from nation)",
 }
-ORACLES |= {n: over_items(ORACLES[n]) for n in ("manifest_check", "corpus_identity", "question_rules", "saved_settings", "judgment_replies")}
+ORACLES |= {n: over_items(ORACLES[n]) for n in ("known_documents", "manifest_check", "corpus_identity", "question_rules", "saved_settings", "judgment_replies")}

@@ -184,7 +184,7 @@ def q_usage_table(spark: SparkSession, d: str) -> DataFrame:
 def q_by_ids(spark: SparkSession, d: str) -> DataFrame:
     """Documents by a list of ids (some unknown), in the order of the list."""
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    ids = table(spark, d, "nation").select((F.col("n_nationkey") * 13 % 50).cast("long").alias("doc_id"), (25 - F.col("n_nationkey")).alias("place")).unionByName(table(spark, d, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("doc_id"), F.lit(99).alias("place")))
+    ids = docs.selectExpr("doc_id * 3 - 7 as doc_id", "-doc_id as place")
     return S.in_order(S.by_ids(docs, ids, "doc_id"), ids, "doc_id")
 
 
@@ -228,6 +228,6 @@ sha256('CONTEXT' || chr(10) || 'QUESTION' || chr(10) || '1' || question || chr(1
     "history_saved": f"""with {_HIST}, l as (select id, case when id::bigint % 4 = 0 then 1000000000000 + k else updated_at end as u, case when id::bigint % 4 = 0 then n else n end as n from f) select id, u as updated_at from l where n > 0 and id::bigint % 6 <> 0 order by u desc limit 20""",
     "over_quota": "select * from (select user_id, strftime(ts, '%Y-%m-%d') as day, count(*) as requests, (3 * count(*))::bigint as tokens from events group by 1, 2) where tokens + 5 >= 12 or requests >= 6",
     "usage_table": "select event_type, strftime(ts, '%Y-%m-%d') as day, count(*)::bigint as requests, count(*)::bigint as tokens from events group by 1, 2",
-    "rows_by_ids": "select doc_id, lang, 25 - n_nationkey as place from nation join documents on doc_id = n_nationkey * 13 % 50",
+    "rows_by_ids": "select d.doc_id, d.lang, -a.doc_id as place from documents a join documents d on d.doc_id = a.doc_id * 3 - 7",
 }
 ORACLES["rewritten_questions"] = over_items(ORACLES["rewritten_questions"])

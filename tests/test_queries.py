@@ -151,7 +151,7 @@ def test_html_lines_query(spark, sf):
         lines = [x for x in lines if x]
         total += 1
         same += got[r.page_id] == (len(lines), sha("\n".join(lines)))
-    assert total and same >= 0.9 * total, (same, total)
+    assert total and same == total, (same, total)
 
 
 def test_every_query_has_sql_or_a_test_here():
