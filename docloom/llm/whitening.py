@@ -29,10 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.io import settings
 from docloom.llm.common import read
 
 SCALE, SHIFT, COMPONENTS, PAIRS = 64, 1_000_000, 32, 4096
 _LIMIT = float(1 << 62)
+#: Thousands of sums in small methods need a caller that is too long for the JVM to compile; longer methods halve the time.
+_CODE = {"spark__sql__codegen__methodSplitThreshold": "12000"}
 
 
 @dataclass(frozen=True)
@@ -58,8 +61,9 @@ def usable(vectors: DataFrame, key: str, vector: str, scale: int, shift: int) ->
 def _sums(rows: DataFrame, terms: list[str], at_once: int) -> list:
     """The sums of SQL expressions over all rows, at most at_once in an aggregation."""
     own, found = iter(terms), []
-    while part := list(islice(own, at_once)):
-        found += rows.selectExpr(*[f"sum({t}) as s{i}" for i, t in enumerate(part)]).first()
+    with settings(rows.sparkSession, **_CODE):
+        while part := list(islice(own, at_once)):
+            found += rows.selectExpr(*[f"sum({t}) as s{i}" for i, t in enumerate(part)]).first()
     return found
 
 
