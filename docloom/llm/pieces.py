@@ -45,7 +45,7 @@ from docloom.llm.common import read, small_batches, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE, FITS = 1_000_000, 1_000_000
+CACHE, FITS = 250_000, 500_000
 UNKNOWN = 10.0
 
 
