@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.text import line_signature, lines, nfkc, normalize_page, title_of
+from docloom.functions.text import line_signature, lines, nfkc, normalize_page, title_of, upper_by_character
 from docloom.io import table
 from docloom.operators.segment import chunk_documents, heading_blocks, repeated_lines, split_text, strip_repeated_lines
 
@@ -14,7 +14,7 @@ def short_line_heading(line: Column) -> Column:
     """Lines of at most 12 characters that end with a full stop: depth 4, 5 or 6 by length; depth 4 names a control."""
     depth = 4 + F.length(line) % 3
     is_heading = line.endswith(".") & (F.length(line) <= 12) & ~line.contains("..")
-    return F.when(is_heading, F.struct(depth.cast("int").alias("depth"), line.alias("label"), F.when(depth == 4, F.upper(line)).alias("control_id")))
+    return F.when(is_heading, F.struct(depth.cast("int").alias("depth"), line.alias("label"), F.when(depth == 4, upper_by_character(line)).alias("control_id")))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
