@@ -28,20 +28,21 @@ def titles(conversations: DataFrame) -> DataFrame:
     return first.select("conv_id", title_of(F.col("__q")).alias("title"))
 
 
-def load_history(stored: DataFrame, most: int = MOST) -> DataFrame:
-    """Valid conversations (id, title, created_at, updated_at, messages), the first of a repeated id, the latest ones."""
+def load_history(stored: DataFrame, most: int | None = MOST) -> DataFrame:
+    """Valid conversations (id, title, created_at, updated_at, messages), the first of a repeated id, the latest ones (all if most is None)."""
     valid = (F.length("id") > 0) & (F.length("title") <= 60) & F.col("created_at").isNotNull() & F.col("updated_at").isNotNull() & F.forall("messages", lambda m: m["role"].isin("user", "assistant") & m["id"].isNotNull() & m["text"].isNotNull())
     first = Window.partitionBy("id").orderBy("place")
     own = stored.where(F.coalesce(valid, F.lit(False))).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    return own.orderBy(F.desc("updated_at"), "place").limit(most)
+    return own if most is None else own.orderBy(F.desc("updated_at"), "place").limit(most)
 
 
-def save_history(conversations: DataFrame, most: int = MOST) -> DataFrame:
-    """What is kept: conversations with messages, the latest first."""
-    return conversations.where(F.size("messages") > 0).orderBy(F.desc("updated_at")).limit(most)
+def save_history(conversations: DataFrame, most: int | None = MOST) -> DataFrame:
+    """What is kept: conversations with messages, the latest first (all, in no order, if most is None)."""
+    own = conversations.where(F.size("messages") > 0)
+    return own if most is None else own.orderBy(F.desc("updated_at"), "id").limit(most)
 
 
-def upsert_front(history: DataFrame, new: DataFrame, most: int = MOST) -> DataFrame:
+def upsert_front(history: DataFrame, new: DataFrame, most: int | None = MOST) -> DataFrame:
     return save_history(history.join(new.select("id"), "id", "left_anti").unionByName(new), most)
 
 
