@@ -14,16 +14,20 @@ the number of postings.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.config import Settings
 from docloom.functions.stemmer import STOP_WORDS
-from docloom.io import written
-from docloom.operators.lexical import LexicalIndex, index_tokens, parts_for
+from docloom.io import drop_written, small_batches, written
+from docloom.operators.lexical import LexicalIndex, index_tokens, keys_repeat, parts_for
 
 DOCS, FIRST = 128, 8
 
@@ -41,21 +45,61 @@ class BlockIndex:
     settings: Settings
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """term, block, n, top, rows, part of postings sorted by part, term and block: runs of a term in a block become one row."""
+
+    def pack(batch: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        offsets = np.append(starts, len(batch)).astype(np.int32)
+        first = batch.take(pa.array(starts))
+        at = {c: first.column(c).combine_chunks() for c in ("term", "block", "part")}
+        lists = pa.ListArray.from_arrays(pa.array(offsets), batch.column("row").combine_chunks())
+        top = np.maximum.reduceat(batch.column("share").to_numpy(), starts)
+        return pa.RecordBatch.from_arrays([at["term"], at["block"], pa.array(np.diff(offsets)), pa.array(top), lists, at["part"]], names=["term", "block", "n", "top", "rows", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the run that may go on in the next batch
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
+            same = lambda c: pc.equal(table.column(c)[1:], table.column(c)[:-1])
+            begins = ~pc.and_(same("term"), same("block")).to_numpy().astype(bool)
+            starts = np.append(0, np.flatnonzero(begins) + 1)
+            last = int(starts[-1])
+            if last:
+                yield pack(table.slice(0, last).combine_chunks(), starts[:-1])
+            held = table.slice(last).combine_chunks().to_batches()
+        if held:
+            yield pack(pa.Table.from_batches(held).combine_chunks(), np.zeros(1, np.int64))
+
+    small_batches(rows.sparkSession, 20_000)
+    kept = {f.name: f.dataType for f in rows.schema.fields}
+    kinds = [("term", kept["term"]), ("block", kept["block"]), ("n", T.IntegerType()), ("top", kept["share"]), ("rows", T.ArrayType(kept["row"])), ("part", kept["part"])]
+    return rows.mapInArrow(run, T.StructType([T.StructField(*k) for k in kinds]))
+
+
 def build_block_index(index: LexicalIndex, path: str, settings: Settings = Settings(), docs: int = DOCS) -> BlockIndex:
-    """Write the block-max postings of a saved index under path, the one-row description last."""
+    """Write the block-max postings of an index under path, the one-row description last.
+
+    An index that is not saved gives its documents' counts as they are, so each posting is shuffled once, to its part. Where
+    keys repeat, and of saved or stemmed indexes, postings are joined with the lengths first.
+    """
     if docs < 1:
         raise ValueError("docs must be positive")
     spark = index.postings.sparkSession
-    stats = index.stats.first()
+    lengths = written(index.lengths, "lengths")
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
     blocks, average = max(1, -(-stats.n // docs)), stats.avgdl or 0.0
-    parts = parts_for(index.terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0])
+    parts = parts_for(stats.tokens)
     k1, b = settings.bm25_k1, settings.bm25_b
-    rows = index.postings.drop("part").join(index.lengths, index.key).selectExpr(
-        "term", f"cast(pmod(xxhash64(`{index.key}`), {blocks}) as int) as block", f"struct(`{index.key}` as key, cast(tf as int) as tf, cast(dl as int) as dl) as row", f"tf / (tf + {k1}D * (1 - {b}D + {b}D * dl / {average or 1.0}D)) as share"
+    single = index.counts is not None and not keys_repeat(lengths, index.key)
+    counts = index.counts if single else index.postings.drop("part").join(lengths, index.key)
+    rows = counts.selectExpr(
+        "term", f"cast(pmod(xxhash64(`{index.key}`), {blocks}) as int) as block", f"struct(`{index.key}` as key, cast(tf as int) as tf, cast(dl as int) as dl) as row", f"tf / (tf + {k1}D * (1 - {b}D + {b}D * dl / {average or 1.0}D)) as share", f"cast(pmod(xxhash64(term), {parts}) as int) as part"
     )
-    packed = rows.groupBy("term", "block").agg(F.count("*").cast("int").alias("n"), F.max("share").alias("top"), F.array_sort(F.collect_list("row")).alias("rows"))
-    own = packed.withColumn("part", F.expr(f"cast(pmod(xxhash64(term), {parts}) as int)"))
-    own.repartitionByRange("part", "term", "block").sortWithinPartitions("part", "term", "block").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    own = packed(rows.repartitionById(parts, "part").sortWithinPartitions("part", "term", "block", "row"))
+    own.write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    drop_written(lengths)
     about = spark.createDataFrame([(stats.n, float(average), parts, blocks, index.key, k1, b, own.schema.json())], "documents bigint, average double, parts int, blocks int, key string, k1 double, b double, schema string")
     about.coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
     return load_block_index(spark, path)
