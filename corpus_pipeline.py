@@ -35,8 +35,8 @@ MIX_ALPHA, MIX_BUDGET = 0.9, 0.8
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
-    usual = langid.usual_bits(docs, model)
-    found = langid.identify(docs, model, names=("__lang", "__score", "__bits"))
+    found = materialize(langid.identify(docs, model, names=("__lang", "__score", "__bits")), "pipeline-bits")
+    usual = langid.median_bits(found, "lang", "__lang", "__bits")
     limit = F.lit(None).cast("double")
     for name, bits in usual.items():
         limit = F.when(F.col("__lang") == name, FOREIGN * bits).otherwise(limit)

@@ -29,9 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import give_back, read, small_batches, tidy
+from docloom.llm.common import drop_table, give_back, materialize, read, small_batches, tidy
 from docloom.llm.ngrams import BackoffTable, HashArrays, Level, count_ngrams, lower_order, merged
 from docloom.llm.textblocks import U, blocks, sums
+from docloom.operators.selection import exact_quantile
 
 ORDER = 5
 PER_LANGUAGE = 4000
@@ -126,13 +127,21 @@ def predict_block(model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     return lang, np.where(letters, score, 0.0), -top / np.maximum(np.diff(offsets), 1)
 
 
-def usual_bits(docs: DataFrame, model, lang: str = "lang", text: str = "text", key: str = "doc_id", per_language: int = PER_LANGUAGE // 2) -> dict[str, float]:
-    """The median bits per byte of each language, of about per_language labelled rows that the model puts there."""
-    rows = _sample(docs, lang, text, key, per_language, "bits")
-    if rows is None or model is None:
+def median_bits(found: DataFrame, lang: str = "lang", predicted: str = "lang_pred", bits: str = "bits_per_byte") -> dict[str, float]:
+    """The exact median bits per byte of each language, of all labelled rows that the model puts there; found is read several times."""
+    own = found.where(F.col(lang) == F.col(predicted)).select(F.col(predicted).alias("l"), F.col(bits).alias("b"))
+    return {r["l"]: r["m"] for r in exact_quantile(own, ["l"], "b", 0.5, "m").collect()}  # languages of the model, which the driver holds
+
+
+def usual_bits(docs: DataFrame, model, lang: str = "lang", text: str = "text") -> dict[str, float]:
+    """The median bits per byte of each language, of all labelled rows that the model puts there."""
+    if model is None:
         return {}
-    found = identify(rows, model, "__x", ["__l"]).where("lang_pred = __l").groupBy("lang_pred").agg(F.percentile_approx("bits_per_byte", 0.5, 10_000).alias("m"))
-    return {r["lang_pred"]: r["m"] for r in found.collect()}  # languages of the model, which the driver holds
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("__l"), F.col(text).alias("__x"))
+    found = materialize(identify(rows, model, "__x", ["__l"]), "bits")
+    bits = median_bits(found, "__l")
+    drop_table(found)
+    return bits
 
 
 def identify(docs: DataFrame, model, text: str = "text", carry: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "lang_score", "bits_per_byte")) -> DataFrame:
