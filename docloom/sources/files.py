@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import normalize_page, render_table
+from docloom.io import written
 from docloom.operators.segment import strip_repeated_lines
+from docloom.sources.archives import SUFFIXES, open_archives
 from docloom.sources.pdf import pages_of
 
 #: Page parsers by backend: bytes of a file to its pages' texts. Register what else is installed (layout parsers, for instance).
@@ -23,13 +25,20 @@ def register_page_parser(name: str, parser: Callable[[bytes], list[str]]) -> Non
     PAGE_PARSERS[name] = parser
 
 
-def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("pdf", "txt")) -> DataFrame:
-    """identity (path under root), name, suffix, hash and content of the files with a parser, in path order."""
+def found_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("pdf", "txt"), archives: bool = False) -> DataFrame:
+    """identity (path under root), name, suffix, hash and content of the files with a parser; with archives, those in tar files count as files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = "/" + str(root).split(":", 1)[-1].lstrip("/").rstrip("/") + "/"
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    rows = files.select(F.expr(f"substring(regexp_replace(path, '^[a-z]+:/*', '/'), {len(base) + 1})").alias("identity"), suffix.alias("suffix"), F.sha2("content", 256).alias("hash"), "content")
-    return rows.where(F.col("suffix").isin(*suffixes)).withColumn("name", F.element_at(F.split("identity", "/"), -1)).orderBy(F.split("identity", "/"))
+    suffix = F.lower(F.regexp_extract("identity", r"\.([^./]+)$", 1))
+    rows = files.select(F.expr(f"substring(regexp_replace(path, '^[a-z]+:/*', '/'), {len(base) + 1})").alias("identity"), "content")
+    if archives:
+        rows = open_archives(rows.where(suffix.isin(*suffixes, *SUFFIXES)))
+    return rows.where(suffix.isin(*suffixes)).select("identity", suffix.alias("suffix"), F.sha2("content", 256).alias("hash"), "content", F.element_at(F.split("identity", "/"), -1).alias("name"))
+
+
+def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("pdf", "txt"), archives: bool = False) -> DataFrame:
+    """The found files in path order."""
+    return found_files(spark, root, suffixes, archives).orderBy(F.split("identity", "/"))
 
 
 def decode_text(content: Column) -> Column:
@@ -50,7 +59,8 @@ def parse_pages(files: DataFrame, backend: str) -> DataFrame:
         for part in parts:
             yield pd.DataFrame({"identity": part["identity"], "name": part["name"], "suffix": part["suffix"], "hash": part["hash"], "raw": [parser(bytes(c)) for c in part["content"]]})
 
-    raw = files.where(F.col("suffix") != "txt").mapInPandas(run, "identity string, name string, suffix string, hash string, raw array<string>")
+    # Written, as several branches below read the pages and each would parse all files again.
+    raw = written(files.where(F.col("suffix") != "txt").select("identity", "name", "suffix", "hash", "content").mapInPandas(run, "identity string, name string, suffix string, hash string, raw array<string>"), "parsed")
     pages = raw.select("identity", F.posexplode_outer("raw").alias("page", "text"))
     clean = strip_repeated_lines(pages, "identity", "page", "text").withColumn("text", normalize_page(F.col("text")))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"])
@@ -59,9 +69,9 @@ def parse_pages(files: DataFrame, backend: str) -> DataFrame:
     return out.select("identity", "name", "suffix", "hash", F.array_join(F.filter("pages", lambda p: p != ""), "\n\n").alias("text"), F.size("pages").alias("page_count"), "pages")
 
 
-def documents(spark: SparkSession, root: str, backend: str | None = None) -> DataFrame:
+def documents(spark: SparkSession, root: str, backend: str | None = None, archives: bool = False) -> DataFrame:
     """All documents under root; page files need a backend."""
-    files = scan(spark, root, ("txt",) if backend is None else ("txt", "pdf"))
+    files = found_files(spark, root, ("txt",) if backend is None else ("txt", "pdf"), archives)
     return parse_text(files) if backend is None else parse_text(files).unionByName(parse_pages(files, backend))
 
 
