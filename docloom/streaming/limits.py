@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,23 +35,24 @@ class Usage(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows), ignore_index=True).sort_values(["us", "id"], kind="stable")
-        held = [tuple(x) for x in self.window.get()]
+        held = np.array(sorted(tuple(x) for x in self.window.get()), np.int64).reshape(-1, 2)
         day, requests, tokens = self.day.get() if self.day.exists() else (None, 0, 0)
-        out, live = [], sorted(held)
-        for us, own in new.groupby("us", sort=True):
-            us, amount = int(us), int(own["amount"].sum())
-            if us // DAY != day:
-                day, requests, tokens = us // DAY, 0, 0
-            requests, tokens = requests + len(own), tokens + amount
-            live = [x for x in live if x[0] > us - self.wide] + [(us, int(a)) for a in own["amount"]]
-            out += [(i, len(live), sum(a for _, a in live), requests, tokens) for i in own["id"]]
+        us, amount = new["us"].to_numpy(np.int64), new["amount"].to_numpy(np.int64)
+        # Running sums: an event's totals are differences of two of them, however many events its window holds.
+        before, own = (np.concatenate([[0], np.cumsum(a)]) for a in (held[:, 1], amount))
+        aged, first, last = np.searchsorted(held[:, 0], us - self.wide, "right"), np.searchsorted(us, us - self.wide, "right"), np.searchsorted(us, us, "right")
+        days = us // DAY
+        begin, goes_on = np.searchsorted(days, days, "left"), (days == days[0]) & (days[0] == day)
+        day_requests, day_tokens = last - begin + np.where(goes_on, requests, 0), own[last] - own[begin] + np.where(goes_on, tokens, 0)
+        live = [*map(tuple, held[aged[-1] :].tolist()), *zip(us[first[-1] :].tolist(), amount[first[-1] :].tolist())]
         self.window.put(live)
-        self.day.update((day, requests, tokens))
+        day = int(days[-1])
+        self.day.update((day, int(day_requests[-1]), int(day_tokens[-1])))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
         for at in (live[-1][0] + self.wide, (day + 1) * DAY):
             self.handle.registerTimer(at // 1000 + 1)
-        frame = pd.DataFrame(out, columns=["id", "requests", "tokens", "day_requests", "day_tokens"]).astype("int64")
+        frame = pd.DataFrame({"id": new["id"], "requests": len(held) - aged + last - first, "tokens": before[-1] - before[aged] + own[last] - own[first], "day_requests": day_requests, "day_tokens": day_tokens}).astype("int64")
         frame.insert(0, "key", str(key[0]))
         yield frame
 
