@@ -41,6 +41,13 @@ def matrix(column: pa.ListArray, dtype=np.float64) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(len(sizes), -1)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, as a table of rows x cells is made of each."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(at, rows)
+
+
 def directions(x: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
@@ -94,7 +101,7 @@ def fit_centres(rows: DataFrame, key: str, vector: str, cells: int, sphere: bool
         def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             c = shared.value
             total, count = np.zeros(c.shape), np.zeros(len(c), np.int64)
-            for batch in batches:
+            for batch in slices(batches):
                 x = matrix(batch.column(0))
                 if len(x):
                     cell, _ = nearest(x, c, sphere)
@@ -128,7 +135,7 @@ def build_blocks(rows: DataFrame, vector: str, carry: list[str], centres: np.nda
     placed = T.StructType([*own.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = matrix(batch.column(batch.num_columns - 1))
             cell, away = nearest(x, shared.value, sphere) if len(x) else (np.zeros(0, int), np.zeros(0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(away)], names=[*batch.schema.names, "cell", "away"])

@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.io import written
-from docloom.operators.cells import PACK, Cells, build_blocks, cell_count, cosine_bounds, directions, fit_centres, matrix, summary, visit
+from docloom.operators.cells import PACK, Cells, build_blocks, cell_count, cosine_bounds, directions, fit_centres, matrix, slices, summary, visit
 
 FIRST = 4
 #: Candidates that a task holds before it keeps the k best of each query.
-HELD = 1 << 20
+HELD = 1 << 18
+#: Packs of a record batch.
+TOGETHER = 16
 
 
 @dataclass(frozen=True)
@@ -59,7 +61,7 @@ def _asked(queries: DataFrame, query_key: str, query_vector: str, cells: Cells,
     shared = queries.sparkSession.sparkContext.broadcast(cells)  # MOST_CELLS centres
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = matrix(batch.column(2)) if batch.num_rows else np.zeros((0, 1))
             if len(x) and x.shape[1] != shared.value.centres.shape[1]:
                 raise ValueError("vectors have unequal lengths")
@@ -86,8 +88,8 @@ def _packs(asked: DataFrame, cells: Cells, later: bool) -> DataFrame:
             if later:
                 go = ~go & (cosine_bounds(directions(x), shared.value) >= kth[:, None]) & (shared.value.size > 0)
             rows = [(int(c), np.flatnonzero(go[:, c])) for c in np.flatnonzero(go.any(axis=0))]
-            if rows:
-                yield pa.RecordBatch.from_pylist([{"cell": c, "qs": q[i], "kth": kth[i], "vs": x[i].ravel()} for c, i in rows], schema)
+            for at in range(0, len(rows), TOGETHER):  # all cells at once would be as many copies of the pack
+                yield pa.RecordBatch.from_pylist([{"cell": c, "qs": q[i], "kth": kth[i], "vs": x[i].ravel()} for c, i in rows[at : at + TOGETHER]], schema)
 
     own = asked.select("q", "v", "cells", "kth" if "kth" in asked.columns else F.lit(float("-inf")).alias("kth"))
     return written(own.mapInArrow(run, "cell int, qs array<bigint>, kth array<double>, vs array<double>"), "packs")
