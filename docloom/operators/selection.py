@@ -2,7 +2,7 @@
 
 A group's value at a rank is found by narrowing: mergeable sketches (approx_percentile, aggregated before the shuffle)
 cut the values that are still in question into some SPLITS cells, the cells' exact counts tell which one holds the rank,
-and only its values stay in question. When no more than FEW of them are left, they are ordered. Each round shrinks a group
+and only its values stay in question (in the first round there are two cuts, close to the rank). When no more than FEW of them are left, they are ordered. Each round shrinks a group
 by about SPLITS times, whatever its distribution; equal values end in a cell of their own.
 """
 
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from docloom.io import drop_written, written
 
 SPLITS, FEW, ACCURACY = 64, 4096, 2000
+#: A sketch errs by a share of 1 / ACCURACY at most, so a rank lies between marks so far from it (else a round shrinks less).
+NEAR = 2 / ACCURACY
 
 
 def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float = 0.5, name: str = "median", few: int = FEW, splits: int = SPLITS) -> DataFrame:
@@ -45,7 +47,9 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float = 0.5, n
         if far.isEmpty():
             break
         live = own.alias("o").join(far.alias("r"), F.expr(f"{same('o', 'r')} and o.v between r.lo and r.hi")).selectExpr(*[f"r.{n}" for n in names], "r.t", "r.rank", "o.v")
-        cuts = ", ".join(f"{i / (splits + 1)}D" for i in range(1, splits + 1))
+        # At first all groups are whole, so the rank is known as a share: two marks on both sides of it leave some thousandth.
+        shares = [i / (splits + 1) for i in range(1, splits + 1)] if len(tables) > 2 else sorted({max(q - NEAR, 0.0), min(q + NEAR, 1.0)})
+        cuts = ", ".join(f"{s}D" for s in shares)
         marks = live.groupBy(*names, "t").agg(F.expr(f"array_distinct(approx_percentile(v, array({cuts}), {ACCURACY})) as marks"))
         # A mark has a cell of its own, between the cells of the values beside it.
         cell = "2 * size(filter(m.marks, x -> x < l.v)) + if(array_contains(m.marks, l.v), 1, 0) as cell"
