@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.providers import lexical_scorer
 from docloom.functions.text import display_width, estimate_tokens, is_refusal, question_key, word_tokens
-from docloom.io import settings, shared_dir, table
+from docloom.io import settings, shared_dir, small_batches, table
 from docloom.operators import conversations as C
 from docloom.operators import store as S
 from docloom.operators.lexical import signature
@@ -129,6 +129,7 @@ def q_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_html(spark: SparkSession, d: str) -> DataFrame:
+    small_batches(spark)  # rows hold whole pages
     own = table(spark, d, "pages").select("page_id", html_lines("html").alias("l"))
     return own.select("page_id", F.size("l").alias("n_lines"), F.sha2(F.array_join("l", "\n"), 256).alias("text_hash"))
 
