@@ -45,35 +45,47 @@ def page_of(chunks: DataFrame, key: str, limit: int, offset: int, document: str
     return own.orderBy(n.isNull(), n, key).offset(offset).limit(limit), own.count()
 
 
-#: Rows of a range of a page index.
+#: Rows of a file of a page index, and of a range unless it is told.
 RANGE_ROWS = 100_000
 
 
 def build_page_index(chunks: DataFrame, key: str, path: str, rows: int = RANGE_ROWS) -> None:
-    """Write chunks in numeric-suffix order as ranges of about so many rows, then the ranges with the rows before each."""
+    """Write chunks in numeric-suffix order to files, each row with its place in its file, then the files with the rows before each.
+
+    A range is so many rows of a file, which a page is read from. Files follow RANGE_ROWS, however small the ranges are: tasks,
+    folders and the keys that are sampled for the order follow their number.
+    """
     spark = chunks.sparkSession
-    ranges = max(1, -(-chunks.count() // rows))
+    files = max(1, -(-chunks.count() // max(rows, RANGE_ROWS)))
     n = numeric_suffix(F.col(key))
-    own = chunks.select("*", n.isNull().alias("__bad"), n.alias("__n")).repartitionByRange(ranges, "__bad", "__n", key).sortWithinPartitions("__bad", "__n", key)
-    own.withColumn("__range", F.spark_partition_id()).write.mode("overwrite").partitionBy("__range").parquet(f"{path}/rows")
-    schema = T.StructType([*own.schema.fields, T.StructField("__range", T.IntegerType())])
-    sizes = spark.read.schema(schema).parquet(f"{path}/rows").groupBy("__range").agg(F.count("*").alias("rows"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    sizes.select("__range", "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"), F.lit(schema.json()).alias("schema")).coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
+    own = chunks.select("*", n.isNull().alias("__bad"), n.alias("__n")).repartitionByRange(files, "__bad", "__n", key)
+    own = own.withColumn("__file", F.spark_partition_id()).sortWithinPartitions("__file", "__bad", "__n", key)
+    own = own.withColumn("__place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).drop("__bad", "__n")
+    own.write.mode("overwrite").option("parquet.page.row.count.limit", min(rows, 20_000)).partitionBy("__file").parquet(f"{path}/rows")
+    schema = T.StructType([*chunks.schema.fields, T.StructField("__place", T.LongType()), T.StructField("__file", T.IntegerType())])
+    sizes = spark.read.schema(schema).parquet(f"{path}/rows").groupBy("__file").agg(F.count("*").alias("rows"))
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    kept = [F.lit(rows).alias("range_rows"), F.lit(schema.json()).alias("schema")]
+    sizes.select("__file", "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"), *kept).coalesce(1).write.mode("overwrite").parquet(f"{path}/files")
 
 
 def indexed_page(spark: SparkSession, path: str, key: str, limit: int, offset: int) -> tuple[DataFrame, int, int]:
     """As page_of, from a page index: the page, the number of all rows, and the number of ranges read (few, however deep)."""
     if not 1 <= limit <= 200 or offset < 0:
         raise ValueError("limit must be in 1 .. 200 and offset not negative")
-    ranges = spark.read.parquet(f"{path}/ranges")
-    total = ranges.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    near = ranges.where(f"before < {offset + limit} and before + rows > {offset}").orderBy("__range").collect()  # limit + 2 at most
+    files = spark.read.parquet(f"{path}/files")
+    total = files.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    near = files.where(f"before < {offset + limit} and before + rows > {offset}").orderBy("__file").collect()  # limit + 2 at most
     if not near:
-        kept = ranges.select("schema").first()
-        return spark.createDataFrame([], T.StructType(T.StructType.fromJson(json.loads(kept.schema)).fields[:-3]) if kept else f"{key} string"), total, 0
-    rows = spark.read.schema(T.StructType.fromJson(json.loads(near[0].schema))).parquet(f"{path}/rows").where(F.col("__range").isin([r["__range"] for r in near]))
-    return rows.orderBy("__bad", "__n", key).offset(offset - near[0].before).limit(limit).drop("__bad", "__n", "__range"), total, len(near)
+        kept = files.select("schema").first()
+        return spark.createDataFrame([], T.StructType(T.StructType.fromJson(json.loads(kept.schema)).fields[:-2]) if kept else f"{key} string"), total, 0
+    wanted, ranges = F.lit(False), 0
+    for r in near:
+        first, last = max(offset - r.before, 0), min(offset + limit - r.before, r["rows"]) - 1
+        wanted = wanted | ((F.col("__file") == r["__file"]) & F.col("__place").between(first, last))
+        ranges += last // r.range_rows - first // r.range_rows + 1
+    rows = spark.read.schema(T.StructType.fromJson(json.loads(near[0].schema))).parquet(f"{path}/rows").where(wanted)
+    return rows.orderBy("__file", "__place").drop("__place", "__file"), total, ranges
 
 
 def filtered(page: DataFrame, text: str, *columns: str) -> DataFrame:
