@@ -18,10 +18,13 @@ TABLES = {
     "Latency (ms)": ("rewrite_latency_mean_ms", "retrieval_latency_mean_ms", "generation_latency_mean_ms", "judge_latency_mean_ms", "total_latency_mean_ms", "total_latency_median_ms"),
 }
 
+#: Rows of a file at most: a CSV file with lines in its cells is read whole by a task.
+FILE_ROWS = 100_000
+
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file's folder with a header; nulls are empty, LF ends."""
-    V.clean_cells(df).coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\n").option("quoteAll", False).option("escape", '"').option("emptyValue", "").csv(path)
+    """A folder of CSV files of at most FILE_ROWS rows, each with a header, in the rows' order; nulls are empty, LF ends."""
+    V.clean_cells(df).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).option("header", True).option("lineSep", "\n").option("quoteAll", False).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
