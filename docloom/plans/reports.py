@@ -18,7 +18,7 @@ TABLES = {
     "Latency (ms)": ("rewrite_latency_mean_ms", "retrieval_latency_mean_ms", "generation_latency_mean_ms", "judge_latency_mean_ms", "total_latency_mean_ms", "total_latency_median_ms"),
 }
 
-#: Rows of a file at most: a CSV file with lines in its cells is read whole by a task.
+#: Rows of a file at most: a CSV file with lines in its cells is read whole by a task, and a task sorts a JSON file's rows.
 FILE_ROWS = 100_000
 
 
@@ -76,8 +76,9 @@ def write_reports(results: DataFrame, folder: str, config: dict[str, str] | None
 
 
 def per_model_json(rows: DataFrame, path: str) -> None:
-    """One JSON folder a model, rows in alert order."""
-    rows.repartition("model").sortWithinPartitions("model", "alert_id").write.mode("overwrite").partitionBy("model").json(path)
+    """One JSON folder a model, rows in alert order, in files of some FILE_ROWS rows."""
+    files = max(1, -(-rows.count() // FILE_ROWS))
+    rows.repartitionByRange(files, "model", "alert_id").sortWithinPartitions("model", "alert_id").write.mode("overwrite").partitionBy("model").json(path)
 
 
 def merged_alerts(rankings: DataFrame, sample: DataFrame, judged: DataFrame) -> DataFrame:
