@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.io import drop_written, written
 from docloom.operators.snapshots import FEW_DOCS, Change, Snapshot, SnapshotLog
 from docloom.schemas import CHUNK, MANIFEST
 
@@ -252,10 +253,20 @@ class ChunkStore:
         found = named.select(_doc_hash(F.col("doc_name")).alias("h")).limit(FEW_DOCS + 1).collect()
         return None if len(found) > FEW_DOCS else frozenset(r.h for r in found)
 
+    def _full(self, chunks: DataFrame) -> DataFrame:
+        return chunks.selectExpr(*[f"cast({c if c in chunks.columns else 'null'} as {kind}) as {c}" for c, kind in self.columns.items()])
+
+    def _built(self, chunks: DataFrame) -> dict[str, int]:
+        """New files of chunks that are yet to be computed. Ranges are sampled first, so what is sampled is written before: nothing is parsed or embedded twice."""
+        staged = written(self._full(chunks), "chunks")
+        try:
+            return self.log.write(self._arranged(staged))
+        finally:
+            drop_written(staged)
+
     def _arranged(self, chunks: DataFrame) -> DataFrame:
-        full = chunks.selectExpr(*[f"cast({c if c in chunks.columns else 'null'} as {kind}) as {c}" for c, kind in self.columns.items()])
         h = _doc_hash(F.col("doc_name"))
-        return full.repartitionByRange(h, "id").sortWithinPartitions(h, "id")
+        return self._full(chunks).repartitionByRange(h, "id").sortWithinPartitions(h, "id")
 
     def _replacing(self, base: Snapshot, named: DataFrame, fresh: dict[str, int], docs: frozenset[int] | None) -> Change:
         files = base.files.get("chunks", {})
@@ -320,7 +331,7 @@ class ChunkStore:
         kept = manifest.join(states.where("state = 'skipped'"), "identity", "left_semi").select("identity", "hash", "page_count", "chunk_count")
         fresh: dict[str, int] = {}
         if done.get("added", 0) + done.get("updated", 0):
-            fresh = self.log.write(self._arranged(build(changed)))
+            fresh = self._built(build(changed))
             sizes = self.log.read_files(fresh, self.schema).groupBy("doc_name").agg(F.count("*").cast("int").alias("chunk_count"))
             pages = F.col("page_count") if "page_count" in changed.columns else F.lit(None).cast("int")
             new = changed.select("identity", "hash", pages.alias("page_count"), "name").join(sizes, F.col("name") == F.col("doc_name"), "left")
