@@ -93,7 +93,7 @@ def build_block_index(index: LexicalIndex, path: str, settings: Settings = Setti
     parts = parts_for(stats.tokens)
     k1, b = settings.bm25_k1, settings.bm25_b
     single = index.counts is not None and not keys_repeat(lengths, index.key)
-    counts = index.counts if single else index.postings.drop("part").join(lengths, index.key)
+    counts = index.counts if single else index.postings.drop("part", "dl").join(lengths, index.key)
     rows = counts.selectExpr(
         "term", f"cast(pmod(xxhash64(`{index.key}`), {blocks}) as int) as block", f"struct(`{index.key}` as key, cast(tf as int) as tf, cast(dl as int) as dl) as row", f"tf / (tf + {k1}D * (1 - {b}D + {b}D * dl / {average or 1.0}D)) as share", f"cast(pmod(xxhash64(term), {parts}) as int) as part"
     )
